@@ -165,7 +165,6 @@ def fit_planes(
         )
         if last:
             break
-        state = durable(state)
         rows = attach(sample, state, keys).filter(~F.col("stopped"))
         if rule.trim != "all":
             rows = rows.filter(kept)

@@ -32,6 +32,11 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
+def fits_a_task(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[str, bool]:
+    """Result of one size check, to hand on to every operator that works on the same groups."""
+    return {"bounded": largest_group(df, keys) <= hot_rows}
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Add one-row-per-group `stats` to every row; without keys `stats` is a single row.
 
