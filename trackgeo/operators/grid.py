@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +117,35 @@ def _plane_residual(a: Column, b: Column, c: Column) -> Column:
     return F.col("z_mm") - (a * F.col("x_mm") + b * F.col("y_mm") + c)
 
 
+def _fit_one(pdf: pd.DataFrame, keys: list[str], rule: PlaneRule) -> pd.DataFrame:
+    """All rounds for one track's thinned samples."""
+    x, y, z = (pdf[c].to_numpy(float) for c in ("x_mm", "y_mm", "z_mm"))
+    keep = np.ones(len(z), dtype=bool)
+    plane = np.full(3, np.nan)
+    for _ in range(rule.rounds):
+        if keep.sum() < rule.min_samples:
+            break
+        mx, my, mz = x[keep].mean(), y[keep].mean(), z[keep].mean()
+        basis = np.column_stack([x[keep] - mx, y[keep] - my])
+        (a, b), *_ = np.linalg.lstsq(basis, z[keep] - mz, rcond=None)
+        plane = np.array([a, b, mz - a * mx - b * my])
+        resid = z - (plane[0] * x + plane[1] * y + plane[2])
+        if rule.trim == "mad":
+            mid = np.median(resid[keep])
+            half = 3.0 * max(MAD_SCALE * np.median(np.abs(resid[keep] - mid)), 1e-9)
+            lo, hi = mid - half, mid + half
+        else:
+            lo, hi = np.percentile(resid if rule.trim == "all" else resid[keep], [5, 95])
+        inside = (resid >= lo) & (resid <= hi)
+        tighter = keep & inside if rule.trim == "kept" else inside
+        if tighter.sum() < rule.min_samples:
+            break
+        keep = tighter
+    a, b, c = (None if np.isnan(v) else float(v) for v in plane)
+    first = {k: [pdf[k].iloc[0]] for k in keys}
+    return pd.DataFrame({**first, "a": [a], "b": [b], "c": [c], "n_initial": [len(z)], "n_final": [int(keep.sum())]})
+
+
 def fit_planes(
     points: DataFrame,
     keys: list[str],
@@ -125,15 +156,21 @@ def fit_planes(
 ) -> DataFrame:
     """Robust plane per key: `a, b, c, n_initial, n_final`; coefficients null when samples lack.
 
-    Every round is one mergeable aggregate over the thinned samples plus one percentile pass; the
-    state between rounds is one row per key (its past trim limits), written out to keep the plan
-    short.
+    Tracks whose thinned samples are known to fit a task are fitted there, all rounds in one
+    shuffle. Above `hot_rows` a round is one mergeable aggregate over the samples plus one
+    percentile pass; the state between rounds is one row per key (its past trim limits), written
+    out to keep the plan short.
     """
     sample = stride(points, {"x_index": every[0], "y_index": every[1]}).filter("z_mm is not null")
     if rule.substrate_only:
         sample = sample.filter(substrate(corridor=corridor))
-    sample = durable(sample.select(*keys, "x_mm", "y_mm", "z_mm"))
-    how = {"hot_rows": hot_rows, "bounded": largest_group(sample, keys) <= hot_rows}
+    sample = sample.select(*keys, "x_mm", "y_mm", "z_mm")
+    if largest_group(sample, keys) <= hot_rows:
+        types = ", ".join(f"`{n}` {t}" for n, t in sample.dtypes if n in keys)
+        return sample.groupBy(*keys).applyInPandas(
+            lambda pdf: _fit_one(pdf, keys, rule), f"{types}, a double, b double, c double, n_initial long, n_final long")
+    sample = durable(sample)
+    how = {"hot_rows": hot_rows}
     state = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_initial")).select(
         *keys, "n_initial", F.col("n_initial").alias("n_final"),
         *[F.lit(None).cast("double").alias(c) for c in "abc"],
