@@ -269,24 +269,22 @@ def substrate_return(
     scale = _column_mad(o.df, keys, ["abs_gradient"], 1e-6)
     rows = attach(attach(o.df, scale, keys), levels, keys)
     rows = attach(rows, seeds.filter("seed_status = 'ok'").select(*keys, "seed_y_min", "seed_y_max"), keys, "inner")
-    eps = 1e-9
-    by = Window.partitionBy(*keys).orderBy("y_mm")
-    frames = {
-        "c": by.rangeBetween(-0.5 * window_mm - eps, 0.5 * window_mm + eps),
-        "left": by.rangeBetween(-persist_mm - eps, eps),
-        "right": by.rangeBetween(-eps, persist_mm + eps),
-    }
-
-    def quiet(frame: str, side: str) -> Column:
-        w = frames[frame]
-        resid = F.abs(F.col("z_smooth") - F.col(f"{side}_level"))
-        return (
-            (F.count("z_smooth").over(w) == F.count(F.lit(1)).over(w))
-            & (F.max(resid).over(w) <= residual_k * F.col("spread"))
-            & (F.avg("abs_gradient").over(w) <= gradient_k * F.col("abs_gradient_scale"))
-        )
+    by = f"PARTITION BY {', '.join(keys)} ORDER BY y_mm"
+
+    def frame(back: float, ahead: float) -> str:
+        return f"OVER ({by} RANGE BETWEEN {back + 1e-9}D PRECEDING AND {ahead + 1e-9}D FOLLOWING)"
+
+    half = 0.5 * window_mm
+    frames = {"c": frame(half, half), "left": frame(persist_mm, 0.0), "right": frame(0.0, persist_mm)}
+
+    def quiet(name: str, side: str) -> Column:
+        w = frames[name]
+        return F.expr(
+            f"count(z_smooth) {w} = count(1) {w}"
+            f" AND max(abs(z_smooth - {side}_level)) {w} <= {residual_k} * spread"
+            f" AND avg(abs_gradient) {w} <= {gradient_k} * abs_gradient_scale")
 
-    enough = F.count("z_smooth").over(frames["c"]) >= min_samples
+    enough = F.expr(f"count(z_smooth) {frames['c']}") >= min_samples
     flagged = rows.withColumns({
         f"_ok_{s}": F.coalesce(enough & quiet("c", s) & quiet(s, s), F.lit(False)) for s in ("left", "right")
     })

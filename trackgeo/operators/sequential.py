@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackgeo.functions.scores import node_score
 from trackgeo.operators.layout import HOT_ROWS, order_rows
@@ -113,7 +114,7 @@ def select_in_sequence(
 FAMILY_IOU, FAMILY_BONUS, FAMILY_DISTANCE = 0.10, 0.20, 0.25
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _family_of(components: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Family number of each component of one position, highest threshold first."""
     for batch in components:

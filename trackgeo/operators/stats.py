@@ -312,9 +312,10 @@ def outcome_correlation(
 ) -> DataFrame:
     """Correlation of parameter and outcome over selected rows, from three rows on, and the range."""
     rows = df.filter(selected & F.col(outcome).isNotNull())
+    product = F.stddev_pop(parameter) * F.stddev_pop(outcome)
     return rows.groupBy(*case).agg(
         F.count(F.lit(1)).alias("n_selected"),
-        F.when(F.count(F.lit(1)) >= 3, F.corr(parameter, outcome)).alias("correlation"),
+        F.when((F.count(F.lit(1)) >= 3) & (product > 0), F.covar_pop(parameter, outcome) / product).alias("correlation"),
         (F.max(outcome) - F.min(outcome)).alias("outcome_range"),
     )
 
