@@ -278,7 +278,7 @@ def moments(
     overall mean `origin` to keep their precision.
     """
     if not keys:
-        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
+        df, keys = df.withColumn("_everything", F.lit(1)), ["_everything"]
     rows = df.select(*keys, F.col(vector).cast("array<double>").alias("_v"))
     spark = df.sparkSession
     if shift:
@@ -319,7 +319,7 @@ def moments(
     parts = shifted.mapInPandas(add_up, spread)
 
     summed = _sum_arrays(parts, keys)
-    return attach(summed, origin, []).drop("_all") if keys == ["_all"] else attach(summed, origin, [])
+    return attach(summed, origin, []).drop("_everything")
 
 
 def _sum_arrays(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -267,7 +267,8 @@ def substrate_return(
     keys = list(o.keys)
     o = o.with_columns({"abs_gradient": F.abs("gradient")})
     scale = _column_mad(o.df, keys, ["abs_gradient"], 1e-6)
-    rows = attach(attach(o.df, scale, keys), levels, keys)
+    plain = o.df.drop("abs_gradient_scale", *[c for c in levels.columns if c not in keys])
+    rows = attach(attach(plain, scale, keys), levels, keys)
     rows = attach(rows, seeds.filter("seed_status = 'ok'").select(*keys, "seed_y_min", "seed_y_max"), keys, "inner")
     by = f"PARTITION BY {', '.join(keys)} ORDER BY y_mm"
 

@@ -181,9 +181,9 @@ def inventory(
     for at, out in (("y0", "y_min"), ("y1", "y_max")):
         box = place(box, ys, "y_index", at, "y_mm", out)
     box = box.withColumns({"x_min": F.least("_xa", "_xb"), "x_max": F.greatest("_xa", "_xb")}).drop("_xa", "_xb")
-    box = box.filter(F.col("x_max") - F.col("x_min") >= min_x_span)
-
-    kept = labelled.join(box.select(*by), by, "left_semi")
+    # Boxes, their runs and the running counts are each read by several joins below.
+    box = durable(box.filter(F.col("x_max") - F.col("x_min") >= min_x_span))
+    kept = durable(labelled.join(box.select(*by), by, "left_semi"))
     # Median y from cell counts per y: the value map is as long as a sensor column at most.
     per_y = kept.withColumn("y_index", F.explode(F.sequence("y_lo", "y_hi"))).groupBy(*by, "y_index").count()
     mid = per_y.join(ys, [*grid, "y_index"]).groupBy(*by).agg(
@@ -193,7 +193,7 @@ def inventory(
     support = columns.groupBy(*by).agg(F.count(F.lit(1)).alias("n_columns")).join(
         starts.groupBy(*by).agg(F.count(F.lit(1)).alias("fragmentation_count")), by)
 
-    counts = gap_counts(points, grid)
+    counts = durable(gap_counts(points, grid))
     wide = box.select(*by, "x0", "x1", "y0", "y1").withColumn("x_index", F.explode(F.sequence("x0", "x1")))
     wide = _upto(wide, counts, grid, F.col("x_index"), F.col("y1"), "finite_upto", "_fb")
     wide = _upto(wide, counts, grid, F.col("x_index"), F.col("y0") - 1, "finite_upto", "_fa")
@@ -210,6 +210,7 @@ def inventory(
         (F.col("x_index") == F.col("_gx0")) | (F.col("x_index") == F.col("_gx1"))
         | (F.col("y_lo") == F.col("_gy0")) | (F.col("y_hi") == F.col("_gy1"))).cast("int")).alias("_te"))
 
+    support, finite, contact = durable(support), durable(finite), durable(contact)
     t = box.join(mid, by).join(support, by).join(finite, by).join(contact, by).join(at_edge, by)
     label_text = contact_label(F.col("_tm") == 1, F.col("_te") == 1)
     x_span, y_span = F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")

@@ -137,12 +137,14 @@ SEL = "round(y_lo, 9) AS segmentation_left, round(y_hi, 9) AS segmentation_right
 
 
 @query("extraction_with_continuity", f"""WITH RECURSIVE {extract_sql([BASE])} SELECT config_name, track_id, position, round(ff, 9) AS finite_fraction, round(baseline, 9) AS baseline_um,
-  round(spread, 9) AS robust_spread_um, round(thr, 9) AS threshold_um, n_candidates AS n_candidate_components, round(best, 9) AS selected_component_score,
+  round(spread, 11) AS robust_spread_um, round(thr, 11) AS threshold_um, n_candidates AS n_candidate_components, round(best, 9) AS selected_component_score,
   round(amb, 9) AS ambiguity_score, status AS extraction_status, {SEL} FROM ex""")
 def extraction_with_continuity(spark, sf):
     e = extraction(spark, sf, [BASE])
+    e = rounded(e, 11, "robust_spread_um", "threshold_um")
     return rounded(e.select("config_name", "track_id", "position", "finite_fraction", "baseline_um", "robust_spread_um", "threshold_um", "n_candidate_components",
-                            "selected_component_score", "ambiguity_score", "extraction_status", "segmentation_left", "segmentation_right", "segmentation_width", "segmentation_centroid"), 9)
+                            "selected_component_score", "ambiguity_score", "extraction_status", "segmentation_left", "segmentation_right", "segmentation_width", "segmentation_centroid"), 9,
+                   "finite_fraction", "baseline_um", "selected_component_score", "ambiguity_score", "segmentation_left", "segmentation_right", "segmentation_width", "segmentation_centroid")
 
 
 @query("extraction_edges", f"""WITH RECURSIVE {extract_sql([BASE])},
