@@ -48,16 +48,23 @@ def resample(
         *keys, F.when(F.col("m").isNull(), empty).otherwise(full).alias(out))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, also when used inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_median(values: Column) -> Column:
     """Median of the non-null elements; null when there are none."""
-    s = F.array_sort(F.filter(values, lambda e: e.isNotNull()))
-    n = F.size(s)
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+        return F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2)
+
+    return let(F.array_sort(F.filter(values, lambda e: e.isNotNull())), middle)
 
 
 def array_mad(values: Column, centre: Column) -> Column:
-    return array_median(F.transform(values, lambda e: F.abs(e - centre))) * MAD_SCALE
+    return let(centre, lambda c: array_median(F.transform(values, lambda e: F.abs(e - c))) * MAD_SCALE)
 
 
 def support(values: Column) -> Column:
@@ -71,45 +78,52 @@ def normalise(
 ) -> DataFrame:
     """Shape (value − median)/MAD with its status; null elements where nothing is known."""
     v = F.col(column)
+    stats = let(array_median(v), lambda c: let(array_mad(v, c), lambda s: F.struct(
+        c.alias("c"), s.alias("s"), F.transform(v, lambda e: (e - c) / s).alias("shape"))))
     n = F.size(F.filter(v, lambda e: e.isNotNull()))
-    t = profiles.withColumns({"support_fraction": support(v), "_n": n, "_c": array_median(v)})
-    t = t.withColumn("_s", array_mad(v, F.col("_c")))
+    t = profiles.withColumns({"support_fraction": support(v), "_n": n, "_st": stats})
     enough = F.col("_n") >= min_points
-    flat = enough & (F.coalesce("_s", F.lit(0.0)) < min_scale)
+    flat = enough & (F.coalesce("_st.s", F.lit(0.0)) < min_scale)
     t = t.withColumns({
         "normalization_status": F.when(~enough, "insufficient_support")
         .when(flat, "near_flat_or_too_low_scale").otherwise("ok"),
-        "shape_center": F.when(enough, F.col("_c")),
-        "shape_scale": F.when(enough, F.col("_s")),
+        "shape_center": F.when(enough, F.col("_st.c")),
+        "shape_scale": F.when(enough, F.col("_st.s")),
     })
     nonflat = (F.col("normalization_status") == "ok") & (F.col("support_fraction") >= min_support)
-    shape = F.transform(v, lambda e: (e - F.col("_c")) / F.col("_s"))
     blank = F.transform(v, lambda e: F.lit(None).cast("double"))
     return t.withColumns({
-        "nonflat": nonflat, out: F.when(nonflat, shape).otherwise(blank),
-    }).drop("_n", "_c", "_s")
+        "nonflat": nonflat, out: F.when(nonflat, F.col("_st.shape")).otherwise(blank),
+    }).drop("_n", "_st")
 
 
 def similarity(a: Column, b: Column, min_share: float = 0.60, min_points: int = 5) -> Column:
     """Struct `(similarity, shared_fraction, n_shared)`: Pearson over the points both profiles have."""
-    pairs = F.filter(
+    both = F.filter(
         F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))),
         lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     zero = F.lit(0.0)
-    n = F.size(pairs)
-    mean = lambda f: F.aggregate(pairs, zero, lambda s, p: s + p[f]) / n
-    start = F.struct(zero.alias("xx"), zero.alias("yy"), zero.alias("xy"))
-    mx, my = mean("x"), mean("y")
-    sums = F.aggregate(pairs, start, lambda s, p: F.struct(
-        (s["xx"] + (p["x"] - mx) * (p["x"] - mx)).alias("xx"),
-        (s["yy"] + (p["y"] - my) * (p["y"] - my)).alias("yy"),
-        (s["xy"] + (p["x"] - mx) * (p["y"] - my)).alias("xy")))
-    denominator = F.sqrt(sums["xx"] * sums["yy"])
-    share = n / F.greatest(F.size(a), F.lit(1))
-    ok = (share >= min_share) & (n >= min_points) & (denominator > 0)
-    return F.struct(
-        F.when(ok, sums["xy"] / denominator).alias("similarity"),
-        share.alias("shared_fraction"), n.alias("n_shared"))
+
+    def around(pairs: Column, m: Column) -> Column:
+        start = F.struct(zero.alias("xx"), zero.alias("yy"), zero.alias("xy"))
+        sums = F.aggregate(pairs, start, lambda s, p: F.struct(
+            (s["xx"] + (p["x"] - m["x"]) * (p["x"] - m["x"])).alias("xx"),
+            (s["yy"] + (p["y"] - m["y"]) * (p["y"] - m["y"])).alias("yy"),
+            (s["xy"] + (p["x"] - m["x"]) * (p["y"] - m["y"])).alias("xy")))
+        share = m["n"] / F.greatest(F.size(a), F.lit(1))
+        ok = (share >= min_share) & (m["n"] >= min_points)
+        return let(sums, lambda s: F.struct(
+            F.when(ok & (s["xx"] * s["yy"] > 0), s["xy"] / F.sqrt(s["xx"] * s["yy"])).alias("similarity"),
+            share.alias("shared_fraction"), m["n"].alias("n_shared")))
+
+    def centred(pairs: Column) -> Column:
+        total = F.aggregate(pairs, F.struct(zero.alias("x"), zero.alias("y")), lambda s, p: F.struct(
+            (s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")))
+        n = F.size(pairs)
+        means = let(total, lambda t: F.struct(F.try_divide(t["x"], n).alias("x"), F.try_divide(t["y"], n).alias("y"), n.alias("n")))
+        return let(means, lambda m: around(pairs, m))
+
+    return let(both, centred)
 
 
 # ------------------------------------------------------------------ samples, pairs, medoids

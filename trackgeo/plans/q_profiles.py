@@ -44,7 +44,7 @@ sh AS (SELECT track_id, x_index, x_mm, g, (e - c) / s AS v FROM el JOIN ns USING
 
 
 def shaped(spark, sf):
-    return pr.normalise(profile_table(spark, sf), min_scale=0.05)
+    return durable(pr.normalise(profile_table(spark, sf), min_scale=0.05))
 
 
 @query("normalised_shapes", f"""WITH {NORM} SELECT track_id, x_index, round(n / d::DOUBLE, 6) AS support_fraction, round(c, 9) AS shape_center, round(s, 9) AS shape_scale,
@@ -69,7 +69,7 @@ def pairs(spark, sf):
     """Similarities inside a sample of at most 900 profiles per track: all of them here."""
     s = shaped(spark, sf).filter("nonflat")
     sample = pr.evenly_spaced(s, KEYS, ["x_mm", "x_index"], 900)
-    return pr.sample_similarities(sample, KEYS, "x_index", "shape", "x_mm")
+    return durable(pr.sample_similarities(sample, KEYS, "x_index", "shape", "x_mm"))
 
 
 @query("similarity_summary", f"""WITH {SIM} SELECT track_id, count(*) AS n_pairs, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.5), 6) AS p50,
@@ -120,7 +120,7 @@ ts AS (SELECT track_id, x_index, x_mm, medoid, n, CASE WHEN n / 64.0 >= 0.6 AND
 
 def to_medoid(spark, sf):
     s = shaped(spark, sf).filter("nonflat")
-    return pr.similarity_to_medoid(s, durable(medoid_table(spark, sf)), KEYS, "x_index", "shape")
+    return durable(pr.similarity_to_medoid(s, durable(medoid_table(spark, sf)), KEYS, "x_index", "shape"))
 
 
 @query("similarity_to_medoid", f"WITH {TOM} SELECT track_id, x_index, medoid, round(sim, 6) AS similarity_to_medoid, round(n / 64.0::DOUBLE, 6) AS shared_fraction, n AS n_shared FROM ts")
