@@ -210,7 +210,7 @@ def inventory(
         (F.col("x_index") == F.col("_gx0")) | (F.col("x_index") == F.col("_gx1"))
         | (F.col("y_lo") == F.col("_gy0")) | (F.col("y_hi") == F.col("_gy1"))).cast("int")).alias("_te"))
 
-    support, finite, contact = durable(support), durable(finite), durable(contact)
+    mid, support, finite, contact, at_edge = [durable(part) for part in (mid, support, finite, contact, at_edge)]
     t = box.join(mid, by).join(support, by).join(finite, by).join(contact, by).join(at_edge, by)
     label_text = contact_label(F.col("_tm") == 1, F.col("_te") == 1)
     x_span, y_span = F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +45,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read on from there.
+    """Write `df` as a table in the shared checkpoint folder and read on from there.
 
-    Freezes values that a recomputed task could change (partition numbers) and cuts lineage.
+    Freezes values that a recomputed task could change (partition numbers), cuts lineage, survives
+    lost executors, and gives the planner real sizes (a checkpointed plan keeps the estimates of
+    the plan it replaces, which multiply over joins).
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
