@@ -81,7 +81,7 @@ def test_exact_plane_and_short_sample(spark):
 
 
 def test_text_grid_round_trip(spark, tmp_path):
-    lines = ["Wyko header", "X Size 3", "Y Size 4", "Pixel_size 0.5", "RAW_DATA"]
+    lines = ["profile export", "X Size 3", "Y Size 4", "Pixel_size 0.5", "RAW_DATA"]
     values = [None if i == 5 else i * 1000.0 for i in range(12)]
     lines += [f"{i // 4} {i % 4} {'Bad' if v is None else v}" for i, v in enumerate(values)]
     lines.insert(9, "broken")
