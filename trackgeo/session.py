@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_RUNS: list[str] = []
+
+
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the folder of the innermost open run, else in the shared folder."""
+    return f"{_RUNS[-1] if _RUNS else checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that this library wrote, in whatever store it lies."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all cut points written inside; removed at the end.
+
+    Results that read these tables must be written or collected before the run ends.
+    """
+    path = new_path(spark)
+    _RUNS.append(path)
+    try:
+        yield path
+    finally:
+        _RUNS.remove(path)
+        delete_path(spark, path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and read on from there.
 
@@ -52,6 +83,6 @@ def durable(df: DataFrame) -> DataFrame:
     the plan it replaces, which multiply over joins).
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
