@@ -51,7 +51,11 @@ _RUNS: list[str] = []
 
 def new_path(spark: SparkSession) -> str:
     """A fresh path in the folder of the innermost open run, else in the shared folder."""
-    return f"{_RUNS[-1] if _RUNS else checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{_RUNS[-1] if _RUNS else checkpoint_dir(spark)}/{fresh_name()}"
+
+
+def fresh_name() -> str:
+    return uuid.uuid4().hex
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -66,13 +70,23 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
 
     Results that read these tables must be written or collected before the run ends.
     """
-    path = new_path(spark)
-    _RUNS.append(path)
+    path = open_run(spark)
     try:
         yield path
     finally:
-        _RUNS.remove(path)
-        delete_path(spark, path)
+        close_run(spark)
+
+
+def open_run(spark: SparkSession) -> str:
+    """From here on cut points go into a folder of their own, until `close_run`."""
+    _RUNS.append(new_path(spark))
+    return _RUNS[-1]
+
+
+def close_run(spark: SparkSession) -> None:
+    """Remove the folder of the innermost open run, if there is one."""
+    if _RUNS:
+        delete_path(spark, _RUNS.pop())
 
 
 def durable(df: DataFrame) -> DataFrame:
