@@ -87,16 +87,16 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 OP3_SQL = rf"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-flat AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS at FROM words),
+flat AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM words),
 windows AS (
-  SELECT doc_id, at, array_to_string(w[at:at + {substrings.WIDTH - 1}], ' ') AS seq FROM flat
-  WHERE at <= len(w) - {substrings.WIDTH - 1}),
+  SELECT doc_id, pos, array_to_string(w[pos:pos + {substrings.WIDTH - 1}], ' ') AS seq FROM flat
+  WHERE pos <= len(w) - {substrings.WIDTH - 1}),
 firsts AS (SELECT seq, min(doc_id) AS least FROM windows GROUP BY seq),
 hit AS (
-  SELECT DISTINCT doc_id, at + unnest(range({substrings.WIDTH})) AS at FROM windows JOIN firsts USING (seq) WHERE doc_id > least),
+  SELECT DISTINCT doc_id, pos + unnest(range({substrings.WIDTH})) AS pos FROM windows JOIN firsts USING (seq) WHERE doc_id > least),
 kept AS (
-  SELECT f.doc_id, string_agg(f.w[f.at], ' ' ORDER BY f.at) AS text, count(*) AS n
-  FROM flat f ANTI JOIN hit h ON f.doc_id = h.doc_id AND f.at = h.at GROUP BY f.doc_id)
+  SELECT f.doc_id, string_agg(f.w[f.pos], ' ' ORDER BY f.pos) AS text, count(*) AS n
+  FROM flat f ANTI JOIN hit h ON f.doc_id = h.doc_id AND f.pos = h.pos GROUP BY f.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)"""
 

@@ -78,7 +78,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.append(0, starts)
             starts = starts[starts + HEADER <= len(ids)]  # the overlap shows whole headers, but at the file's end
             yield pa.RecordBatch.from_arrays([
-                pa.array([file.as_py()]), pa.array([block.as_py()]),
+                pa.array([file.as_py()]), pa.array([block.as_py()], pa.int32()),
                 pa.array([(ends + base).tolist()], pa.list_(pa.int64())),
                 pa.array([(starts + base).tolist()], pa.list_(pa.int64())),
                 pa.array([[read_spelt(ids[s:s + HEADER]) for s in starts.tolist()]], pa.list_(pa.int64()))],

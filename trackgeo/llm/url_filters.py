@@ -76,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     table = known.select(
         F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_length"),
         _digest(F.col("host"), F.col("path")).alias("full"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt")
+        F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])).alias("salt")
     ).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
     fits = expressions.join(table, ["short", "salt"]).filter("digest = full")
     best = fits.groupBy("host", "path").agg(F.max_by(
