@@ -74,7 +74,7 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
     try:
         yield path
     finally:
-        close_run(spark)
+        close_run(spark, path)
 
 
 def open_run(spark: SparkSession) -> str:
@@ -83,10 +83,10 @@ def open_run(spark: SparkSession) -> str:
     return _RUNS[-1]
 
 
-def close_run(spark: SparkSession) -> None:
-    """Remove the folder of the innermost open run, if there is one."""
-    if _RUNS:
-        delete_path(spark, _RUNS.pop())
+def close_run(spark: SparkSession, path: str) -> None:
+    """Remove the folder that `open_run` gave."""
+    _RUNS.remove(path)
+    delete_path(spark, path)
 
 
 def durable(df: DataFrame) -> DataFrame:
