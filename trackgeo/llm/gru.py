@@ -34,9 +34,9 @@ from trackgeo.llm.common import require_columns
 from trackgeo.session import durable
 
 END = b"\n"  # no word holds white space
-VOCABULARY, CLASS_SIZE, TAIL_CLASSES, HIDDEN = 1024, 32, 16, 16
+VOCABULARY, CLASS_SIZE, TAIL_CLASSES, HIDDEN = 1024, 32, 16, 8
 KNOWN = 50_000
-ROUNDS, WINDOW, STREAMS, RATE = 3, 16, 128, 0.05
+ROUNDS, WINDOW, STREAMS, RATE = 3, 16, 256, 0.05
 SLICES = 16
 BATCH_TOKENS = 2_000_000
 FOLDS, HELD_OUT = 7, 2
