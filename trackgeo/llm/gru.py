@@ -168,7 +168,7 @@ def walk(net: Network, docs: list[np.ndarray], streams: int, train: bool, memory
     """Log probability of each document; with `train`, the parameters move after every window."""
     y, doc = streams_of(docs, streams)
     score = np.zeros(len(docs))
-    h = np.zeros((streams, HIDDEN), np.float32)
+    h, before = np.zeros((streams, HIDDEN), np.float32), np.arange(streams)
     start = net.words + TAIL_CLASSES  # the input before the first word
     fresh = np.ones_like(doc, bool)
     fresh[1:] = doc[1:] != doc[:-1]
@@ -176,29 +176,34 @@ def walk(net: Network, docs: list[np.ndarray], streams: int, train: bool, memory
     x[1:][~fresh[1:]] = y[:-1][~fresh[1:]]
     x[x < 0] = start
     for at in range(0, len(y), WINDOW):
-        kept, states = [], []
         window = slice(at, min(at + WINDOW, len(y)))
-        carried = (~fresh[window]).astype(np.float32)
-        for t in range(window.start, window.stop):
-            h, trace = net.step(x[t], h * carried[t - at][:, None])
+        open_streams = np.flatnonzero(y[at] >= 0)  # a stream that is done costs nothing more
+        h = h[np.searchsorted(before, open_streams)]
+        before = open_streams
+        wx, wy, wdoc = x[window, open_streams], y[window, open_streams], doc[window, open_streams]
+        carried = (~fresh[window, open_streams]).astype(np.float32)
+        kept, states = [], []
+        for t in range(len(wx)):
+            h, trace = net.step(wx[t], h * carried[t][:, None])
             kept.append(trace)
             states.append(h)
-        live = np.flatnonzero((y[window] >= 0).ravel())
+        live = np.flatnonzero(wy.ravel() >= 0)
         states = np.concatenate(states)
         if train:
-            _, part, g = net.outputs(states[live], y[window].ravel()[live], gradients=True)
+            _, part, g = net.outputs(states[live], wy.ravel()[live], gradients=True)
             dh = np.zeros_like(states)
             dh[live] = part
             g |= net.backward(kept, carried, dh)
+            rate = RATE * 0.1 * len(live) / (streams * WINDOW)  # a few last streams do not outweigh the rest
             for name, value in g.items():
                 value /= max(1, len(live))
                 held = memory[name]
                 held *= 0.95
                 held += 0.05 * value * value
-                getattr(net, name)[...] -= RATE * 0.1 * value / (np.sqrt(held) + 1e-4)
+                getattr(net, name)[...] -= rate * value / (np.sqrt(held) + 1e-4)
         else:
-            logp = net.outputs(states[live], y[window].ravel()[live])
-            score += np.bincount(doc[window].ravel()[live], weights=logp, minlength=len(docs))
+            logp = net.outputs(states[live], wy.ravel()[live])
+            score += np.bincount(wdoc.ravel()[live], weights=logp, minlength=len(docs))
     return score
 
 
@@ -335,8 +340,7 @@ def _score(sent):
         logs = {w: (float(np.log(c + 1)), c > 0, w not in numbers) for w, c in known.items()}
         for rows, words in _batches(batches, BATCH_TOKENS):
             outputs = [_outputs(numbers, w, len(numbers)) for w in words]
-            longest, size = max(map(len, outputs)), sum(map(len, outputs))
-            net_score = walk(net, outputs, int(np.clip(size // longest, 16, 1024)), False)
+            net_score = walk(net, outputs, min(STREAMS, len(outputs)), False)
             out = {n: [] for n in ("fold", "doc_id", "n_tokens", "known", "logs", "net", "rare")}
             for (held, doc), w, y, score in zip(rows, words, outputs, net_score):
                 sum_logs, tail_logs, n_known, rare = 0.0, 0.0, 0, []
