@@ -1,10 +1,11 @@
-"""Shared small helpers of the operators: words, Arrow batches, row numbers."""
+"""Shared small helpers of the operators: words, names, sizes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,31 +38,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def in_batches(work: Callable[[Iterator[dict]], Iterable[dict]], schema: str, rows_out: int = 2000) -> Callable:
-    """An Arrow map function from a row generator; its output is cut into bounded batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for row in work(rows_in(batches)):
-            held.append(row)
-            if len(held) >= rows_out:
-                yield pa.RecordBatch.from_pylist(held, schema=target)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=target)
-
-    return run
-
-
-def rows_in(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[dict]:
-    """Rows of Arrow batches as dicts, a slice at a time, so that few Python objects live at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield from batch.slice(at, size).to_pylist()
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the search for cycles: the tasks make millions of plain objects and no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

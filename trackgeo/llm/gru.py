@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackgeo.llm.common import require_columns
+from trackgeo.llm.common import no_cycles, require_columns
 from trackgeo.session import durable
 
 END = b"\n"  # no word holds white space
@@ -225,10 +225,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(tokens_of(text.as_py()))
-                if len(counts) > 500_000:
-                    yield flush()
+            with no_cycles():
+                for text in batch.column(0):
+                    counts.update(tokens_of(text.as_py()))
+            if len(counts) > 400_000:
+                yield flush()
         if counts:
             yield flush()
 
@@ -264,10 +265,11 @@ def train_round(docs: DataFrame, flat: np.ndarray, numbers: dict[bytes, int]) ->
         start, known = sent.value
         net = Network(len(known), start)
         memory, seen = memory_of(net), 0
-        for _, words in _batches(batches, BATCH_TOKENS):
-            docs_in = [_outputs(known, w, len(known)) for w in words]
-            seen += sum(map(len, docs_in))
-            walk(net, docs_in, min(STREAMS, len(docs_in)), True, memory)
+        with no_cycles():
+            for _, words in _batches(batches, BATCH_TOKENS):
+                docs_in = [_outputs(known, w, len(known)) for w in words]
+                seen += sum(map(len, docs_in))
+                walk(net, docs_in, min(STREAMS, len(docs_in)), True, memory)
         if seen:
             parts = np.array_split(net.flat.astype(np.float64) * seen, SLICES)
             salt = zlib.crc32(np.float64(seen).tobytes() + net.c.tobytes()) % 64
@@ -339,25 +341,35 @@ def _score(sent):
         net = Network(len(numbers), flat)
         logs = {w: (float(np.log(c + 1)), c > 0, w not in numbers) for w, c in known.items()}
         for rows, words in _batches(batches, BATCH_TOKENS):
-            outputs = [_outputs(numbers, w, len(numbers)) for w in words]
-            net_score = walk(net, outputs, min(STREAMS, len(outputs)), False)
-            out = {n: [] for n in ("fold", "doc_id", "n_tokens", "known", "logs", "net", "rare")}
-            for (held, doc), w, y, score in zip(rows, words, outputs, net_score):
-                sum_logs, tail_logs, n_known, rare = 0.0, 0.0, 0, []
-                for word, n in Counter(w).items():
-                    found = logs.get(word)
-                    if found is None:
-                        rare.append({"word": word, "n": n})
-                    else:
-                        sum_logs += n * found[0]
-                        n_known += n * found[1]
-                        tail_logs += n * found[0] * found[2]
-                in_tail = y[y >= len(numbers)] - len(numbers)
-                for name, value in zip(out, (held, doc, len(w), n_known, sum_logs, float(score) + tail_logs - shares[in_tail].sum(), rare)):
-                    out[name].append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
-            whole = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+            with no_cycles():
+                whole = one(net, logs, len(numbers), shares, rows, words, numbers)
             for at in range(0, whole.num_rows, 1000):
                 yield whole.slice(at, 1000)
 
+    def one(net, logs, n_words, shares, rows, words, numbers) -> pa.RecordBatch:
+        outputs = [_outputs(numbers, w, n_words) for w in words]
+        net_score = walk(net, outputs, min(STREAMS, len(outputs)), False)
+        out = {n: [] for n in ("fold", "doc_id", "n_tokens", "known", "logs", "net")}
+        rare, times, edges = [], [], [0]
+        for (held, doc), w, y, score in zip(rows, words, outputs, net_score):
+            sum_logs, tail_logs, n_known = 0.0, 0.0, 0
+            for word, n in Counter(w).items():
+                found = logs.get(word)
+                if found is None:
+                    rare.append(word)
+                    times.append(n)
+                else:
+                    sum_logs += n * found[0]
+                    n_known += n * found[1]
+                    tail_logs += n * found[0] * found[2]
+            edges.append(len(rare))
+            in_tail = y[y >= n_words] - n_words
+            for name, value in zip(out, (held, doc, len(w), n_known, sum_logs, float(score) + tail_logs - shares[in_tail].sum())):
+                out[name].append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
+        columns = [pa.array(v, k) for v, k in zip(out.values(), kinds)]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs)], names=[*out, "rare"])
+
     return run

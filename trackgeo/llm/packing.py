@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackgeo.llm.common import require_columns
+from trackgeo.llm.common import no_cycles, require_columns
 from trackgeo.llm.tokenizing import encoder
 from trackgeo.session import durable
 
@@ -47,8 +47,9 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(text or "") + stop
+                with no_cycles():
+                    whole = [encode(t or "") + stop for t in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), whole):
                     rows += [{"doc_id": doc, "piece": i // step, "start": i // 4, "length": len(ids[i:i + step]) // 4,
                               "ids": ids[i:i + step]} for i in range(0, len(ids), step)]
                 yield pa.RecordBatch.from_pylist(rows, schema=target)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackgeo.llm.common import require_columns
+from trackgeo.llm.common import no_cycles, require_columns
 from trackgeo.llm.tokenizing import encoder
 
 END = 49407  # the tokenizer's end-of-text id; as bytes FF C0
@@ -54,8 +54,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 lines = []
-                for doc, body in zip(*[c.to_pylist() for c in part.columns]):
-                    ids = encode(body or "")
+                with no_cycles():
+                    whole = [encode(t or "") for t in part.column(1).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), whole):
                     if (np.frombuffer(ids, np.uint16) == END).any():  # only where a text spells the end mark
                         ids = np.frombuffer(ids, np.uint16)[np.frombuffer(ids, np.uint16) != END].tobytes()
                     lines.append(spell(doc) + ids)

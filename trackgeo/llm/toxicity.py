@@ -34,6 +34,7 @@ DIMENSIONS = 1 << 22
 MAX_ROWS = 20_000
 MAX_FEATURES = 8_192
 MIN_DOCUMENTS = 3
+MIN_GAIN = 12.0  # of a word's chi-square statistic; below it words are chance
 FOLDS = 5
 PENALTY = 0.01
 STEPS = 150
@@ -59,7 +60,7 @@ def fit_linear(flat: np.ndarray, sizes: np.ndarray, extra: np.ndarray, y: np.nda
     # Words whose share of positives differs most from chance.
     expected = seen * y.mean()
     gain = (toxic - expected) ** 2 / (expected * (1 - y.mean()))
-    gain[seen < MIN_DOCUMENTS] = 0
+    gain[(seen < MIN_DOCUMENTS) | (gain < MIN_GAIN)] = 0
     best = np.sort(np.argsort(-gain, kind="stable")[:MAX_FEATURES])
     best = best[gain[best] > 0]
     new = np.full(len(words), -1)
