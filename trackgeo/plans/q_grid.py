@@ -194,10 +194,12 @@ SELECT track_id, x_index, n_central, n_substrate, fallback, n_prominent_maxima,
   central_finite_fraction >= 0.8 AND n_substrate >= 50 AND NOT is_within_boundary_exclusion AS eligible_core, {', '.join(f'round({c}, 3) AS {c}' for c in (
     'x_mm', 'central_median', 'central_mean', 'amplitude_iqr', 'peak_to_trough', 'positive_fraction', 'fraction_above_1_mad', 'fraction_below_1_mad', 'positive_support_width',
     'peak_y', 'left_minus_right', 'detrended_central_median', 'amplitude_mad', 'roughness', 'curvature', 'finite_fraction',
-    'central_finite_fraction', 'peak_offset'))}, round(gradient_median, 3) AS gradient_median FROM o""")
+    'central_finite_fraction', 'peak_offset'))}, round(gradient_median, 6) AS gradient_median FROM o""")
 def section_properties(spark, sf):
     t = gr.section_properties(fields(spark, sf), KEYS)
-    return rounded(t, 3)
+    # A median of two gradients can lie half-way at three digits.
+    return rounded(t.withColumn("gradient_median", F.round("gradient_median", 6)), 3, *[
+        f.name for f in t.schema.fields if f.dataType.simpleString() == "double" and f.name != "gradient_median"])
 
 
 BAND = HP + """,
