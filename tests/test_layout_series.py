@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackgeo.operators import series as sr
-from trackgeo.operators.layout import order_rows
+from trackgeo.operators.layout import attach, order_rows
 from trackgeo.operators.stats import median_and_mad, percentiles
 
 
@@ -158,3 +158,11 @@ def test_percentiles_hot_equals_plain(data, spark):
     spread = median_and_mad(df, ["k"], ["v"], hot_rows=20).orderBy("k").toPandas()
     want = [1.4826 * np.nanmedian(np.abs(g["v"] - np.nanmedian(g["v"]))) for _, g in pdf.groupby("k")]
     np.testing.assert_allclose(spread["v_mad"], want, atol=1e-9)
+
+
+def test_attach_wants_one_row(spark):
+    df, two = spark.range(3), spark.createDataFrame([(1.5,), (2.5,)], "m double")
+    assert [r.m for r in attach(df, two.limit(1), []).collect()] == [1.5] * 3
+    assert [r.m for r in attach(df, two.filter("m > 9"), []).collect()] == [None] * 3
+    with pytest.raises(Exception, match="must be one row"):
+        attach(df, two, []).collect()

@@ -38,16 +38,18 @@ def fits_a_task(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dic
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Add one-row-per-group `stats` to every row; without keys `stats` is a single row.
+    """Add one-row-per-group `stats` to every row; without keys `stats` is a single row, and two rows raise.
 
     A plain equi-join: the adaptive planner measures `stats`, broadcasts it when it is small and
     splits skewed partitions when it is not.
     """
     if keys:
         return df.join(stats, keys, how)
+    one = stats.agg(F.count("*").alias("n"), F.first(F.struct("*")).alias("row")).filter("n > 0").select(
+        F.when(F.col("n") == 1, F.col("row")).otherwise(F.raise_error(F.lit("statistics without keys must be one row"))).alias("row"))
     return (
         df.withColumn(ALL, F.lit(1))
-        .join(F.broadcast(stats.limit(1).withColumn(ALL, F.lit(1))), ALL, how)
+        .join(F.broadcast(one.select("row.*", F.lit(1).alias(ALL))), ALL, how)
         .drop(ALL)
     )
 
