@@ -293,6 +293,25 @@ def test_simhash_links_are_complete(spark, monkeypatch, cell):
     assert [got.get(i, i) for i in range(len(prints))] == label.tolist()
 
 
+@pytest.mark.parametrize("size, families, noise", [(1, 1, 0), (2, 2, 0), (300, 1, 45), (300, 4, 60), (200, 200, 0)])
+def test_spanning_links_connect_all_pairs(size, families, noise):
+    rng = np.random.default_rng(size + families)
+    bits = rng.integers(0, 2, (families, 512), dtype=np.uint8)[np.arange(size) % families]
+    for row in bits:
+        row[rng.integers(0, 512, noise)] ^= 1
+    prints = np.packbits(bits, axis=1).view(np.uint64)
+
+    def classes(pairs):
+        label = list(range(size))
+        for a, b in pairs:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        return label
+
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
+    assert classes(zip(*simhash.spanning(prints, 80))) == classes(np.argwhere(apart <= 80))
+
+
 @pytest.mark.parametrize("cell", [2, 64])
 def test_simhash_long_prints(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)

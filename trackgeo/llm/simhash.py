@@ -14,9 +14,10 @@ A fingerprint longer than one chunk is covered chunk by chunk: a pair is a candi
 `chunk_distance`, and a link if the whole fingerprints are within `distance`. With one chunk nothing is lost.
 
 Skew: equal fingerprints are one node. An anchor with more than `CELL` members is marked in the task that sees
-it, its members leave the anchor and are compared at their own one-bit neighbours (65 points for 64 bits),
-where no group is larger than those neighbours; so no anchor grows into all pairs. Links form components by
-alternating stars.
+it, its members leave the anchor and are compared at their own one-bit neighbours (65 points for 64 bits) of
+that chunk. Members of a point are within two bits there: with one chunk a star links them all, with more
+chunks whole fingerprints are compared with a few leaders, so work grows with members times families and no
+point grows into all pairs. Links form components by alternating stars.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; texts with fewer words than a
 shingle hash the whole sequence; null ids keep their row, and a component's id is its smallest known id (null
@@ -29,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -130,7 +130,8 @@ def _chunks(prints: np.ndarray, chunk_bits: int) -> Iterator[tuple[int, np.ndarr
 
 
 def _replicate(chunk_bits: int, slack: int):
-    """(key, node, sketch) at every anchor. Crowded anchors become a mark (node -1); members go to keys < 0."""
+    """(key, node, sketch) at every anchor. Crowded anchors become a mark (node -1); members go to keys < 0,
+    which hold the chunk and are spread by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,7 +148,7 @@ def _replicate(chunk_bits: int, slack: int):
                     size = np.diff(np.append(start, len(key)))
                     crowded = np.repeat(size > CELL, size)
                     marks = key[start[size > CELL]]
-                    key[crowded] = -1 - node[row[crowded]]
+                    key[crowded] = ~(np.int64(j) << 48 | node[row[crowded]] & (1 << 48) - 1)
                     keys = np.concatenate([key, marks])
                     nodes = np.concatenate([node[row], np.full(len(marks), -1)])
                     sketch = np.concatenate([prints[row, 0], np.zeros(len(marks), np.uint64)])
@@ -158,14 +159,15 @@ def _replicate(chunk_bits: int, slack: int):
 
 
 def _compare(limit: int):
-    """Links inside each anchor, from rows sorted by (key, node); members of crowded anchors come out alone."""
+    """Links inside each anchor, from rows sorted by (key, node); a member of a crowded anchor comes out alone,
+    with -1 - chunk for a partner."""
 
     def cells(key, node, sketch, hot_key) -> pa.RecordBatch:
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(start, len(key)))
         hot = np.repeat((size > CELL) | (node[start] == -1) | (key[start] < 0) | (key[start] == hot_key), size)
-        alone = node[hot & (node >= 0)]
-        a, b = [alone], [np.full(len(alone), -1)]
+        alone = hot & (node >= 0)
+        a, b = [node[alone]], [-1 - (np.where(key < 0, ~key, key)[alone] >> 48)]
         keep = ~hot & (np.repeat(size, size) > 1)
         key, node, sketch = key[keep], node[keep], sketch[keep]
         for step in range(1, CELL):
@@ -200,44 +202,86 @@ def _compare(limit: int):
 
 
 def _neighbours(chunk_bits: int):
-    """(point, node) for each chunk of a fingerprint and its one-bit neighbours."""
+    """(chunk, point, node, fingerprint) for the crowded chunk of each fingerprint and its one-bit neighbours."""
     flips = np.concatenate([[0], 1 << np.arange(chunk_bits, dtype=np.uint64)]).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, NODES_AT_ONCE):
                 batch = whole.slice(at, NODES_AT_ONCE)
-                node = batch.column(0).to_numpy()
-                prints = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-                for j, points in _chunks(prints, chunk_bits):
-                    near = (points[:, None] ^ flips[None, :]).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(near), j, np.int32)), pa.array(near.view(np.int64)),
-                         pa.array(np.repeat(node, len(flips)))], names=["chunk", "point", "node"])
+                chunk = batch.column(1).to_numpy()
+                prints = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(len(chunk), -1)
+                points = np.stack([p for _, p in _chunks(prints, chunk_bits)], axis=1)[np.arange(len(chunk)), chunk]
+                near = (points[:, None] ^ flips[None, :]).ravel()
+                row = pa.array(np.repeat(np.arange(len(chunk)), len(flips)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(row), pa.array(near.view(np.int64)), batch.column(0).take(row), batch.column(2).take(row)],
+                    names=["chunk", "point", "node", "fingerprint"])
 
     return run
 
 
+def _apart(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Differing bits between each of `prints` and `one`."""
+    return np.bitwise_count(prints ^ one).sum(axis=-1, dtype=np.int64)
+
+
+def spanning(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) at `limit` bits or fewer that connect what all such links of the group connect.
+
+    Each row joins the first leader within the limit, or leads. Rows of two leaders can be linked only if each is
+    within twice the limit of the other's leader; of those the first link is enough.
+    """
+    own, left = np.full(len(prints), -1), np.arange(len(prints))
+    while len(left):
+        near = _apart(prints[left], prints[left[0]]) <= limit
+        own[left[near]] = left[0]
+        left = left[~near]
+    member = np.flatnonzero(own != np.arange(len(own)))
+    a, b = [own[member]], [member]
+    for leader in np.unique(own):
+        reach = _apart(prints, prints[leader]) <= 2 * limit
+        for other in np.unique(own[reach & (own > leader)]):
+            here = np.flatnonzero((own == leader) & (_apart(prints, prints[other]) <= 2 * limit))
+            there = np.flatnonzero(reach & (own == other))
+            for i in here:
+                j = there[_apart(prints[there], prints[i]) <= limit]
+                if len(j):
+                    a.append(np.array([i]))
+                    b.append(j[:1])
+                    break
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _forest(limit: int):
-    """Spanning links of one group, compared in blocks: as many rows out as members, at most."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        node = group["node"].to_numpy()
-        prints = np.stack(group["fingerprint"].to_numpy()).view(np.uint64)
-        label = np.arange(len(node))
-        while True:
-            before = label.copy()
-            for at in range(0, len(node), 256):
-                part = prints[at:at + 256]
-                near = sum(np.bitwise_count(part[:, None, w] ^ prints[None, :, w]).astype(np.uint16)
-                           for w in range(prints.shape[1])) <= limit
-                least = np.where(near, label[None, :], len(node)).min(axis=1)
-                label[at:at + 256] = least
-                label = np.minimum(label, np.where(near, least[:, None], len(node)).min(axis=0))
-            if (label == before).all():
-                break
-        own = label != np.arange(len(node))
-        return pd.DataFrame({"a": node[label[own]], "b": node[own]})
+    """Spanning links of each point, from rows sorted by (chunk, point)."""
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        chunk, point, node = (rows.column(i).to_numpy() for i in range(3))
+        prints = rows.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        start = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (point[1:] != point[:-1]), [True]]))
+        a, b = [node[:0]], [node[:0]]
+        for k in np.flatnonzero(np.diff(start) > 1):
+            i, j = spanning(prints[start[k]:start[k + 1]], limit)
+            a.append(node[start[k] + i])
+            b.append(node[start[k] + j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk, point = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = int(np.flatnonzero((chunk == chunk[-1]) & (point == point[-1]))[0])  # the last point may go on
+            if held and (last or (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (chunk[0], point[0])):
+                yield linked(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif last:
+                yield linked(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
+        if held:
+            yield linked(pa.Table.from_batches(held))
 
     return run
 
@@ -260,15 +304,17 @@ def links(nodes: DataFrame, distance: int, chunk_bits: int = 64, chunk_distance:
     found = durable(spread.repartition(group_count(spark, 1, 1), "key").sortWithinPartitions("key", "node").mapInArrow(
         _compare(limit), "a bigint, b bigint").distinct())
     pairs = found.filter("b >= 0")
-    crowded = found.filter("b < 0").select(F.col("a").alias("node")).join(nodes, "node")
-    points = crowded.mapInArrow(_neighbours(chunk_bits), "chunk int, point bigint, node bigint")
+    crowded = found.filter("b < 0").selectExpr("a AS node", "-1 - b AS chunk").join(nodes, "node")
+    points = crowded.select("node", "chunk", "fingerprint").mapInArrow(
+        _neighbours(chunk_bits), "chunk bigint, point bigint, node bigint, fingerprint array<bigint>")
     if one:  # all at a point are within 2 bits of each other
         least = points.groupBy("chunk", "point").agg(F.min("node").alias("a"), F.collect_set("node").alias("bs"))
         return pairs.unionByName(least.select("a", F.explode("bs").alias("b")).filter("a <> b")).distinct()
     full = nodes.select("node", "fingerprint")
     met = pairs.join(full.toDF("a", "fa"), "a").join(full.toDF("b", "fb"), "b").filter(
         hamming(F.col("fa"), F.col("fb")) <= distance).select("a", "b")
-    more = points.join(full, "node").groupBy("chunk", "point").applyInPandas(_forest(distance), "a bigint, b bigint")
+    more = points.repartition("chunk", "point").sortWithinPartitions("chunk", "point").mapInArrow(
+        _forest(distance), "a bigint, b bigint")
     return met.unionByName(more).distinct()
 
 
