@@ -15,7 +15,7 @@ from trackgeo.operators.layout import attach, order_rows
 from trackgeo.operators.series import runs
 from trackgeo.session import durable
 
-ROWS_PER_COLUMN = 1 << 20  # run ids are x · 2^20 + first y; a sensor column is far shorter
+ROWS_PER_COLUMN = 1 << 20  # run ids are x · 2^20 + first y; other rows raise
 
 
 def vertical_runs(cells: DataFrame, keys: list[str], x: str = "x_index", y: str = "y_index") -> DataFrame:
@@ -25,7 +25,9 @@ def vertical_runs(cells: DataFrame, keys: list[str], x: str = "x_index", y: str
         "_new": F.coalesce(F.col(y) - F.lag(y).over(w) > 1, F.lit(True)).cast("int")})
     o = o.running_sum({"_run": F.col("_new")})
     table = o.df.groupBy(*keys, x, "_run").agg(F.min(y).alias("y_lo"), F.max(y).alias("y_hi")).drop("_run")
-    return table.withColumn("run", F.col(x).cast("long") * ROWS_PER_COLUMN + F.col("y_lo"))
+    fits = F.col("y_lo").between(0, ROWS_PER_COLUMN - 1)
+    checked = F.when(fits, F.col("y_lo")).otherwise(F.raise_error(F.lit("y outside 0 .. 2^20 - 1")).cast("long"))
+    return table.withColumn("run", F.col(x).cast("long") * ROWS_PER_COLUMN + checked)
 
 
 def touching(run_table: DataFrame, keys: list[str], x: str = "x_index") -> DataFrame:
