@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from trackgeo.llm import (
-    chat, components, decontaminate, gru, packing, quality, queries, simhash, substrings, token_scan, toxicity, url_filters)
+    chat, components, decontaminate, gru, packing, quality, queries, similar_sets, simhash, substrings, token_scan, toxicity, url_filters)
 from trackgeo.session import new_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -324,6 +324,58 @@ def test_simhash_long_prints(spark, monkeypatch, cell):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id >= 100)
 
 
+def alike_components(texts, width=5):
+    """Components of all pairs at 0.8 or more, by brute force."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("cell", [5, 64])
+def test_similar_sets_link_all_pairs_at_the_limit_and_no_other(spark, monkeypatch, cell):
+    """Texts around 0.8, in families with a common passage; also when nearly every shingle is crowded."""
+    monkeypatch.setattr(similar_sets, "CELL", cell)
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(9)]
+    texts = ["", None, "one two", "ONE two", "one two three"]
+    for f in range(6):
+        base = [*(f"f{f}w{i}" for i in range(120 if f % 2 else 40)), *passage]
+        for _ in range(20):
+            words = list(base)
+            for k in rng.choice(len(words), rng.integers(1, 6 if f % 2 else 3), replace=False):
+                words[k] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in similar_sets.near_duplicates(df).collect()}
+    assert [got[i] for i, _ in rows] == alike_components(texts)
+    assert len(set(got.values())) > 12
+    assert similar_sets.near_duplicates(empty(df)).count() == 0
+
+
+def test_pipeline_near_copies_are_decided_by_the_shingles(spark):
+    """80 of 90 shingles shared are 0.8 and a copy, 79 are not, whatever the fingerprints say."""
+    import corpus_pipeline as p
+
+    rows = []
+    for f in range(30):
+        words = [f"f{f}w{i}" for i in range(94)]  # 90 shingles
+        changed = [f"f{f}y{i}" for i in range(11)]
+        rows += [(3 * f, " ".join(words)), (3 * f + 1, " ".join(words[:84] + changed[:10])), (100 + f, f"a b only{f}")]
+        rows += [(1000 + 2 * f, " ".join(f"n{w}" for w in words)), (1001 + 2 * f, " ".join([f"n{w}" for w in words[:83]] + changed))]
+    got = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").select("doc_id").collect()
+    gone = {i for i, _ in rows} - {r.doc_id for r in got}
+    assert gone == {i for i, _ in rows if i % 3 == 1 and i < 90}
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(5, 5), (90, 80), (3, 1)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(edges).collect()}
