@@ -153,6 +153,16 @@ def test_quality_ratios(spark):
         assert abs(r.score - sum(map(micro, grams[r.doc_id])) / len(grams[r.doc_id]) / 1e6) < 2e-6
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    """25,000 trusted documents of one word: its log ratio counts each of them."""
+    df = spark.range(25_100).selectExpr("id AS doc_id", "if(id < 25000, 'good', 'bad') AS text")
+    got = {r.text: r.score for r in quality.judge_quality(df, df.filter("doc_id < 25000").select("doc_id")).filter(
+        "doc_id IN (7, 25050)").collect()}
+    for word, raw, target in (("good", 25_000, 25_000), ("bad", 100, 0)):
+        share = (raw + 1) / (25_100 + quality.BUCKETS)
+        assert abs(got[word] - math.log((target + quality.PRIOR * share) / (25_000 + quality.PRIOR) / share)) < 1e-6
+
+
 def test_token_scan(spark, docs, monkeypatch):
     path = new_path(spark)
     token_scan.write_token_files(docs.repartition(3), path, PATH)

@@ -8,8 +8,7 @@ never saw counts against a document by a bounded amount.
 Log ratios are rounded to millionths and summed as integers, so the sum and the verdict do not depend on the
 order of rows: kept if sum >= threshold * n-grams. The table of ratios has `BUCKETS` numbers whatever the input.
 
-Bounded: at most `max_trusted` trusted ids are used, those with the smallest hash of the id; everything else covers all
-rows. Defined cases: null and blank texts have no words and fail the base rules; without trusted documents all
+All trusted documents count, whatever their number. Defined cases: null and blank texts have no words and fail the base rules; without trusted documents all
 ratios are zero; null ids are never trusted; repeated rows count each; other columns pass through, and input
 columns with the names of results are replaced. Three-word windows are equal if their 64-bit hashes are.
 """
@@ -26,7 +25,6 @@ from trackgeo.session import durable
 
 BUCKETS = 1 << 16
 MICRO = 1_000_000
-MAX_TRUSTED = 20_000
 PRIOR = 4 * BUCKETS
 THRESHOLD = -0.08
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -66,14 +64,12 @@ def grams() -> Column:
     return F.concat(ones, twos)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, max_trusted: int, prior: float) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, prior: float) -> DataFrame:
     """(bucket, micro): ln(target / raw) in millionths for every bucket."""
     spark = docs.sparkSession
-    named = trusted.select(F.col(trusted.columns[0]).alias("_id")).dropna().distinct().orderBy(
-        F.xxhash64("_id"), "_id").limit(max_trusted).withColumn("_trusted", F.lit(1))
-    source = docs.select(F.col(f"`{key}`").alias("_id"), words_column(F.col(f"`{text}`")).alias("_words")).withColumn(
-        "_n", F.size("_words"))
-    flagged = source.join(F.broadcast(named), "_id", "left")  # max_trusted ids at most
+    named = trusted.select(F.col(trusted.columns[0]).alias("_id")).dropna().distinct().withColumn("_trusted", F.lit(1))
+    source = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    flagged = source.join(named, "_id", "left").withColumn("_words", words_column(F.col("_text"))).withColumn("_n", F.size("_words"))
     counts = durable(flagged.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(grams()).alias("bucket")).groupBy(
         "bucket").agg(F.count("*").alias("r"), F.sum("t").alias("t")))
     raw, target = counts.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
@@ -84,13 +80,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, max_tru
 
 
 def judge_quality(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text",
-                  threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, prior: float = PRIOR) -> DataFrame:
+                  threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     """`docs` with the base counts, `base_failed`, `score` (mean log ratio) and `kept`.
 
     The first column of `trusted` holds ids of trusted documents.
     """
     require_columns(docs, key, text)
-    ratios = durable(log_ratios(docs, trusted, key, text, max_trusted, prior))
+    ratios = durable(log_ratios(docs, trusted, key, text, prior))
     table = ratios.agg(F.transform(
         F.sort_array(F.collect_list(F.struct("bucket", "micro"))), lambda x: x["micro"]).alias("m"))  # BUCKETS numbers
     rest = [c for c in docs.columns if c.lower() not in RESULTS]
