@@ -12,6 +12,8 @@ from trackgeo.operators.series import longest_run, mark_runs, runs  # noqa: F401
 from trackgeo.operators.stats import MAD_SCALE, medians, percentiles
 
 GRID = (0.65, 1.35, 176)
+#: Profiles of a track that meet as one side of a matrix product.
+BLOCK = 512
 
 
 # ------------------------------------------------------------------ resampling and shape
@@ -162,42 +164,50 @@ def _block_similarity(a: np.ndarray, b: np.ndarray, min_share: float, min_points
     return np.where(ok, r, np.nan)
 
 
-def sample_similarities(
-    sample: DataFrame, keys: list[str], item: str, shape: str, position: str,
-    min_share: float = 0.60, min_points: int = 5,
+def _blocks(profiles: DataFrame, keys: list[str], item: str, position: str, **sizes) -> DataFrame:
+    """Rows with `_ix`, their place in the track, and `_block`, `BLOCK` places each."""
+    o = order_rows(profiles, keys, [position, item], "_ix", **sizes).df
+    return o.withColumn("_block", F.floor(F.col("_ix") / F.lit(BLOCK)).cast("long"))
+
+
+def pair_similarities(
+    profiles: DataFrame, keys: list[str], item: str, shape: str, position: str,
+    min_share: float = 0.60, min_points: int = 5, **sizes,
 ) -> DataFrame:
-    """Similarities inside a bounded sample (see `evenly_spaced`), i before j, where defined.
+    """Similarities of all pairs of a track, i before j, where defined.
 
-    The sample size is part of the operator, so one group is one small matrix product; groups run
-    in parallel.
+    Every two blocks of a track are one matrix product in one group, so no group grows with the track.
     """
-    ddl_key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema.fields if f.name in keys)
+    ddl_key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in profiles.schema.fields if f.name in keys)
+    rows = _blocks(profiles, keys, item, position, **sizes).select(*keys, item, shape, position, "_ix", "_block")
+    last = rows.groupBy(*keys).agg(F.max("_block").alias("_last"))
+    met = attach(rows, last, keys).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    by = [*keys, "_low", "_high"]
+    met = met.withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([position, item]).reset_index(drop=True)
-        r = _block_similarity(*[_matrix(pdf[shape])] * 2, min_share, min_points)
-        i, j = np.triu_indices(len(pdf), 1)
-        keep = np.isfinite(r[i, j])
-        i, j = i[keep], j[keep]
-        x = pdf[position].to_numpy(float)
+        pdf = pdf.sort_values("_ix").reset_index(drop=True)
+        low = (pdf["_block"] == pdf["_low"]).to_numpy()
+        a, b = pdf[low], pdf if pdf["_low"].iloc[0] == pdf["_high"].iloc[0] else pdf[~low]
+        r = _block_similarity(_matrix(a[shape]), _matrix(b[shape]), min_share, min_points) if len(b) else np.empty((len(a), 0))
+        before = a["_ix"].to_numpy()[:, None] < b["_ix"].to_numpy()[None, :]
+        i, j = np.nonzero(np.isfinite(r) & before)
+        xa, xb = a[position].to_numpy(float), b[position].to_numpy(float)
         out = {k: [pdf[k].iloc[0]] * len(i) for k in keys}
-        ids = pdf[item].to_numpy()
         return pd.DataFrame({
-            **out, "item_i": ids[i], "item_j": ids[j], "separation": np.abs(x[j] - x[i]), "similarity": r[i, j]})
+            **out, "item_i": a[item].to_numpy()[i], "item_j": b[item].to_numpy()[j],
+            "separation": np.abs(xb[j] - xa[i]), "similarity": r[i, j]})
 
-    return sample.select(*keys, item, shape, position).groupBy(*keys).applyInPandas(
+    return met.groupBy(*by).applyInPandas(
         block, f"{ddl_key}, item_i long, item_j long, separation double, similarity double")
 
 
-def medoids(
-    profiles: DataFrame, keys: list[str], item: str, shape: str, position: str, max_n: int = 900, **sizes
-) -> DataFrame:
-    """Sampled profile with the highest median similarity to the others; the first one on ties."""
-    sample = evenly_spaced(profiles, keys, [position, item], max_n, **sizes)
-    pairs = sample_similarities(sample, keys, item, shape, position)
+def medoids(profiles: DataFrame, keys: list[str], item: str, shape: str, position: str, **sizes) -> DataFrame:
+    """Profile with the highest median similarity to all others of its track; the first one on ties."""
+    pairs = pair_similarities(profiles, keys, item, shape, position, **sizes)
     ends = pairs.select(*keys, F.explode(F.array("item_i", "item_j")).alias(item), "similarity")
     mid = ends.groupBy(*keys, item).agg(F.median("similarity").alias("median_similarity"))
-    ranked = sample.select(*keys, item, position).join(mid, [*keys, item], "left")
+    ranked = profiles.select(*keys, item, position).join(mid, [*keys, item], "left")
     score = F.struct(F.coalesce("median_similarity", F.lit(-9.0)), -F.col(position), -F.col(item))
     best = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_size"),
@@ -220,17 +230,22 @@ def similarity_to_medoid(
 
 
 def between_groups(
-    profiles: DataFrame, key: str, item: str, shape: str, position: str, pairs: list[tuple], max_n: int = 550,
+    profiles: DataFrame, key: str, item: str, shape: str, position: str, pairs: list[tuple],
     min_share: float = 0.60, min_points: int = 5, **sizes,
 ) -> DataFrame:
-    """Similarity distribution between the bounded samples of chosen group pairs."""
+    """Similarity distribution between all profiles of chosen group pairs, two blocks at a time."""
     spark = profiles.sparkSession
-    sample = evenly_spaced(profiles, [key], [position, item], max_n, **sizes).select(key, item, shape, position)
-    kt = dict(sample.dtypes)[key]
+    rows = _blocks(profiles, [key], item, position, **sizes).select(key, shape, "_block")
+    last = rows.groupBy(key).agg(F.max("_block").alias("_last"))
+    kt = dict(rows.dtypes)[key]
     table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"pair int, group_a {kt}, group_b {kt}")
-    sides = table.select("pair", F.explode(F.array(F.struct(F.col("group_a").alias(key), F.lit(0).alias("side")),
-                                                   F.struct(F.col("group_b").alias(key), F.lit(1).alias("side")))).alias("e")).select("pair", "e.*")
-    rows = sample.join(F.broadcast(sides), key)
+    wide = table.join(last.toDF("group_a", "_last_a"), "group_a").join(last.toDF("group_b", "_last_b"), "group_b")
+    sides = wide.select("pair", F.explode(F.array(
+        F.struct(F.col("group_a").alias(key), F.lit(0).alias("side"), F.col("_last_b").alias("_last")),
+        F.struct(F.col("group_b").alias(key), F.lit(1).alias("side"), F.col("_last_a").alias("_last")))).alias("e")).select("pair", "e.*")
+    met = rows.join(F.broadcast(sides), key).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    met = met.withColumns({"_a": F.when(F.col("side") == 0, F.col("_block")).otherwise(F.col("_other")),
+                           "_b": F.when(F.col("side") == 0, F.col("_other")).otherwise(F.col("_block"))})
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -239,7 +254,7 @@ def between_groups(
         r = _block_similarity(_matrix(a[shape]), _matrix(b[shape]), min_share, min_points).ravel()
         return pd.DataFrame({"pair": int(pdf["pair"].iloc[0]), "similarity": r[np.isfinite(r)]})
 
-    sims = rows.groupBy("pair").applyInPandas(block, "pair int, similarity double")
+    sims = met.groupBy("pair", "_a", "_b").applyInPandas(block, "pair int, similarity double")
     return sims.join(F.broadcast(table), "pair").select("group_a", "group_b", "similarity")
 
 

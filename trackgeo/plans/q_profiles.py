@@ -66,10 +66,9 @@ ps AS (SELECT *, cv / sqrt(va * vb) AS sim FROM pc WHERE n >= greatest(0.6 * 64,
 
 
 def pairs(spark, sf):
-    """Similarities inside a sample of at most 900 profiles per track: all of them here."""
+    """Similarities of all pairs of profiles of a track."""
     s = shaped(spark, sf).filter("nonflat")
-    sample = pr.evenly_spaced(s, KEYS, ["x_mm", "x_index"], 900)
-    return durable(pr.sample_similarities(sample, KEYS, "x_index", "shape", "x_mm"))
+    return durable(pr.pair_similarities(s, KEYS, "x_index", "shape", "x_mm"))
 
 
 @query("similarity_summary", f"""WITH {SIM} SELECT track_id, count(*) AS n_pairs, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.5), 6) AS p50,
