@@ -102,7 +102,8 @@ def align(items: Items, jobs: list[tuple[int, int, np.ndarray]]) -> list[tuple[i
     item = np.array([j[0] for j in jobs])
     k, m = items.k[item], items.m[item]
     low = np.array([j[1] for j in jobs]) * (k + 1) - k  # first diagonal of the widened band
-    span = int((2 * (k + 1) + 2 * k).max())
+    own = 2 * (k + 1) + 2 * k  # diagonals of each job; beyond them lie other bands
+    span = int(own.max())
     size = np.array([len(j[2]) for j in jobs])
     length = int(m.max())
     window = np.zeros((len(jobs), length + span), np.uint32)  # 0 stands outside the text and matches nothing
@@ -114,12 +115,15 @@ def align(items: Items, jobs: list[tuple[int, int, np.ndarray]]) -> list[tuple[i
         wanted[row, :m[row]] = items.points[i]
     step, t = np.int64(FAR), np.arange(span, dtype=np.int64)
     cost = np.tile(t, (len(jobs), 1))  # edits * FAR + start, so the least is the fewest edits, then the first start
+    beyond = t >= own[:, None]
+    cost[beyond] = 1 << 60
     best: list = [None] * len(jobs)
     for i in range(length):
         beside = np.full_like(cost, 1 << 60)
         beside[:, :-1] = cost[:, 1:] + step
         cost = np.minimum(cost + np.where(window[:, i:i + span] == wanted[:, i:i + 1], 0, step), beside)
         cost = np.minimum.accumulate(cost - t * step, axis=1) + t * step
+        np.putmask(cost, beyond, 1 << 60)
         for row in np.flatnonzero(m == i + 1):
             end = int(np.argmin(cost[row]))
             edits, start = divmod(int(cost[row, end]), FAR)
