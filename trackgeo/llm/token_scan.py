@@ -3,7 +3,8 @@
 A file is nothing but unsigned 16-bit ids, documents one after another, each closed by the end id; there is no
 index. `write_token_files` makes such files with Spark's text sink: a document's bytes are the line, and the two
 bytes of the end id are the line separator. Each document opens with `HEADER` ids that spell its own id in
-15-bit digits, which can never equal the end id.
+15-bit digits, which can never equal the end id. An end id that a text itself spells is written as `SPELT`, an id
+that no word has, so it counts as the one token it is.
 
 `scan_token_files` reads files by Spark's binary source in any store, cuts them into blocks of `BLOCK` ids and looks
 for end ids in each block with one vector comparison. Blocks do not know where their first document began; a
@@ -28,6 +29,7 @@ from trackgeo.llm.common import no_cycles, require_columns
 from trackgeo.llm.tokenizing import encoder
 
 END = 49407  # the tokenizer's end-of-text id; as bytes FF C0
+SPELT = END + 1
 HEADER = 5
 BLOCK = 1 << 19
 SEEN = "ends array<bigint>, starts array<bigint>, ids array<bigint>"
@@ -58,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, key: str = "do
                     whole = [encode(t or "") for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), whole):
                     if (np.frombuffer(ids, np.uint16) == END).any():  # only where a text spells the end mark
-                        ids = np.frombuffer(ids, np.uint16)[np.frombuffer(ids, np.uint16) != END].tobytes()
+                        ids = np.where(np.frombuffer(ids, np.uint16) == END, np.uint16(SPELT), np.frombuffer(ids, np.uint16)).tobytes()
                     lines.append(spell(doc) + ids)
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["ids"])
 
