@@ -17,6 +17,7 @@ an empty table gives an empty table. A conversation is one value, so it must fit
 from __future__ import annotations
 
 import hashlib
+import functools
 import itertools
 from dataclasses import dataclass
 
@@ -115,7 +116,11 @@ def _turns(layout: Layout, schema: StructType) -> Column:
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """`records` with `fingerprint`, `layout` (null if none fits) and `turns` (role, text)."""
+    """`records` with `fingerprint`, `layout` (null if none fits) and `turns` (role, text).
+
+    Where no layout has the exact fingerprint, as other columns share names with layouts, the one with the longest
+    required paths among those present is taken and the other columns are ignored.
+    """
     schema = records.schema
     usable = [x for x in layouts if all(_has(schema, p) for p in x.required)
               and all(_has(schema, t) for r, t in x.turns[:1] if not x.required)]
@@ -123,6 +128,11 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
     shown = [F.when(_present(p), F.lit(p)) for p in paths]
     mark = F.sha2(F.concat_ws("\n", *shown) if shown else F.lit(""), 256)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for x in sorted(usable, key=lambda x: sum(map(len, x.required))):
+        known = [_present(p) for p in x.required or x.optional if _has(schema, p)]
+        fits = functools.reduce(Column.__and__ if x.required else Column.__or__, known)
+        name = F.when(fits, F.lit(x.name)).otherwise(name)
+        turns = F.when(fits, _turns(x, schema)).otherwise(turns)
     for x in reversed(usable):
         fits = F.col("fingerprint").isin(x.fingerprints())
         name = F.when(fits, F.lit(x.name)).otherwise(name)
@@ -150,11 +160,12 @@ def _escape_role(role: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, key: str, order: str | None = None, learn: str = "assistant") -> DataFrame:
-    """One row per `key` from rows with `turns`: the formatted text and the loss spans of `learn` turns."""
+    """One row per `key` from rows with `turns`: the formatted text and the loss spans of `learn` turns; without turns both are empty."""
     sorting = F.col(order) if order else F.lit(0)
-    flat = turns.select(F.col(key), sorting.alias("at"), F.posexplode("turns").alias("nth", "turn"))
+    flat = turns.select(F.col(key), sorting.alias("at"), F.posexplode_outer("turns").alias("nth", "turn"))
     talks = flat.groupBy(key).agg(F.sort_array(F.collect_list(
         F.struct("at", "nth", "turn.role", "turn.text"))).alias("said"))
+    talks = talks.withColumn("said", F.filter("said", lambda t: t["nth"].isNotNull()))
     parts = talks.select(key, F.transform("said", lambda t: F.struct(
         F.concat(F.lit(TURN), _escape_role(t["role"]), F.lit("\n")).alias("head"),
         escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn"))).alias("parts"))
