@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackgeo.llm import chat, decontaminate, gru, packing, quality, simhash, substrings, token_scan, toxicity, url_filters
+from trackgeo.llm import (
+    bitmask_codes, chat, decontaminate, gru, packing, periodic_runs, quality, simhash, substrings, token_lists, token_scan, toxicity,
+    url_filters)
+from trackgeo.llm.common import words_column
 from trackgeo.session import new_path
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 CATEGORIES = ["low_quality", "toxic"]
 SPACE = r"[\x20\x09-\x0D]"
@@ -143,8 +146,42 @@ def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return gru.score_texts(table(spark, sf, "documents"))
 
 
+def op11_token_lists(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark)
+    token_lists.write_token_lists(table(spark, sf, "documents"), path, public_tokenizers.path(BYTE_TOKENIZER))
+    return token_lists.checksums(token_lists.read_token_lists(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = bitmask_codes.encode_vectors(table(spark, sf, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+                        F.lit(bitmask_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Each tenth document (by CRC) repeats a stretch of its words from some place on; the others stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    bound = F.transform(F.array(words_column(F.col("text"))), lambda w: F.struct(w.alias("w"), F.size(w).alias("n")))
+    cut = F.transform(bound, lambda s: F.struct(
+        s["w"].alias("w"), s["n"].alias("n"), F.pmod(F.floor(h / 10), s["n"]).cast("int").alias("a")))
+    stepped = F.transform(cut, lambda s: F.struct(s["w"].alias("w"), s["n"].alias("n"), s["a"].alias("a"), (
+        1 + F.floor((s["n"] - s["a"]) / (3 + F.pmod(F.floor(h / 10), F.lit(8))))).cast("int").alias("p")))
+    planted = F.transform(stepped, lambda s: F.concat(F.slice(s["w"], F.lit(1), s["a"]), F.slice(F.flatten(F.array_repeat(
+        F.slice(s["w"], s["a"] + 1, s["p"]), F.ceil((s["n"] - s["a"]) / s["p"]).cast("int"))), F.lit(1), s["n"] - s["a"])))
+    chosen = (h % 10 == 0) & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return docs.withColumn("text", F.when(chosen, F.array_join(F.get(planted, F.lit(0)), " ")).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _with_planted_periods(table(spark, sf, "documents").select("doc_id", "text"))
+    return periodic_runs.mark_runs(docs, carry=["doc_id"]).select(
+        "doc_id", "n_runs", *periodic_runs.BEST, periodic_runs.runs_digest().alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_chat_format, op3_substring_dedup, op4_toxicity, op5_quality_rules, op6_token_counts,
-        op7_decontamination, op8_best_fit_packing, op9_simhash, op10_lm_scoring)}
+        op7_decontamination, op8_best_fit_packing, op9_simhash, op10_lm_scoring, op11_token_lists,
+        op12_vector_codes, op13_periodic_runs)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_substring_dedup": OP3_SQL}
