@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text into parts by a fixed pattern (a letter run, digit run or sign run with at most one space
 in front, or white space) and never joins over a cut. A single space before a part always opens that part, so
-a text of Latin letters, digits and usual signs can be cut at spaces, and the ids of each chunk be remembered. White-space
+a text of Latin letters, digits and usual signs can be cut at spaces, and the ids of each chunk be remembered, for all
+tasks of a Python worker. White-space
 runs of three or more, and runs of two at the end, can hold a cut that depends on both sides: such texts
 are cut by the whole pattern. Any other text goes through the tokenizer as it is. Results equal those of
 `encode(text, add_special_tokens=False)`.
@@ -18,16 +19,27 @@ from trackgeo.llm.tokenizing import DIGITS, LETTERS, PLAIN, _byte_letters
 BLANK = r"\x20\t\n\x0B\f\r"
 PARTS = (rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANK}{LETTERS}{DIGITS}]+"
          rf"|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-MOST_CHUNKS, MOST_PARTS, LONGEST_KEPT = 600_000, 400_000, 200
+MOST_KEPT, LONGEST_KEPT = 450_000, 100
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian unsigned 32-bit integers. Loads the file once."""
+    """A function from a text to its ids as little-endian unsigned 32-bit integers, made once in a worker process."""
     import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tokenizers
+
+    # Tasks unpickle this function anew, so what outlives a task hangs on the imported library.
+    held = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
+    if path not in held:
+        held[path] = _encoder(path)
+    return held[path]
+
+
+def _encoder(path: str) -> Callable[[str], bytes]:
     import re
     from array import array
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -36,35 +48,40 @@ def encoder(path: str) -> Callable[[str], bytes]:
     crossing = re.compile(rf"[{BLANK}]{{3}}|[{BLANK}]{{2}}\Z").search
     around = [pair for c in "\t\n\x0B\f\r" for pair in (f" {c}", f"{c} ")] + ["  "]
 
-    class Parts(dict):
-        def __missing__(self, part: str) -> bytes:
-            if part.isascii() and part.isprintable():  # only the space has another letter
-                letters = part.replace(" ", shown[0x20])
-            else:
-                letters = part.encode().decode("latin-1").translate(shown)
-            ids = array("I", [t.id for t in model.tokenize(letters)]).tobytes()
-            if len(part) <= LONGEST_KEPT:
-                self[part] = ids
-            return ids
+    def one(part: str) -> bytes:
+        if part.isascii() and part.isprintable():  # only the space has another letter
+            letters = part.replace(" ", shown[0x20])
+        else:
+            letters = part.encode().decode("latin-1").translate(shown)
+        return array("I", [t.id for t in model.tokenize(letters)]).tobytes()
 
-    of_part = Parts()
+    class Kept(dict):
+        """Ids by text, computed where missing. Of a full table the texts in use move on, the others are forgotten."""
 
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            if chunk.isascii() and chunk.isalpha():
-                ids = of_part[" " + chunk]
-            else:
-                ids = b"".join(map(of_part.__getitem__, parts(" " + chunk)))
-            if len(chunk) <= LONGEST_KEPT:
-                self[chunk] = ids
+        def __init__(self, make: Callable[[str], bytes]):
+            self.make, self.old = make, {}
+
+        def __missing__(self, text: str) -> bytes:
+            ids = self.old.get(text)
+            if ids is None:
+                ids = self.make(text)
+                if len(text) > LONGEST_KEPT:
+                    return ids
+            self[text] = ids
             return ids
 
-    of_chunk = Chunks()
+        def tidy(self) -> None:
+            if len(self) > MOST_KEPT:
+                self.old = dict(self)
+                self.clear()
+
+    of_part = Kept(one)
+    of_chunk = Kept(lambda chunk: one(" " + chunk) if chunk.isascii() and chunk.isalpha() else b"".join(
+        map(of_part.__getitem__, parts(" " + chunk))))
 
     def encode(text: str) -> bytes:
-        for held, most in ((of_chunk, MOST_CHUNKS), (of_part, MOST_PARTS)):
-            if len(held) > most:
-                held.clear()
+        of_chunk.tidy()
+        of_part.tidy()
         if not plain(text) or "<|" in text:
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if any(pair in text for pair in around) and crossing(text) or text[-2:].isspace():
