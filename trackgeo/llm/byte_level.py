@@ -43,7 +43,7 @@ def _encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model, shown = tokenizer.model, {byte: chr(letter) for byte, letter in _byte_letters().items()}
+    tokenize, shown = tokenizer.model.tokenize, {byte: chr(letter) for byte, letter in _byte_letters().items()}
     plain, parts = re.compile(PLAIN).fullmatch, re.compile(PARTS).findall
     crossing = re.compile(rf"[{BLANK}]{{3}}|[{BLANK}]{{2}}\Z").search
     around = [pair for c in "\t\n\x0B\f\r" for pair in (f" {c}", f"{c} ")] + ["  "]
@@ -53,7 +53,7 @@ def _encoder(path: str) -> Callable[[str], bytes]:
             letters = part.replace(" ", shown[0x20])
         else:
             letters = part.encode().decode("latin-1").translate(shown)
-        return array("I", [t.id for t in model.tokenize(letters)]).tobytes()
+        return array("I", [t.id for t in tokenize(letters)]).tobytes()
 
     class Kept(dict):
         """Ids by text, computed where missing. Of a full table the texts in use move on, the others are forgotten."""
@@ -76,8 +76,13 @@ def _encoder(path: str) -> Callable[[str], bytes]:
                 self.clear()
 
     of_part = Kept(one)
-    of_chunk = Kept(lambda chunk: one(" " + chunk) if chunk.isascii() and chunk.isalpha() else b"".join(
-        map(of_part.__getitem__, parts(" " + chunk))))
+
+    def spaced(chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():
+            return array("I", [t.id for t in tokenize(shown[0x20] + chunk)]).tobytes()
+        return b"".join(map(of_part.__getitem__, parts(" " + chunk)))
+
+    of_chunk = Kept(spaced)
 
     def encode(text: str) -> bytes:
         of_chunk.tidy()
