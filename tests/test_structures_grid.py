@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackgeo.operators import grid as gr
+from trackgeo.operators import stats as st
 from trackgeo.operators import structures as sx
 from trackgeo.sources import readers, writers
 
@@ -55,27 +56,78 @@ def test_labels_inventory_and_region(spark):
     assert abs(region["major_axis"] - 4 * np.sqrt(eig[1])) < 1e-6
 
 
-def test_plane_fit_in_task_equals_distributed(spark):
+def brute_plane(x, y, z, rule):
+    """All rounds over plain arrays, with the minimum-norm slope of centred positions."""
+    keep, plane = np.ones(len(z), bool), None
+    for _ in range(rule.rounds):
+        if keep.sum() < rule.min_samples:
+            break
+        mean = [v[keep].mean() for v in (x, y, z)]
+        a, b = np.linalg.pinv(np.column_stack([x[keep] - mean[0], y[keep] - mean[1]]), rcond=1e-9) @ (z[keep] - mean[2])
+        plane = (a, b, mean[2] - a * mean[0] - b * mean[1])
+        off = z - a * x - b * y - plane[2]
+        if rule.trim == "mad":
+            mid = np.median(off[keep])
+            half = 3 * max(1.4826 * np.median(np.abs(off[keep] - mid)), 1e-9)
+            lo, hi = mid - half, mid + half
+        else:
+            lo, hi = np.percentile(off if rule.trim == "all" else off[keep], [5, 95])
+        tighter = (off >= lo) & (off <= hi) & (keep if rule.trim == "kept" else True)
+        if tighter.sum() < rule.min_samples:
+            break
+        keep = tighter
+    return plane, len(z), int(keep.sum())
+
+
+@pytest.mark.parametrize("rule", [gr.GLOBAL, gr.FOCUSED, gr.FOCUSED_MAD])
+def test_planes_equal_brute_force(spark, rule):
     rng = np.random.default_rng(2)
     rows = []
     for k, slope in ((1, 0.01), (2, -0.02)):
         for x in range(24):
             for y in range(20):
                 z = slope * x * 0.5 + 0.03 * y * 0.1 + 0.2 + rng.normal() * 1e-3 + (0.5 if rng.random() < 0.02 else 0)
-                rows.append((k, x, y, x * 0.5, y * 0.1, float(z)))
-    df = spark.createDataFrame(rows, "k int, x_index int, y_index int, x_mm double, y_mm double, z_mm double")
-    for rule in (gr.GLOBAL, gr.FOCUSED, gr.FOCUSED_MAD):
-        a = gr.fit_planes(df, ["k"], rule, every=(1, 1)).orderBy("k").toPandas()
-        b = gr.fit_planes(df, ["k"], rule, every=(1, 1), hot_rows=100).orderBy("k").toPandas()
-        np.testing.assert_allclose(a[["a", "b", "c"]], b[["a", "b", "c"]], atol=1e-10)
-        assert (a["n_final"] == b["n_final"]).all()
-        np.testing.assert_allclose(a["a"], [0.01, -0.02], atol=5e-4)
+                rows.append((k, x * 0.5, y * 0.1, float(z)))
+    for i in range(400):  # positions on one line, outside the corridor on both ends
+        rows.append((3, 0.01 * i, 0.02 * i - 3, float(0.8 * 0.01 * i + 1.6 * 0.02 * i + rng.normal() * 1e-4)))
+    rows += [(4, 1.0, 0.5, float(v)) for v in rng.normal(size=150)]  # all in one point
+    rows += [(5, float(i), 0.1, 1.0) for i in range(99)]  # too few
+    rows += [(6, float(i % 50), 0.1 * (i % 3), 2.0) for i in range(300)]  # all residuals equal
+    rows += [(7, float(rng.normal()), float(rng.normal()), float(rng.normal())) for _ in range(112)]  # one trim leaves too few
+    df = spark.createDataFrame([(k, 0, 0, *r) for k, *r in rows], "k int, x_index int, y_index int, x_mm double, y_mm double, z_mm double")
+    got = {r.k: r for r in gr.fit_planes(df.repartition(5), ["k"], rule).collect()}
+    for k in range(1, 8):
+        x, y, z = (np.array(v) for v in zip(*[r for kk, *r in rows if kk == k]))
+        if rule.substrate_only:
+            out = (y < gr.CORRIDOR_MM[0]) | (y > gr.CORRIDOR_MM[1])
+            x, y, z = x[out], y[out], z[out]
+        plane, n, final = brute_plane(x, y, z, rule)
+        assert got[k].n_initial == n
+        if k != 6:  # residuals that are rounding alone may fall on either side of a limit
+            assert got[k].n_final == final, k
+        if plane is None:
+            assert got[k].a is None and got[k].b is None and got[k].c is None
+        else:
+            np.testing.assert_allclose((got[k].a, got[k].b, got[k].c), plane, atol=1e-9)
+
+
+def test_percentiles_in_place(spark):
+    rng = np.random.default_rng(4)
+    groups = {1: rng.normal(size=3001), 2: np.repeat([0.0, -2.5, 7.0], [5, 9, 4]), 3: np.array([4.5]), 4: rng.integers(-3, 4, 500) * 1.0,
+              5: np.exp(rng.normal(size=1000) * 9) * rng.choice([-1, 1], 1000)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(1, None), (9, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(7)
+    probs = [0.0, 0.05, 0.31, 0.5, 0.95, 1.0]
+    got = {r.k: r.q for r in st.percentiles_in_place(df, ["k"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        np.testing.assert_allclose(got[k], np.quantile(vs, probs), rtol=1e-12, atol=1e-300)
 
 
 def test_exact_plane_and_short_sample(spark):
     rows = [(1, x, y, float(x), y * 0.1, 0.5 * x - 2.0 * y * 0.1 + 3) for x in range(20) for y in range(20)] + [(2, 0, y, 0.0, y * 0.1, 1.0) for y in range(20)]
     df = spark.createDataFrame(rows, "k int, x_index int, y_index int, x_mm double, y_mm double, z_mm double")
-    flat = gr.detrend(df, gr.fit_planes(df, ["k"], gr.GLOBAL, every=(1, 1)), ["k"])
+    flat = gr.detrend(df, gr.fit_planes(df, ["k"], gr.GLOBAL), ["k"])
     assert flat.filter("k = 1").agg(F.max(F.abs("z_mm"))).first()[0] < 1e-9
     assert flat.filter("k = 2").agg(F.min("z_mm")).first()[0] == 1.0
 

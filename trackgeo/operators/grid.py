@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackgeo.config import CORRIDOR_MM, X_START_MM, X_STOP_MM
 from trackgeo.operators import joins
-from trackgeo.operators.layout import HOT_ROWS, attach, largest_group, order_rows
+from trackgeo.operators.layout import attach, order_rows
 from trackgeo.operators.series import gradient_in_runs, mark_runs
-from trackgeo.operators.stats import MAD_SCALE, median_and_mad, medians, percentiles
+from trackgeo.operators.stats import MAD_SCALE, median_and_mad, percentiles, percentiles_in_place
 from trackgeo.session import durable
 
 
@@ -91,138 +89,95 @@ FOCUSED = PlaneRule(3, True, "kept")
 FOCUSED_MAD = PlaneRule(4, True, "mad")
 
 
-def solve_plane(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Least-squares z = a·x + b·y + c per key from centred second moments (mergeable sums)."""
-    m = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_new"),
-        F.avg("x_mm").alias("mx"), F.avg("y_mm").alias("my"), F.avg("z_mm").alias("mz"),
-        F.var_pop("x_mm").alias("xx"), F.var_pop("y_mm").alias("yy"),
-        F.covar_pop("x_mm", "y_mm").alias("xy"),
-        F.covar_pop("x_mm", "z_mm").alias("xz"), F.covar_pop("y_mm", "z_mm").alias("yz"),
-    )
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    flat = det <= 0
-    a = F.when(flat, F.when(F.col("xx") > 0, F.col("xz") / F.col("xx")).otherwise(0.0)).otherwise(
-        (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det)
-    b = F.when(flat, F.when(F.col("xx") > 0, F.lit(0.0)).otherwise(
-        F.when(F.col("yy") > 0, F.col("yz") / F.col("yy")).otherwise(0.0))).otherwise(
-        (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det)
-    return m.select(*keys, "n_new", a.alias("a_new"), b.alias("b_new"), "mx", "my", "mz").select(
-        *keys, "n_new", "a_new", "b_new",
-        (F.col("mz") - F.col("a_new") * F.col("mx") - F.col("b_new") * F.col("my")).alias("c_new"),
-    )
+#: Below this share of the larger eigenvalue the positions count as lying on one line.
+LINE = 1e-12
 
 
-def _plane_residual(a: Column, b: Column, c: Column) -> Column:
-    return F.col("z_mm") - (a * F.col("x_mm") + b * F.col("y_mm") + c)
+def plane_of(m: Column) -> Column:
+    """Struct `(a, b, c)`: least squares z = a·x + b·y + c of minimum slope from centred second moments.
 
+    Positions on one line have a moment matrix M of rank one, whose pseudo-inverse is M / trace²; positions in
+    one point leave a = b = 0.
+    """
+    trace = m["xx"] + m["yy"]
+    det = m["xx"] * m["yy"] - m["xy"] * m["xy"]
+    larger = trace / 2 + F.sqrt((m["xx"] - m["yy"]) * (m["xx"] - m["yy"]) / 4 + m["xy"] * m["xy"])
+    full = det > LINE * larger * larger  # the smaller eigenvalue is det / larger
+    line = trace > 0
 
-def _fit_one(pdf: pd.DataFrame, keys: list[str], rule: PlaneRule) -> pd.DataFrame:
-    """All rounds for one track's thinned samples."""
-    x, y, z = (pdf[c].to_numpy(float) for c in ("x_mm", "y_mm", "z_mm"))
-    keep = np.ones(len(z), dtype=bool)
-    plane = np.full(3, np.nan)
-    for _ in range(rule.rounds):
-        if keep.sum() < rule.min_samples:
-            break
-        mx, my, mz = x[keep].mean(), y[keep].mean(), z[keep].mean()
-        basis = np.column_stack([x[keep] - mx, y[keep] - my])
-        (a, b), *_ = np.linalg.lstsq(basis, z[keep] - mz, rcond=None)
-        plane = np.array([a, b, mz - a * mx - b * my])
-        resid = z - (plane[0] * x + plane[1] * y + plane[2])
-        if rule.trim == "mad":
-            mid = np.median(resid[keep])
-            half = 3.0 * max(MAD_SCALE * np.median(np.abs(resid[keep] - mid)), 1e-9)
-            lo, hi = mid - half, mid + half
-        else:
-            lo, hi = np.percentile(resid if rule.trim == "all" else resid[keep], [5, 95])
-        inside = (resid >= lo) & (resid <= hi)
-        tighter = keep & inside if rule.trim == "kept" else inside
-        if tighter.sum() < rule.min_samples:
-            break
-        keep = tighter
-    a, b, c = (None if np.isnan(v) else float(v) for v in plane)
-    first = {k: [pdf[k].iloc[0]] for k in keys}
-    return pd.DataFrame({**first, "a": [a], "b": [b], "c": [c], "n_initial": [len(z)], "n_final": [int(keep.sum())]})
+    def slope(solved: Column, projected: Column) -> Column:
+        return F.when(full, solved / det).when(line, projected / (trace * trace)).otherwise(F.lit(0.0))
+
+    a = slope(m["xz"] * m["yy"] - m["yz"] * m["xy"], m["xx"] * m["xz"] + m["xy"] * m["yz"])
+    b = slope(m["yz"] * m["xx"] - m["xz"] * m["xy"], m["xy"] * m["xz"] + m["yy"] * m["yz"])
+    return F.struct(a.alias("a"), b.alias("b"), (m["mz"] - a * m["mx"] - b * m["my"]).alias("c"))
+
+
+def plane_moments(kept: Column) -> Column:
+    """Mergeable moments of the kept samples of a group."""
+    x, y, z = (F.when(kept, F.col(c)) for c in ("x_mm", "y_mm", "z_mm"))
+    return F.struct(
+        F.count(x).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(z).alias("mz"),
+        F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"),
+        F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"))
+
+
+def _plane_residual(p: Column) -> Column:
+    return F.col("z_mm") - (p["a"] * F.col("x_mm") + p["b"] * F.col("y_mm") + p["c"])
 
 
 def fit_planes(
-    points: DataFrame,
-    keys: list[str],
-    rule: PlaneRule = FOCUSED,
-    corridor: tuple[float, float] = CORRIDOR_MM,
-    every: tuple[int, int] = (40, 2),
-    hot_rows: int = HOT_ROWS,
+    points: DataFrame, keys: list[str], rule: PlaneRule = FOCUSED, corridor: tuple[float, float] = CORRIDOR_MM,
 ) -> DataFrame:
-    """Robust plane per key: `a, b, c, n_initial, n_final`; coefficients null when samples lack.
+    """Robust plane per key over all its samples: `a, b, c, n_initial, n_final`; coefficients null when samples lack.
 
-    Tracks whose thinned samples are known to fit a task are fitted there, all rounds in one
-    shuffle. Above `hot_rows` a round is one mergeable aggregate over the samples plus one
-    percentile pass; the state between rounds is one row per key (its past trim limits), written
-    out to keep the plan short.
+    A round is one mergeable aggregate over the kept samples and exact trimming limits from bucket counts
+    (`percentiles_in_place`); samples are written once and never moved. The state between rounds is one row per
+    key: the planes so far with their limits. A round that would keep fewer than `min_samples` ends the fit of its
+    key, which stays as it was.
     """
-    sample = stride(points, {"x_index": every[0], "y_index": every[1]}).filter("z_mm is not null")
+    sample = points.filter("z_mm is not null")
     if rule.substrate_only:
         sample = sample.filter(substrate(corridor=corridor))
-    sample = sample.select(*keys, "x_mm", "y_mm", "z_mm")
-    if largest_group(sample, keys) <= hot_rows:
-        types = ", ".join(f"`{n}` {t}" for n, t in sample.dtypes if n in keys)
-        return sample.groupBy(*keys).applyInPandas(
-            lambda pdf: _fit_one(pdf, keys, rule), f"{types}, a double, b double, c double, n_initial long, n_final long")
-    sample = durable(sample)
-    how = {"hot_rows": hot_rows}
-    state = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_initial")).select(
-        *keys, "n_initial", F.col("n_initial").alias("n_final"),
-        *[F.lit(None).cast("double").alias(c) for c in "abc"],
-        F.lit(None).cast("array<struct<a:double,b:double,c:double,lo:double,hi:double>>").alias("h"),
-        F.lit(False).alias("stopped"),
-    )
-
-    def inside(limits: Column) -> Column:
-        return _plane_residual(limits["a"], limits["b"], limits["c"]).between(limits["lo"], limits["hi"])
-
-    kept = F.col("h").isNull() | (
-        F.forall("h", inside) if rule.trim == "kept" else inside(F.element_at("h", -1))
-    )
-    for done in range(rule.rounds + 1):
-        rows = attach(sample, state, keys).filter(~F.col("stopped") & kept)
-        fit = solve_plane(rows, keys)
-        joined = state.join(fit, keys, "left")
-        usable = ~F.col("stopped") & (F.coalesce("n_new", F.lit(0)) >= rule.min_samples)
-        last = done == rule.rounds  # only the size of the final keep set is still wanted
-        state = joined.select(
-            *keys, "n_initial",
-            F.when(usable, F.col("n_new")).otherwise(F.col("n_final")).alias("n_final"),
-            *[
-                F.col(c) if last else F.when(usable, F.col(f"{c}_new")).otherwise(F.col(c)).alias(c)
-                for c in "abc"
-            ],
-            "h",
-            (~usable).alias("stopped"),
-        )
-        if last:
-            break
-        rows = attach(sample, state, keys).filter(~F.col("stopped"))
-        if rule.trim != "all":
-            rows = rows.filter(kept)
-        resid = rows.withColumn("r", _plane_residual(F.col("a"), F.col("b"), F.col("c")))
-        if rule.trim == "mad":
-            s = median_and_mad(resid, keys, ["r"], **how)
-            half = 3.0 * F.greatest(F.col("r_mad"), F.lit(1e-9))
-            limits = s.select(*keys, (F.col("r_median") - half).alias("lo"),
-                              (F.col("r_median") + half).alias("hi"))
-        else:
-            q = percentiles(resid, keys, {"q": "r"}, [0.05, 0.95], **how)
-            limits = q.select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-        entry = F.struct("a", "b", "c", "lo", "hi")
-        history = F.concat(F.coalesce("h", F.array().cast(
-            "array<struct<a:double,b:double,c:double,lo:double,hi:double>>")), F.array(entry))
-        state = durable(
-            state.join(limits, keys, "left").withColumn(
-                "h", F.when(F.col("lo").isNotNull(), history).otherwise(F.col("h"))
-            ).drop("lo", "hi")
-        )
-    return state.select(*keys, "a", "b", "c", "n_initial", "n_final")
+    sample = durable(sample.select(*keys, "x_mm", "y_mm", "z_mm"))
+    history = "array<struct<plane:struct<a:double,b:double,c:double>,lo:double,hi:double>>"
+    inside = lambda past: _plane_residual(past["plane"]).between(past["lo"], past["hi"])
+    kept = F.forall("past", inside) if rule.trim == "kept" else F.coalesce(inside(F.get("past", F.size("past") - 1)), F.size("past") == 0)
+
+    def solved(rows: DataFrame) -> DataFrame:
+        """Size and plane of the kept samples of every key, over what the state said before."""
+        held = ["plane", "n_final", "n_initial", "past", "stopped"]
+        m = rows.groupBy(*keys).agg(plane_moments(kept & ~F.col("stopped")).alias("m"), *[F.first(c).alias(c) for c in held])
+        usable = ~F.col("stopped") & (F.col("m")["n"] >= rule.min_samples)
+        return m.select(
+            *keys, F.when(usable, plane_of(F.col("m"))).otherwise(F.col("plane")).alias("plane"),
+            F.when(usable, F.col("m")["n"]).otherwise(F.col("n_final")).alias("n_final"), "n_initial", "past", (~usable).alias("stopped"))
+
+    def limits(rows: DataFrame) -> DataFrame:
+        pool = rows.filter(~F.col("stopped")) if rule.trim == "all" else rows.filter(~F.col("stopped") & kept)
+        away = pool.select(*keys, _plane_residual(F.col("plane")).alias("r"))
+        if rule.trim != "mad":
+            return percentiles_in_place(away, keys, "r", [0.05, 0.95]).select(
+                *keys, F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+        middle = durable(percentiles_in_place(away, keys, "r", [0.5]).select(*keys, F.get("q", F.lit(0)).alias("mid")))
+        off = attach(away, middle, keys).select(*keys, F.abs(F.col("r") - F.col("mid")).alias("d"))
+        spread = percentiles_in_place(off, keys, "d", [0.5]).join(middle, keys)
+        half = 3.0 * F.greatest(MAD_SCALE * F.get("q", F.lit(0)), F.lit(1e-9))
+        return spread.select(*keys, (F.col("mid") - half).alias("lo"), (F.col("mid") + half).alias("hi"))
+
+    first = sample.groupBy(*keys).agg(F.count("*").alias("n_initial")).select(
+        *keys, F.lit(None).cast("struct<a:double,b:double,c:double>").alias("plane"), F.col("n_initial").alias("n_final"), "n_initial",
+        F.array().cast(history).alias("past"), F.lit(False).alias("stopped"))
+    state = durable(solved(attach(sample, durable(first), keys)))
+    for _ in range(rule.rounds):
+        entry = F.array(F.struct("plane", "lo", "hi"))
+        trimmed = durable(state.join(limits(attach(sample, state, keys)), keys, "left").withColumn(
+            "past", F.when(F.col("lo").isNull(), F.col("past")).otherwise(F.concat("past", entry).cast(history))).drop("lo", "hi"))
+        last = state
+        state = durable(solved(attach(sample, trimmed, keys)))
+    # The last trim is counted, but no plane is fitted to it.
+    planes = last.select(*keys, "plane").join(state.select(*keys, "n_initial", "n_final"), keys)
+    return planes.select(*keys, "plane.a", "plane.b", "plane.c", "n_initial", "n_final")
 
 
 def detrend(points: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,6 @@ from trackgeo.plans.registry import query, r, rounded
 from trackgeo.session import durable
 
 KEYS = ["track_id"]
-EVERY = (4, 2)
 LO, HI = CORRIDOR_MM
 SUB = f"(y_mm < {LO} OR y_mm > {HI})"
 MID = f"(y_mm BETWEEN {LO} AND {HI})"
@@ -21,7 +20,7 @@ MID = f"(y_mm BETWEEN {LO} AND {HI})"
 def plane_sql(rule: gr.PlaneRule) -> str:
     """The rounds of a robust plane fit as a chain of CTEs ending in `plane`."""
     where = "z_mm IS NOT NULL" + (f" AND {SUB}" if rule.substrate_only else "")
-    ctes = [f"k0 AS (SELECT track_id, x_mm, y_mm, z_mm FROM hp WHERE {where} AND x_index % {EVERY[0]} = 0 AND y_index % {EVERY[1]} = 0)"]
+    ctes = [f"k0 AS (SELECT track_id, x_mm, y_mm, z_mm FROM hp WHERE {where})"]
     for i in range(1, rule.rounds + 1):
         ctes.append(f"""m{i} AS (SELECT track_id, avg(x_mm) AS mx, avg(y_mm) AS my, avg(z_mm) AS mz, var_pop(x_mm) AS xx, var_pop(y_mm) AS yy,
   covar_pop(x_mm, y_mm) AS xy, covar_pop(x_mm, z_mm) AS xz, covar_pop(y_mm, z_mm) AS yz FROM k{i - 1} GROUP BY 1),
@@ -48,7 +47,7 @@ PLANE_OUT = "SELECT track_id, round(a * 1e6, 6) AS a, round(b * 1e6, 6) AS b, ro
 
 
 def plane_query(spark, sf, rule):
-    p = gr.fit_planes(height_points(spark, sf), KEYS, rule, every=EVERY)
+    p = gr.fit_planes(height_points(spark, sf), KEYS, rule)
     return p.select("track_id", *[r(F.col(c) * 1e6).alias(c) for c in "abc"], "n_initial", "n_final")
 
 
@@ -74,7 +73,7 @@ det AS (SELECT track_id, x_index, y_index, x_mm, y_mm, z_mm - (a * x_mm + b * y_
 def detrended(spark, sf):
     """Detrended grid, written once because every later step reads it several times."""
     pts = height_points(spark, sf)
-    return durable(gr.detrend(pts, gr.fit_planes(pts, KEYS, gr.FOCUSED, every=EVERY), KEYS))
+    return durable(gr.detrend(pts, gr.fit_planes(pts, KEYS, gr.FOCUSED), KEYS))
 
 
 @query("detrend_comparison", f"""WITH {DET}, u AS (SELECT track_id, 'raw' AS method, z_mm FROM hp WHERE z_mm IS NOT NULL AND {SUB}
