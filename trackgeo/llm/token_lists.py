@@ -42,7 +42,7 @@ ROW = "doc_id bigint, part int, local_start bigint, n_tokens bigint, tokens arra
 
 def write_token_lists(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END,
                       encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_bytes: int = PAGE_BYTES,
-                      page_rows: int = PAGE_ROWS, file_bytes: int = FILE_BYTES) -> None:
+                      page_rows: int = PAGE_ROWS, file_bytes: int = FILE_BYTES, compression: str = "snappy") -> None:
     """Write the ids of every text, closed by `end`, under `path` in ascending order of `key`."""
     require_columns(docs, key, text)
     if encoding not in ("dictionary", "delta"):
@@ -54,7 +54,7 @@ def write_token_lists(docs: DataFrame, path: str, tokenizer: str, key: str = "do
     placed = source.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(
         group_count(spark, size, file_bytes), *order).sortWithinPartitions(*order)
     listed = placed.select("doc_id", "text").mapInArrow(_encode(tokenizer, end), ROW)
-    writer = listed.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).option("parquet.writer.version", "PARQUET_2_0").option(
+    writer = listed.write.option("compression", compression).option("parquet.writer.version", "PARQUET_2_0").option(
         "parquet.block.size", row_group_bytes).option("parquet.block.size.row.check.min", 10).option(
         "parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows).option(
         "parquet.enable.dictionary", "false")
