@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from trackgeo.operators.layout import HOT_ROWS, attach, order_rows
 from trackgeo.operators.series import longest_run, mark_runs, runs  # noqa: F401
-from trackgeo.operators.stats import MAD_SCALE, medians, percentiles
+from trackgeo.operators.stats import MAD_SCALE, medians
 
 GRID = (0.65, 1.35, 176)
-#: Profiles of a track that meet as one side of a matrix product.
-BLOCK = 512
 
 
 # ------------------------------------------------------------------ resampling and shape
@@ -128,7 +126,7 @@ def similarity(a: Column, b: Column, min_share: float = 0.60, min_points: int =
     return let(both, centred)
 
 
-# ------------------------------------------------------------------ samples, pairs, medoids
+# ------------------------------------------------------------------ samples and medoids
 
 
 def evenly_spaced(
@@ -146,76 +144,6 @@ def evenly_spaced(
     return small.unionByName(picked).select(*df.columns)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([[np.nan if e is None else e for e in row] for row in column], dtype=float)
-
-
-def _block_similarity(a: np.ndarray, b: np.ndarray, min_share: float, min_points: int) -> np.ndarray:
-    """Masked Pearson of every row of `a` with every row of `b`; NaN where support lacks."""
-    fa, fb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
-    za, zb = np.where(fa > 0, a, 0.0), np.where(fb > 0, b, 0.0)
-    n = fa @ fb.T
-    with np.errstate(invalid="ignore", divide="ignore"):
-        sa, sb, sab = za @ fb.T, fa @ zb.T, za @ zb.T
-        va = (za * za) @ fb.T - sa * sa / n
-        vb = fa @ (zb * zb).T - sb * sb / n
-        r = (sab - sa * sb / n) / np.sqrt(va * vb)
-    ok = (n / a.shape[1] >= min_share) & (n >= min_points) & (va > 1e-12) & (vb > 1e-12)
-    return np.where(ok, r, np.nan)
-
-
-def _blocks(profiles: DataFrame, keys: list[str], item: str, position: str, **sizes) -> DataFrame:
-    """Rows with `_ix`, their place in the track, and `_block`, `BLOCK` places each."""
-    o = order_rows(profiles, keys, [position, item], "_ix", **sizes).df
-    return o.withColumn("_block", F.floor(F.col("_ix") / F.lit(BLOCK)).cast("long"))
-
-
-def pair_similarities(
-    profiles: DataFrame, keys: list[str], item: str, shape: str, position: str,
-    min_share: float = 0.60, min_points: int = 5, **sizes,
-) -> DataFrame:
-    """Similarities of all pairs of a track, i before j, where defined.
-
-    Every two blocks of a track are one matrix product in one group, so no group grows with the track.
-    """
-    ddl_key = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in profiles.schema.fields if f.name in keys)
-    rows = _blocks(profiles, keys, item, position, **sizes).select(*keys, item, shape, position, "_ix", "_block")
-    last = rows.groupBy(*keys).agg(F.max("_block").alias("_last"))
-    met = attach(rows, last, keys).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    by = [*keys, "_low", "_high"]
-    met = met.withColumns({"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")})
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ix").reset_index(drop=True)
-        low = (pdf["_block"] == pdf["_low"]).to_numpy()
-        a, b = pdf[low], pdf if pdf["_low"].iloc[0] == pdf["_high"].iloc[0] else pdf[~low]
-        r = _block_similarity(_matrix(a[shape]), _matrix(b[shape]), min_share, min_points) if len(b) else np.empty((len(a), 0))
-        before = a["_ix"].to_numpy()[:, None] < b["_ix"].to_numpy()[None, :]
-        i, j = np.nonzero(np.isfinite(r) & before)
-        xa, xb = a[position].to_numpy(float), b[position].to_numpy(float)
-        out = {k: [pdf[k].iloc[0]] * len(i) for k in keys}
-        return pd.DataFrame({
-            **out, "item_i": a[item].to_numpy()[i], "item_j": b[item].to_numpy()[j],
-            "separation": np.abs(xb[j] - xa[i]), "similarity": r[i, j]})
-
-    return met.groupBy(*by).applyInPandas(
-        block, f"{ddl_key}, item_i long, item_j long, separation double, similarity double")
-
-
-def medoids(profiles: DataFrame, keys: list[str], item: str, shape: str, position: str, **sizes) -> DataFrame:
-    """Profile with the highest median similarity to all others of its track; the first one on ties."""
-    pairs = pair_similarities(profiles, keys, item, shape, position, **sizes)
-    ends = pairs.select(*keys, F.explode(F.array("item_i", "item_j")).alias(item), "similarity")
-    mid = ends.groupBy(*keys, item).agg(F.median("similarity").alias("median_similarity"))
-    ranked = profiles.select(*keys, item, position).join(mid, [*keys, item], "left")
-    score = F.struct(F.coalesce("median_similarity", F.lit(-9.0)), -F.col(position), -F.col(item))
-    best = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.max_by(F.struct(item, position, "median_similarity"), score).alias("b"))
-    return best.select(*keys, "sample_size", F.col(f"b.{item}").alias("medoid"),
-                       F.col(f"b.{position}").alias("medoid_position"), F.col("b.median_similarity").alias("median_similarity"))
-
-
 def similarity_to_medoid(
     profiles: DataFrame, medoid_table: DataFrame, keys: list[str], item: str, shape: str
 ) -> DataFrame:
@@ -229,35 +157,6 @@ def similarity_to_medoid(
         F.col("_s.shared_fraction").alias("shared_fraction"), F.col("_s.n_shared").alias("n_shared"))
 
 
-def between_groups(
-    profiles: DataFrame, key: str, item: str, shape: str, position: str, pairs: list[tuple],
-    min_share: float = 0.60, min_points: int = 5, **sizes,
-) -> DataFrame:
-    """Similarity distribution between all profiles of chosen group pairs, two blocks at a time."""
-    spark = profiles.sparkSession
-    rows = _blocks(profiles, [key], item, position, **sizes).select(key, shape, "_block")
-    last = rows.groupBy(key).agg(F.max("_block").alias("_last"))
-    kt = dict(rows.dtypes)[key]
-    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"pair int, group_a {kt}, group_b {kt}")
-    wide = table.join(last.toDF("group_a", "_last_a"), "group_a").join(last.toDF("group_b", "_last_b"), "group_b")
-    sides = wide.select("pair", F.explode(F.array(
-        F.struct(F.col("group_a").alias(key), F.lit(0).alias("side"), F.col("_last_b").alias("_last")),
-        F.struct(F.col("group_b").alias(key), F.lit(1).alias("side"), F.col("_last_a").alias("_last")))).alias("e")).select("pair", "e.*")
-    met = rows.join(F.broadcast(sides), key).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    met = met.withColumns({"_a": F.when(F.col("side") == 0, F.col("_block")).otherwise(F.col("_other")),
-                           "_b": F.when(F.col("side") == 0, F.col("_other")).otherwise(F.col("_block"))})
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"pair": [], "similarity": []})
-        r = _block_similarity(_matrix(a[shape]), _matrix(b[shape]), min_share, min_points).ravel()
-        return pd.DataFrame({"pair": int(pdf["pair"].iloc[0]), "similarity": r[np.isfinite(r)]})
-
-    sims = met.groupBy("pair", "_a", "_b").applyInPandas(block, "pair int, similarity double")
-    return sims.join(F.broadcast(table), "pair").select("group_a", "group_b", "similarity")
-
-
 def low_coherence(
     sims: DataFrame, keys: list[str], position: str, item: str, threshold: float = 0.50, min_span: float = 1.0, **sizes
 ) -> DataFrame:
@@ -485,14 +384,6 @@ def grid_alignment(retained_y: DataFrame, full_y: DataFrame, tolerance: float =
                     F.coalesce(F.min((gap <= tolerance).cast("int")) == 1, F.lit(False)).alias("aligned"))
 
 
-def similarity_summary(pairs: DataFrame, keys: list[str], **how) -> DataFrame:
-    """Count, p10..p90 and mean of similarities per group."""
-    q = percentiles(pairs, keys, {"q": "similarity"}, [0.10, 0.25, 0.50, 0.75, 0.90], **how)
-    basic = pairs.groupBy(*keys).agg(F.count("similarity").alias("n_pairs"), F.avg("similarity").alias("mean"))
-    return basic.join(q, keys).select(
-        *keys, "n_pairs", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))], "mean")
-
-
 def nearest_item(profiles: DataFrame, targets: DataFrame, keys: list[str], position: str, item: str) -> DataFrame:
     """Item nearest to each labelled target position; a target is compared with its own track only.
 

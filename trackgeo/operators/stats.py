@@ -91,6 +91,39 @@ def log_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, size).otherwise(-size)
 
 
+def rank_buckets(counted: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Buckets that hold the ranks around each probability, from counts `(by, _bucket, _c)`; written out."""
+    upto, whole = Window.partitionBy(*by).orderBy("_bucket"), Window.partitionBy(*by)
+    summed = counted.withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(whole)})
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank(_place(p)).alias("rank"))
+        for i, p in enumerate(probs) for side, rank in (("low", F.floor), ("high", F.ceil))])).alias("w")
+    before = F.col("_upto") - F.col("_c")
+    return durable(summed.select("*", wanted).filter((before <= F.col("w.rank")) & (F.col("w.rank") < F.col("_upto"))).select(
+        *by, "_bucket", "_n", "w.i", "w.side", (F.col("w.rank") - before).alias("_within")))
+
+
+def _place(p: float) -> Column:
+    return F.lit(float(p)) * (F.col("_n") - 1)
+
+
+def values_at_ranks(values: DataFrame, picks: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Interpolated percentiles as one array `q`, from all values `(by, _bucket, _v)` of the picked buckets."""
+    full = [*by, "_bucket"]
+    inside = values.groupBy(*full, "_v").agg(F.count("*").alias("_c")).withColumn(
+        "_upto", F.sum("_c").over(Window.partitionBy(*full).orderBy("_v")))
+    found = inside.join(picks, full).filter(F.col("_within").between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1))
+    side = lambda i, name: F.max(F.when((F.col("i") == i) & (F.col("side") == name), F.col("_v")))
+    ends = found.groupBy(*by).agg(F.max("_n").alias("_n"), *[
+        side(i, name).alias(f"_{name}{i}") for i in range(len(probs)) for name in ("low", "high")])
+
+    def between(i: int, p: float) -> Column:
+        at, low, high = _place(p), F.col(f"_low{i}"), F.col(f"_high{i}")
+        return F.when(F.floor(at) == F.ceil(at), low).otherwise(low * (F.ceil(at) - at) + high * (at - F.floor(at)))
+
+    return ends.select(*by, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q"))
+
+
 def percentiles_in_place(rows: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact percentiles per key as one array `q`, from two scans and without moving the rows.
 
@@ -100,26 +133,9 @@ def percentiles_in_place(rows: DataFrame, keys: list[str], value: str, probs: li
     """
     v = F.col(value)
     marked = rows.filter(v.isNotNull()).select(*keys, v.cast("double").alias("_v")).withColumn("_bucket", log_bucket(F.col("_v")))
-    upto, whole = Window.partitionBy(*keys).orderBy("_bucket"), Window.partitionBy(*keys)
-    counted = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c")).withColumns({
-        "_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(whole)})
-    at = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank(at(p)).alias("rank"))
-        for i, p in enumerate(probs) for side, rank in (("low", F.floor), ("high", F.ceil))])).alias("w")
-    before = F.col("_upto") - F.col("_c")
-    picks = durable(counted.select("*", wanted).filter((before <= F.col("w.rank")) & (F.col("w.rank") < F.col("_upto"))).select(
-        *keys, "_bucket", "_n", "w.i", "w.side", (F.col("w.rank") - before).alias("_within")))
-    by = [*keys, "_bucket"]
-    inside = marked.join(picks.select(*by).distinct(), by, "left_semi").groupBy(*by, "_v").agg(F.count("*").alias("_c")).withColumn(
-        "_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")))
-    found = inside.join(picks, by).filter(F.col("_within").between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1))
-    side = lambda i, name: F.max(F.when((F.col("i") == i) & (F.col("side") == name), F.col("_v")))
-    ends = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *[
-        side(i, name).alias(f"_{name}{i}") for i in range(len(probs)) for name in ("low", "high")])
-    part = lambda i, p: F.when(F.floor(at(p)) == F.ceil(at(p)), F.col(f"_low{i}")).otherwise(
-        F.col(f"_low{i}") * (F.ceil(at(p)) - at(p)) + F.col(f"_high{i}") * (at(p) - F.floor(at(p))))
-    return ends.select(*keys, F.array(*[part(i, p) for i, p in enumerate(probs)]).alias("q"))
+    picks = rank_buckets(marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c")), keys, probs)
+    inside = marked.join(picks.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi")
+    return values_at_ranks(inside, picks, keys, probs)
 
 
 def medians(

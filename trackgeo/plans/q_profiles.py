@@ -10,6 +10,7 @@ from trackgeo.operators import contracts as dq
 from trackgeo.operators import grid as gr
 from trackgeo.operators import joins as jn
 from trackgeo.operators import profiles as pr
+from trackgeo.operators import similarities as si
 from trackgeo.operators import stats as st
 from trackgeo.operators.layout import attach
 from trackgeo.plans import pipeline as pl
@@ -65,16 +66,18 @@ SIM = f"""{NORM}, pc AS (SELECT a.track_id, a.x_index AS i, b.x_index AS j, abs(
 ps AS (SELECT *, cv / sqrt(va * vb) AS sim FROM pc WHERE n >= greatest(0.6 * 64, 5) AND va * vb > 0)"""
 
 
-def pairs(spark, sf):
+PROFILE = ("x_index", "shape", "x_mm")
+
+
+def within_tracks(spark, sf, edges=None):
     """Similarities of all pairs of profiles of a track."""
-    s = shaped(spark, sf).filter("nonflat")
-    return durable(pr.pair_similarities(s, KEYS, "x_index", "shape", "x_mm"))
+    return si.similarity_summary(shaped(spark, sf).filter("nonflat"), KEYS, *PROFILE, edges)
 
 
 @query("similarity_summary", f"""WITH {SIM} SELECT track_id, count(*) AS n_pairs, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.5), 6) AS p50,
   round(quantile_cont(sim, 0.75), 6) AS p75, round(quantile_cont(sim, 0.9), 6) AS p90, round(avg(sim), 6) AS mean FROM ps GROUP BY 1""")
 def similarity_summary(spark, sf):
-    return rounded(pr.similarity_summary(pairs(spark, sf), KEYS), 6)
+    return rounded(within_tracks(spark, sf), 6)
 
 
 BINS = "CASE " + " ".join(f"WHEN sep {'>=' if i == 0 else '>'} {lo} AND sep <= {hi} THEN '{lo:g}-{hi:g}'" for i, (lo, hi) in enumerate(zip(SEPARATION_EDGES_MM, SEPARATION_EDGES_MM[1:]))) + " END"
@@ -84,17 +87,15 @@ BINS = "CASE " + " ".join(f"WHEN sep {'>=' if i == 0 else '>'} {lo} AND sep <= {
 SELECT track_id, bin, count(*) AS n_pairs, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.9), 6) AS p90, round(avg(sim), 6) AS mean
 FROM b WHERE bin IS NOT NULL GROUP BY 1, 2""")
 def similarity_by_separation(spark, sf):
-    p = pairs(spark, sf).withColumn("sep", F.round("separation", 9))
-    binned = p.withColumn("bin", st.fixed_bins("sep", SEPARATION_EDGES_MM)).filter("bin is not null")
-    return rounded(pr.similarity_summary(binned, [*KEYS, "bin"]).drop("p25", "p75"), 6)
+    return rounded(within_tracks(spark, sf, SEPARATION_EDGES_MM).drop("p25", "p75"), 6)
 
 
 @query("between_track_similarity", f"""WITH {NORM}, pc AS (SELECT a.track_id AS group_a, b.track_id AS group_b, a.x_index AS i, b.x_index AS j, count(*) AS n, covar_pop(a.v, b.v) AS cv, var_pop(a.v) AS va, var_pop(b.v) AS vb
   FROM sh a JOIN sh b ON a.g = b.g AND ((a.track_id = 0 AND b.track_id = 1) OR (a.track_id = 0 AND b.track_id = 2) OR (a.track_id = 1 AND b.track_id = 2)) WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2, 3, 4)
 SELECT group_a, group_b, count(*) AS n_pairs, round(median(cv / sqrt(va * vb)), 6) AS p50, round(avg(cv / sqrt(va * vb)), 6) AS mean FROM pc WHERE n >= greatest(0.6 * 64, 5) AND va * vb > 0 GROUP BY 1, 2""")
 def between_track_similarity(spark, sf):
-    b = pr.between_groups(shaped(spark, sf).filter("nonflat"), "track_id", "x_index", "shape", "x_mm", [(0, 1), (0, 2), (1, 2)])
-    return rounded(pr.similarity_summary(b, ["group_a", "group_b"]).select("group_a", "group_b", "n_pairs", "p50", "mean"), 6)
+    b = si.between_groups(shaped(spark, sf).filter("nonflat"), "track_id", *PROFILE, [(0, 1), (0, 2), (1, 2)])
+    return rounded(b.select("group_a", "group_b", "n_pairs", "p50", "mean"), 6)
 
 
 MED = f"""{SIM}, en AS (SELECT track_id, i AS x_index, sim FROM ps UNION ALL SELECT track_id, j, sim FROM ps), em AS (SELECT track_id, x_index, median(sim) AS m FROM en GROUP BY 1, 2),
@@ -103,7 +104,7 @@ md AS (SELECT track_id, x_index AS medoid, m FROM (SELECT *, row_number() OVER (
 
 
 def medoid_table(spark, sf):
-    return pr.medoids(shaped(spark, sf).filter("nonflat"), KEYS, "x_index", "shape", "x_mm")
+    return si.medoids(shaped(spark, sf).filter("nonflat"), KEYS, *PROFILE)
 
 
 @query("medoids", f"""WITH {MED} SELECT track_id, sample_size, medoid, round(medoid * 0.2::DOUBLE, 6) AS medoid_position, round(m, 6) AS median_similarity FROM md JOIN sz USING (track_id)""")
@@ -140,7 +141,7 @@ def low_coherence_regimes(spark, sf):
 @query("coherence_verdict")
 def coherence_verdict(spark, sf):
     s = durable(to_medoid(spark, sf))
-    within = pr.similarity_summary(pairs(spark, sf), KEYS).select("track_id", F.col("p50").alias("wm"), F.col("p10").alias("w10"))
+    within = within_tracks(spark, sf).select("track_id", F.col("p50").alias("wm"), F.col("p10").alias("w10"))
     mid = st.medians(s, KEYS, {"mm": "similarity_to_medoid"})
     share = shaped(spark, sf).groupBy("track_id").agg(F.avg(F.col("nonflat").cast("double")).alias("nf"))
     regimes = pr.low_coherence(s, KEYS, "x_mm", "x_index", 0.2, 1.0).agg(F.count(F.lit(1)).alias("n_regimes"))
