@@ -19,15 +19,22 @@ THRESHOLD_SETS = {
     "INNER": [2.0, 2.5, 3.0],
 }
 SEPARATION_EDGES_MM = [0.0, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0, 100.0]
-THERMAL_FEATURES = ["peak_temp", "mean_temp", "sqrt_mp_area_px"]
+THERMAL_FEATURES = ["peak_temp", "sqrt_mp_area", "mp_length"]
 SEM_FEATURES = ["substrate_roughness_variance", "substrate_mean_intensity"]
 
-# Target groups of the final table and the flag that makes them usable.
+# Target groups of the final table, each with the columns that tell whether its targets are usable.
+_SCALAR_VALIDITY = [
+    "eligible", "is_within_heightmap_x_coverage", "central_corridor_finite_fraction", "finite_fraction",
+    "baseline_support_count", "fallback_baseline_required", "_descriptor_matched"]
 TARGET_GROUPS = {
-    "pca_shape": (["pc1", "pc2", "pc3", "pc4", "pc5"], "pca_ready"),
-    "geometry": (["amplitude_um", "signed_elevation_um"], "eligible"),
-    "smoothed": (["amplitude_um_smoothed"], None),
+    "pca_shape": (["pc1", "pc2", "pc3", "pc4", "pc5"], [
+        "eligible", "nonflat", "pca_ready", "normalization_status", "shape_support_fraction_on_common_grid",
+        "retained_pca_grid_finite_fraction", "_descriptor_matched"]),
+    "amplitude": (["amplitude_um"], _SCALAR_VALIDITY),
+    "signed_elevation": (["signed_elevation_um"], _SCALAR_VALIDITY),
+    "smoothed_macro_width": (["smoothed_macro_width_mm"], ["eligible", "is_within_heightmap_x_coverage"]),
 }
+ROW_IDENTITY = ["track_id", "frame_index", "x_position_mm"]
 
 
 def feature_groups(
@@ -63,7 +70,7 @@ class Extraction:
     width_mode: str = "gaussian"
     preferred_width: float = 0.32
     width_scale: float = 0.30
-    width_lo: float = 0.15
+    width_lo: float = 0.10
     width_hi: float = 0.80
     width_taper: float = 0.40
     continuity_scale: float = 0.18

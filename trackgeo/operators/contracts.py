@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackgeo.config import ROW_IDENTITY, TARGET_GROUPS
+from trackgeo.operators.layout import attach
+
 
 class ContractError(ValueError):
     """A table breaks a rule the next step relies on."""
@@ -154,30 +158,77 @@ def order_contract(
     )
 
 
-def model_contract(loadings: DataFrame, means: DataFrame, min_components: int = 5) -> DataFrame:
-    """One row of checks on a frozen linear model: counts, aligned grid, finite arrays."""
-    grid = means.agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.sum(finite_or_null(F.col("mean")).isNull().cast("long")).alias("bad_means"),
-    )
-    shape = loadings.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(finite_or_null(F.col("loading")).isNull().cast("long")).alias("bad"),
-    ).agg(
-        F.count(F.lit(1)).alias("n_components"),
-        F.min("n").alias("min_points"),
-        F.max("n").alias("max_points"),
-        F.sum("bad").alias("bad_loadings"),
-    )
-    table = shape.withColumn("_k", F.lit(1)).join(grid.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    ok = (
-        (F.col("n_components") >= min_components)
-        & (F.col("min_points") == F.col("n_points"))
-        & (F.col("max_points") == F.col("n_points"))
-        & (F.col("bad_loadings") == 0)
-        & (F.col("bad_means") == 0)
-    )
-    return table.withColumn("passed", ok)
+def align_targets(
+    meta: DataFrame, dataset: DataFrame, group: str, keys: list[str] = ROW_IDENTITY,
+    groups: dict[str, tuple[list[str], list[str]]] = TARGET_GROUPS,
+) -> DataFrame:
+    """`meta` with the targets and validity columns of one target group, joined on the exact row identity.
+
+    Raises where a key repeats on either side, a row of `meta` has no target row, or a target is null.
+    """
+    if group not in groups:
+        raise ContractError(f"unknown target group {group}; there are {sorted(groups)}")
+    targets, validity = groups[group]
+    require_columns(meta, keys, "metadata")
+    require_columns(dataset, [*keys, *targets, *validity], "target table")
+    require_unique(meta, keys, "metadata")
+    require_unique(dataset, keys, "target table")
+    wanted = dataset.select(*keys, *targets, *validity, F.lit(True).alias("_hit"))
+    joined = meta.drop(*targets, *validity).join(wanted, keys, "left")
+    complain = lambda what: F.raise_error(F.concat(F.lit(f"{what} at "), F.to_json(F.struct(*keys))))
+    found = F.coalesce(F.col("_hit"), complain("no target row").cast("boolean"))
+    return joined.withColumns({
+        t: F.when(found, F.coalesce(F.col(t), complain(f"{t} is missing").cast(joined.schema[t].dataType))) for t in targets}).drop("_hit")
+
+
+def target_group_report(
+    dataset: DataFrame, groups: dict[str, tuple[list[str], list[str]]] = TARGET_GROUPS
+) -> DataFrame:
+    """Per target group: rows, rows with a null target, rows with a null validity column, rows whose flags all hold."""
+    any_null = lambda names: reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
+    kinds = dict(dataset.dtypes)
+
+    def held(names: list[str]) -> Column:
+        flags = [F.col(n) for n in names if kinds[n] == "boolean" and n != "fallback_baseline_required"]
+        return F.coalesce(reduce(lambda a, b: a & b, flags, F.lit(True)), F.lit(False))
+
+    rows = dataset.select(F.explode(F.array(*[
+        F.struct(F.lit(g).alias("target_group"), any_null(t).alias("no_target"), any_null(v).alias("no_validity"), held(v).alias("held"))
+        for g, (t, v) in groups.items()])).alias("e")).select("e.*")
+    total = lambda c: F.sum(c.cast("long"))
+    return rows.groupBy("target_group").agg(
+        F.count("*").alias("n_rows"), total(F.col("no_target")).alias("null_target_rows"),
+        total(F.col("no_validity")).alias("null_validity_rows"), total(F.col("held")).alias("flagged_rows"),
+        total(F.col("held") & ~F.col("no_target")).alias("usable_rows"))
+
+
+def model_contract(
+    loadings: DataFrame, mean: DataFrame, min_components: int = 5, y_grid: list[float] | None = None
+) -> DataFrame:
+    """One row of checks on a frozen linear model of arrays (`loading` per component, one `mean`).
+
+    Counts, widths against the mean (and the grid, where given), and finite values everywhere; a missing mean fails.
+    """
+    bad = lambda c: F.exists(c, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    width = F.size("loading")
+    shape = loadings.agg(
+        F.count(F.lit(1)).alias("n_components"), F.countDistinct("component").alias("n_distinct"),
+        F.min(width).alias("min_points"), F.max(width).alias("max_points"),
+        F.coalesce(F.sum(F.coalesce(bad("loading"), F.lit(True)).cast("long")), F.lit(0)).alias("bad_loadings"))
+    centre = mean.agg(
+        F.count(F.lit(1)).alias("n_means"), F.max(F.size("mean")).alias("n_points"),
+        F.coalesce(F.sum(F.coalesce(bad("mean"), F.lit(True)).cast("long")), F.lit(0)).alias("bad_means"))
+    table = attach(shape, centre, [])
+    on_grid = F.lit(True) if y_grid is None else (F.col("n_points") == len(y_grid)) & F.lit(all(map(math.isfinite, y_grid)))
+    ok = ((F.col("n_components") >= min_components) & (F.col("n_distinct") == F.col("n_components"))
+          & (F.col("min_points") == F.col("n_points")) & (F.col("max_points") == F.col("n_points"))
+          & (F.col("bad_loadings") == 0) & (F.col("n_means") == 1) & (F.col("bad_means") == 0) & on_grid)
+    return table.withColumn("passed", F.coalesce(ok, F.lit(False))).drop("n_distinct", "n_means")
+
+
+def json_object(**columns: Column) -> Column:
+    """The named values as one JSON text with sorted names; missing values show as null."""
+    return F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
 def overall(checks: DataFrame, passed: str = "passed") -> DataFrame:

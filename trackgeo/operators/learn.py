@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from trackgeo.functions.scores import unit_position
 from trackgeo.operators.contracts import ContractError
 from trackgeo.operators.layout import attach, order_rows
-from trackgeo.operators.profiles import dot, moments
+from trackgeo.operators.profiles import SALTS, dot, merge_moments, moments, unpack, without
 from trackgeo.operators.series import flatten_window, sliding_windows
+from trackgeo.session import durable
 
 
 def training_windows(
@@ -52,7 +53,8 @@ def scale_stats(rows: DataFrame, fold: str, features: list[str]) -> DataFrame:
     own = d.groupBy(fold).agg(*sums)
     total = own.agg(*[F.sum(c).alias(f"t{c}") for c in own.columns if c != fold])
     t = attach(attach(own, total, []), centre, [])
-    n = F.col("t_n") - F.col("_n")
+    left = F.col("t_n") - F.col("_n")
+    n = F.when(left > 0, left).otherwise(F.raise_error(F.lit("no training rows outside a fold")).cast("bigint"))
     out = [F.col(fold)]
     for f in features:
         s, q = F.col(f"t_s_{f}") - F.col(f"_s_{f}"), F.col(f"t_q_{f}") - F.col(f"_q_{f}")
@@ -93,7 +95,7 @@ def _bayesian_ridge(gram: np.ndarray, xy: np.ndarray, yy: float, n: int) -> np.n
 
 
 def solve_models(
-    n: int, s: np.ndarray, p: np.ndarray, origin: np.ndarray, d: int, sigma: np.ndarray,
+    n: int, mean: np.ndarray, centred: np.ndarray, d: int, sigma: np.ndarray,
     groups: dict[str, list[int]], models: dict[str, float | str],
 ) -> list[tuple]:
     """Coefficients on the raw features for every feature group and model of one fold.
@@ -101,8 +103,6 @@ def solve_models(
     `models` maps a name to a ridge penalty (0 is least squares with minimum norm) or "bayes".
     The intercept is not penalised: everything runs on centred moments.
     """
-    centred = p.reshape(len(s), len(s)) - np.outer(s, s) / n
-    mean = origin + s / n
     gxx = centred[:d, :d] / np.outer(sigma, sigma)
     gxy = centred[:d, d:] / sigma[:, None]
     yy = np.diag(centred)[d:]
@@ -140,11 +140,17 @@ def _solve_rows(fold: str, fold_type: str, d: int, k: int, n_steps: int, extra:
     def solve(batches):
         for pdf in batches:
             rows = []
-            for key, n, s, p, origin, sd in zip(*[pdf[c] for c in (fold, "n", "s", "p", "origin", "sigma")]):
+            for key, sd, n, mean, triangle, tn, tmean, ttriangle in zip(*[pdf[c] for c in (
+                    fold, "sigma", "n", "mean", "triangle", "tn", "tmean", "ttriangle")]):
+                if tn == n:
+                    raise ValueError(f"no training rows outside {fold} {key}")
                 sigma = np.r_[np.tile(np.asarray(sd, float), n_steps), np.ones(extra)]
-                for g, m, coef, b in solve_models(int(n), np.asarray(s, float), np.asarray(p, float),
-                                                  np.asarray(origin, float), d, sigma, groups, models):
-                    rows.append((key, g, m, coef, b, int(n)))
+                own = (n, np.frombuffer(mean), np.frombuffer(triangle))
+                whole = (tn, np.frombuffer(tmean), np.frombuffer(ttriangle))
+                n_train, centre, packed = without(whole, own) if n else whole
+                centre, centred = unpack(centre.tobytes(), packed.tobytes())
+                for g, m, coef, b in solve_models(int(n_train), centre, centred, d, sigma, groups, models):
+                    rows.append((key, g, m, coef, b, int(n_train)))
             yield pd.DataFrame(rows, columns=[fold, "feature_group", "model", "coef", "intercept", "n_train"])
 
     return solve, ddl
@@ -156,18 +162,11 @@ def fold_models(
 ) -> DataFrame:
     """One coefficient row per held-out group, feature group and model."""
     k, d = len(features), len(features) * n_steps + extra
-    own = moments(windows.withColumn("_xy", F.concat("x", "y")), [fold], "_xy")
-    total = own.agg(F.sum("n").alias("tn"))
-    for c in ("s", "p"):
-        long = own.select(F.posexplode(c).alias("i", "e")).groupBy("i").agg(F.sum("e").alias("e"))
-        arr = long.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda q: q["e"]).alias(f"t{c}"))
-        total = attach(total, arr, [])
+    own = durable(moments(windows.withColumn("_xy", F.concat("x", "y")), [fold], "_xy"))
+    total = merge_moments(own.drop(fold).withColumn("_salt", F.pmod(F.xxhash64("mean"), F.lit(SALTS))), [])
     stats = scale_stats(rows, fold, features)
     sigma = stats.select(fold, F.array(*[F.col(f"std_{f}") for f in features]).alias("sigma"))
-    rest = lambda c: F.zip_with(f"t{c}", c, lambda a, b: a - b)
-    train = attach(own, total, []).select(
-        fold, (F.col("tn") - F.col("n")).alias("n"), rest("s").alias("s"), rest("p").alias("p"), "origin"
-    ).join(sigma, fold).filter("n > 0")
+    train = attach(own, total.toDF("tn", "tmean", "ttriangle"), []).join(sigma, fold)
     at = _group_indexes(groups, features, n_steps, extra)
     solve, ddl = _solve_rows(fold, dict(windows.dtypes)[fold], d, k, n_steps, extra, at, models)
     return train.mapInPandas(solve, ddl)
@@ -184,7 +183,9 @@ def split_models(
         F.when(F.stddev_pop(f) > 0, F.stddev_pop(f)).otherwise(F.lit(1.0)) for f in features]).alias("sigma"))
     at = _group_indexes(groups, features, n_steps, extra)
     solve, ddl = _solve_rows("split", "int", d, k, n_steps, extra, at, models)
-    return attach(m, sd, []).withColumn("split", F.lit(0)).mapInPandas(solve, ddl)
+    none = {"n": F.lit(0).cast("long"), "mean": F.lit(b""), "triangle": F.lit(b"")}
+    whole = attach(m.toDF("tn", "tmean", "ttriangle"), sd, []).withColumns({"split": F.lit(0), **none})
+    return whole.mapInPandas(solve, ddl)
 
 
 def predict(windows: DataFrame, models: DataFrame, fold: str | None, targets: list[str]) -> DataFrame:
@@ -202,11 +203,11 @@ def predict(windows: DataFrame, models: DataFrame, fold: str | None, targets: li
 
 
 def scored_long(predictions: DataFrame, keys: list[str], targets: list[str]) -> DataFrame:
-    """Long `(keys, target, actual, predicted)` from predictions that still carry `y`."""
+    """Long `(keys, target, actual, predicted)` from predictions that still carry `y`; a missing target raises."""
     items = F.array(*[
-        F.struct(F.lit(t).alias("target"), F.get("y", F.lit(i)).alias("actual"), F.col(f"predicted_{t}").alias("predicted"))
-        for i, t in enumerate(targets)])
-    return predictions.select(*keys, F.explode(items).alias("e")).select(*keys, "e.*").filter("actual is not null")
+        F.struct(F.lit(t).alias("target"), F.coalesce(F.get("y", F.lit(i)), F.raise_error(F.lit(f"{t} is missing in an evaluation row")))
+                 .alias("actual"), F.col(f"predicted_{t}").alias("predicted")) for i, t in enumerate(targets)])
+    return predictions.select(*keys, F.explode(items).alias("e")).select(*keys, "e.*")
 
 
 def constant_predictions(windows: DataFrame, fold: str, targets: list[str]) -> DataFrame:

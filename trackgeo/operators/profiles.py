@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from trackgeo.operators.layout import HOT_ROWS, attach, order_rows
 from trackgeo.operators.series import longest_run, mark_runs, runs  # noqa: F401
@@ -196,69 +199,113 @@ def ready_matrix(
     return retained, rows.filter(F.forall("ready", lambda e: e.isNotNull()) & (F.size("ready") > 0)).drop("_kept")
 
 
-def moments(
-    df: DataFrame, keys: list[str], vector: str, shift: bool = True, max_groups_held: int = 64
-) -> DataFrame:
-    """Count, sum and product matrix of a vector column per key.
+SALTS = 64
+
+
+def unpack(mean: bytes, triangle: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vector and full matrix of centred products from their packed forms."""
+    m = np.frombuffer(mean)
+    full = np.zeros((len(m), len(m)))
+    full[np.triu_indices(len(m))] = np.frombuffer(triangle)
+    return m, full + np.triu(full, 1).T
+
+
+def merged(parts) -> tuple[int, np.ndarray, np.ndarray]:
+    """One (n, mean, packed triangle) from several, each centred on its own mean."""
+    n, mean, triangle = 0, None, None
+    for k, m, t in parts:
+        if not k:
+            continue
+        if not n:
+            n, mean, triangle = k, m.copy(), t.copy()
+            continue
+        off = m - mean
+        triangle += t + np.outer(off, off)[np.triu_indices(len(off))] * (n * k / (n + k))
+        mean += off * (k / (n + k))
+        n += k
+    return n, mean, triangle
+
+
+def without(whole: tuple, part: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, packed triangle) of `whole` less a part of it."""
+    (n, mean, triangle), (k, m, t) = whole, part
+    rest = n - k
+    centre = (n * mean - k * m) / rest
+    off = centre - m
+    return rest, centre, triangle - t - np.outer(off, off)[np.triu_indices(len(off))] * (k * rest / n)
+
 
-    Each task adds up its own rows in arrays (flushed when many groups are open), so what is
-    shuffled is a few matrices per task and not rows × dimension². Sums are taken around the
-    overall mean `origin` to keep their precision.
+def _held_rows(held: dict, keys: list[str], kinds: list[pa.DataType], salt: int | None) -> pa.RecordBatch:
+    head = [pa.array([key[i] for key in held], kind) for i, kind in enumerate(kinds)]
+    salts = [] if salt is None else [pa.array([salt] * len(held), pa.int64())]
+    tail = [pa.array([v[0] for v in held.values()], pa.int64()), *[pa.array([v[i].tobytes() for v in held.values()], pa.binary()) for i in (1, 2)]]
+    return pa.RecordBatch.from_arrays([*head, *salts, *tail], names=[*keys, *(["_salt"] if salts else []), "n", "mean", "triangle"])
+
+
+def moments(df: DataFrame, keys: list[str], vector: str, max_groups_held: int = 64) -> DataFrame:
+    """`(keys, n, mean, triangle)`: count, mean vector and centred product matrix of a vector column per key.
+
+    A matrix is one value, its upper triangle packed as doubles. Each task adds up its own rows around their own mean
+    (flushed when many groups are open); tasks' partial matrices merge by (key, salt), then by key, and are never
+    taken apart, so rows do not move and no sum cancels.
     """
-    if not keys:
+    everything = not keys
+    if everything:
         df, keys = df.withColumn("_everything", F.lit(1)), ["_everything"]
     rows = df.select(*keys, F.col(vector).cast("array<double>").alias("_v"))
-    spark = df.sparkSession
-    if shift:
-        means = rows.select(F.posexplode("_v").alias("i", "e")).groupBy("i").agg(F.avg("e").alias("m"))
-        origin = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("origin"))
-    else:
-        origin = rows.select(F.transform("_v", lambda e: F.lit(0.0)).alias("origin")).limit(1)
-    shifted = attach(rows, origin, []).select(
-        *keys, F.zip_with("_v", "origin", lambda a, b: a - b).alias("_v"))
-    key_types = ", ".join(f"`{n}` {t}" for n, t in shifted.dtypes if n in keys)
-    spread = f"{key_types}, n long, s array<double>, p array<double>"
+    key_fields = rows.schema.fields[:-1]
+    kinds = to_arrow_schema(StructType(key_fields)).types
 
     def add_up(batches):
-        held: dict = {}
+        from pyspark import TaskContext
 
-        def flush():
-            names = list(held)
-            yield pd.DataFrame({
-                **{k: [key[i] for key in names] for i, k in enumerate(keys)},
-                "n": [held[key][0] for key in names],
-                "s": [held[key][1].tolist() for key in names],
-                "p": [held[key][2].ravel().tolist() for key in names]})
-
-        for pdf in batches:
-            if not len(pdf):
+        held, salt = {}, TaskContext.get().partitionId() % SALTS
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for key, part in pdf.groupby(keys, sort=False):
-                x = np.stack(part["_v"].to_numpy()).astype(float)
-                key = key if isinstance(key, tuple) else (key,)
-                n, s, p = held.get(key, (0, 0.0, 0.0))
-                held[key] = (n + len(x), s + x.sum(axis=0), p + x.T @ x)
+            x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))]))
+            order: dict = {}
+            for i, name in enumerate(names):
+                order.setdefault(name, []).append(i)
+            for name, at in order.items():
+                part = x[at]
+                mean = part.mean(axis=0)
+                products = (part - mean).T @ (part - mean)
+                held[name] = merged([*([held[name]] if name in held else []), (len(at), mean, products[np.triu_indices(len(mean))])])
             if len(held) > max_groups_held:
-                yield from flush()
+                yield _held_rows(held, keys, kinds, salt)
                 held = {}
         if held:
-            yield from flush()
+            yield _held_rows(held, keys, kinds, salt)
 
-    parts = shifted.mapInPandas(add_up, spread)
+    salted = StructType([*key_fields]).add("_salt", "long").add("n", "long").add("mean", "binary").add("triangle", "binary")
+    out = merge_moments(rows.mapInArrow(add_up, salted), keys)
+    return out.drop("_everything") if everything else out
 
-    summed = _sum_arrays(parts, keys)
-    return attach(summed, origin, []).drop("_everything")
 
+def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge partial moments by (keys, `_salt`), then by keys; without keys everything is one row."""
+    by = keys or ["_one"]
+    if not keys:
+        parts = parts.withColumn("_one", F.lit(1))
+    fields = [f for f in parts.schema.fields if f.name in by]
+    types = to_arrow_schema(StructType(fields)).types
+
+    def level(grouped: list[str], kinds: list[pa.DataType]):
+        def add(table: pa.Table) -> pa.Table:
+            columns = [table.column(c).to_pylist() for c in ("n", "mean", "triangle")]
+            one = merged((n, np.frombuffer(m), np.frombuffer(t)) for n, m, t in zip(*columns))
+            name = tuple(table.column(c)[0].as_py() for c in grouped)
+            return pa.Table.from_batches([_held_rows({name: one}, grouped, kinds, None)])
 
-def _sum_arrays(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Element-wise sums of partial arrays by mergeable grouped sums over (key, index)."""
-    def add(column: str) -> DataFrame:
-        long = parts.select(*keys, F.posexplode(column).alias("i", "e")).groupBy(*keys, "i").agg(F.sum("e").alias("e"))
-        return long.groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda q: q["e"]).alias(column))
+        return add
 
-    n = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return n.join(add("s"), keys).join(add("p"), keys)
+    salted = StructType([*fields]).add("_salt", "long")
+    tail = lambda head: StructType(head.fields).add("n", "long").add("mean", "binary").add("triangle", "binary")
+    first = parts.groupBy(*by, "_salt").applyInArrow(level([*by, "_salt"], [*types, pa.int64()]), tail(salted))
+    whole = first.groupBy(*by).applyInArrow(level(by, types), tail(StructType(fields)))
+    return whole if keys else whole.drop("_one")
 
 
 def fit_pca(ready: DataFrame, vector: str = "ready") -> tuple[DataFrame, DataFrame]:
@@ -271,10 +318,9 @@ def fit_pca(ready: DataFrame, vector: str = "ready") -> tuple[DataFrame, DataFra
 
     def solve(batches):
         for pdf in batches:
-            for n, s, p, origin in zip(pdf["n"], pdf["s"], pdf["p"], pdf["origin"]):
-                s, origin = np.asarray(s, float), np.asarray(origin, float)
-                d = len(s)
-                centred = np.asarray(p, float).reshape(d, d) - np.outer(s, s) / n
+            for n, packed_mean, triangle in zip(pdf["n"], pdf["mean"], pdf["triangle"]):
+                centre, centred = unpack(packed_mean, triangle)
+                d = len(centre)
                 values, vectors = np.linalg.eigh(centred)
                 order = np.argsort(values)[::-1]
                 values, vectors = np.clip(values[order], 0, None), vectors[:, order]
@@ -285,7 +331,7 @@ def fit_pca(ready: DataFrame, vector: str = "ready") -> tuple[DataFrame, DataFra
                 yield pd.DataFrame({
                     "component": np.arange(1, k + 1), "explained_variance": values[:k] / max(n - 1, 1),
                     "explained_ratio": values[:k] / total if total > 0 else np.zeros(k),
-                    "loading": list(vectors[:, :k].T), "mean": [(origin + s / n).tolist()] * k})
+                    "loading": list(vectors[:, :k].T), "mean": [centre.tolist()] * k})
 
     fitted = m.mapInPandas(
         solve, "component long, explained_variance double, explained_ratio double, loading array<double>, mean array<double>")

@@ -81,31 +81,37 @@ def label(cells: DataFrame, keys: list[str], x: str = "x_index", y: str = "y_ind
 def largest_region(
     labelled: DataFrame, keys: list[str], x: str = "x_index"
 ) -> DataFrame:
-    """Area, centroid and axis lengths of the largest structure per grid, from run sums.
+    """Area, centroid and axis lengths of the largest structure per grid, from exact run sums.
 
     Axes are 4·sqrt of the eigenvalues of the second central moments of the cell centres.
     Coordinates: x is the column, y the row.
     """
-    n = (F.col("y_hi") - F.col("y_lo") + 1).cast("double")
-    a, b = F.col("y_lo").cast("double"), F.col("y_hi").cast("double")
-    sy = n * (a + b) / 2
-    syy = (b * (b + 1) * (2 * b + 1) - (a - 1) * a * (2 * a - 1)) / 6
-    c = F.col(x).cast("double")
+    # Cells count from the first cell of their structure, so all sums are small whole numbers.
+    n = F.col("y_hi").cast("long") - F.col("y_lo") + 1
+    c = F.col(x).cast("long") - F.shiftright("root", 20)
+    a, b = (F.col(e).cast("long") - F.col("root").bitwiseAND(ROWS_PER_COLUMN - 1) for e in ("y_lo", "y_hi"))
+    sy = F.shiftright(n * (a + b), 1)  # n or a + b is even
+    syy = F.round((b * (b + 1) * (2 * b + 1) - (a - 1) * a * (2 * a - 1)) / 6).cast("long")
     sums = labelled.groupBy(*keys, "root").agg(
         F.sum(n).alias("n"), F.sum(n * c).alias("sx"), F.sum(sy).alias("sy"),
         F.sum(n * c * c).alias("sxx"), F.sum(syy).alias("syy"), F.sum(sy * c).alias("sxy"))
     best = sums.groupBy(*keys).agg(
-        F.max_by(F.struct("n", "sx", "sy", "sxx", "syy", "sxy"), F.struct("n", -F.col("root"))).alias("b"))
+        F.max_by(F.struct("root", "n", "sx", "sy", "sxx", "syy", "sxy"), F.struct("n", -F.col("root"))).alias("b"))
     m = best.select(*keys, "b.*")
-    cx, cy = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
-    uxx = F.col("sxx") / F.col("n") - cx * cx
-    uyy = F.col("syy") / F.col("n") - cy * cy
-    uxy = F.col("sxy") / F.col("n") - cx * cy
-    spread = F.sqrt(F.pow(uxx - uyy, 2) + 4 * uxy * uxy)
+    size = F.col("n").cast("double")
+
+    def centred(square: str, one: str, other: str) -> Column:
+        """n² times a central moment as a whole number: exact, so a line has no width at all."""
+        whole = lambda p, q: F.col(p).cast("decimal(19,0)") * F.col(q).cast("decimal(19,0)")
+        return (whole("n", square) - whole(one, other)).cast("double") / (size * size)
+
+    uxx, uyy, uxy = centred("sxx", "sx", "sx"), centred("syy", "sy", "sy"), centred("sxy", "sx", "sy")
+    larger = (uxx + uyy + F.sqrt(F.pow(uxx - uyy, 2) + 4 * uxy * uxy)) / 2
+    smaller = F.when(larger > 0, F.greatest(uxx * uyy - uxy * uxy, F.lit(0.0)) / larger).otherwise(0.0)
     return m.select(
-        *keys, F.col("n").cast("long").alias("area"), cx.alias("centroid_x"), cy.alias("centroid_y"),
-        (4 * F.sqrt(F.greatest((uxx + uyy + spread) / 2, F.lit(0.0)))).alias("major_axis"),
-        (4 * F.sqrt(F.greatest((uxx + uyy - spread) / 2, F.lit(0.0)))).alias("minor_axis"))
+        *keys, F.col("n").alias("area"), (F.shiftright("root", 20) + F.col("sx") / size).alias("centroid_x"),
+        (F.col("root").bitwiseAND(ROWS_PER_COLUMN - 1) + F.col("sy") / size).alias("centroid_y"),
+        (4 * F.sqrt(larger)).alias("major_axis"), (4 * F.sqrt(smaller)).alias("minor_axis"))
 
 
 def otsu_thresholds(values: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackgeo.config import ROW_IDENTITY
 from trackgeo.operators import contracts as dq
 from trackgeo.plans.inputs import EV, event_series
 from trackgeo.plans.registry import query, r, rounded, table
+from trackgeo.session import new_path
+from trackgeo.sources.readers import read_per_track
 
 
 @query("key_report", """WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)
@@ -117,3 +120,70 @@ def overall_pass(spark, sf):
     b = dq.finite_report(orders, ["o_totalprice"]).select(F.lit("orders_finite").alias("name"), (F.col("n_not_finite") == 0).alias("passed"))
     c = dq.key_report(li, ["l_orderkey", "l_linenumber"]).select(F.lit("lines_unique").alias("name"), (F.col("duplicate_keys") == 0).alias("passed"))
     return dq.overall(a.unionByName(b).unionByName(c))
+
+
+# Rows of `events` in the shape of the final table: a window of a user is a row of a track.
+FINAL = f"""{EV}, ft AS (SELECT user_id AS track_id, event_id AS frame_index, t AS x_position_mm, value AS amplitude_um, -value AS signed_elevation_um,
+  CASE WHEN value > 2.0 THEN value / 10 END AS smoothed_macro_width_mm, {', '.join(f'CASE WHEN value > 1.0 THEN value * {i} END AS pc{i}' for i in range(1, 6))},
+  value > 2.0 AS eligible, value > 3.0 AS nonflat, value > 4.0 AS pca_ready, CASE WHEN value > 3.0 THEN 'ok' ELSE 'near_flat_or_too_low_scale' END AS normalization_status,
+  value / 200 AS shape_support_fraction_on_common_grid, CASE WHEN event_type <> 'error' THEN 1.0 END AS retained_pca_grid_finite_fraction, true AS _descriptor_matched,
+  event_type <> 'signup' AS is_within_heightmap_x_coverage, 0.9 AS central_corridor_finite_fraction, 0.8 AS finite_fraction,
+  ix AS baseline_support_count, ix < 4 AS fallback_baseline_required FROM ev)"""
+
+
+def final_table(spark, sf):
+    from trackgeo.operators.layout import order_rows
+
+    v = F.col("value")
+    ev = order_rows(event_series(spark, sf), ["user_id"], ["t", "event_id"], "ix").df
+    return ev.select(
+        F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_index"), F.col("t").alias("x_position_mm"), "event_type",
+        v.alias("amplitude_um"), (-v).alias("signed_elevation_um"), F.when(v > 2.0, v / 10).alias("smoothed_macro_width_mm"),
+        *[F.when(v > 1.0, v * i).alias(f"pc{i}") for i in range(1, 6)],
+        (v > 2.0).alias("eligible"), (v > 3.0).alias("nonflat"), (v > 4.0).alias("pca_ready"),
+        F.when(v > 3.0, "ok").otherwise("near_flat_or_too_low_scale").alias("normalization_status"),
+        (v / 200).alias("shape_support_fraction_on_common_grid"), F.when(F.col("event_type") != "error", F.lit(1.0)).alias("retained_pca_grid_finite_fraction"),
+        F.lit(True).alias("_descriptor_matched"), (F.col("event_type") != "signup").alias("is_within_heightmap_x_coverage"),
+        F.lit(0.9).alias("central_corridor_finite_fraction"), F.lit(0.8).alias("finite_fraction"),
+        F.col("ix").alias("baseline_support_count"), (F.col("ix") < 4).alias("fallback_baseline_required"))
+
+
+@query("target_groups", f"""WITH {FINAL}, g AS (
+  SELECT 'pca_shape' AS target_group, pc1 IS NULL OR pc2 IS NULL OR pc3 IS NULL OR pc4 IS NULL OR pc5 IS NULL AS nt, retained_pca_grid_finite_fraction IS NULL AS nv, eligible AND nonflat AND pca_ready AS held FROM ft
+  UNION ALL SELECT 'amplitude', amplitude_um IS NULL, false, eligible AND is_within_heightmap_x_coverage FROM ft
+  UNION ALL SELECT 'signed_elevation', signed_elevation_um IS NULL, false, eligible AND is_within_heightmap_x_coverage FROM ft
+  UNION ALL SELECT 'smoothed_macro_width', smoothed_macro_width_mm IS NULL, false, eligible AND is_within_heightmap_x_coverage FROM ft)
+SELECT target_group, count(*) AS n_rows, sum(nt::INT)::BIGINT AS null_target_rows, sum(nv::INT)::BIGINT AS null_validity_rows, sum(held::INT)::BIGINT AS flagged_rows,
+  sum((held AND NOT nt)::INT)::BIGINT AS usable_rows FROM g GROUP BY 1""")
+def target_groups(spark, sf):
+    return dq.target_group_report(final_table(spark, sf))
+
+
+@query("target_alignment", f"""WITH {FINAL} SELECT f.track_id, f.frame_index, f.x_position_mm, amplitude_um, eligible, is_within_heightmap_x_coverage, central_corridor_finite_fraction::DOUBLE AS central_corridor_finite_fraction,
+  finite_fraction::DOUBLE AS finite_fraction, baseline_support_count, fallback_baseline_required, _descriptor_matched FROM ft f JOIN ev ON ev.event_id = f.frame_index WHERE event_type = 'purchase'""")
+def target_alignment(spark, sf):
+    whole = final_table(spark, sf)
+    meta = whole.filter("event_type = 'purchase'").select(*ROW_IDENTITY)
+    return dq.align_targets(meta, whole, "amplitude")
+
+
+@query("object_column", """SELECT o_orderkey, CAST(json_object('comment', CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END,
+  'customer', o_custkey, 'open', o_orderstatus = 'O') AS VARCHAR) AS details FROM orders""")
+def object_column(spark, sf):
+    o, c = table(spark, sf, "orders"), F.col
+    return o.select("o_orderkey", dq.json_object(
+        open=c("o_orderstatus") == "O", customer=c("o_custkey"),
+        comment=F.when(c("o_custkey") % 3 > 0, c("o_orderpriority"))).alias("details"))
+
+
+@query("tracks_from_files", """SELECT CASE l_returnflag WHEN 'A' THEN 8 WHEN 'N' THEN 10 ELSE 14 END AS track_id, count(*) AS n_rows, sum(l_quantity)::DOUBLE AS quantity
+FROM lineitem GROUP BY 1""")
+def tracks_from_files(spark, sf):
+    """One folder per track, read back against the expected tracks."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("quantity"))
+    path, paths = new_path(spark), {}
+    for flag, track in (("A", 8), ("N", 10), ("R", 14)):
+        paths[track] = f"{path}/track_{track}"
+        lines.filter(F.col("l_returnflag") == flag).select(F.lit(track).alias("track_id"), "quantity").write.parquet(paths[track])
+    whole = read_per_track(spark, paths, "track_id int, quantity double")
+    return whole.groupBy("track_id").agg(F.count("*").alias("n_rows"), F.sum("quantity").alias("quantity"))

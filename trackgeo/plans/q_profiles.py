@@ -17,7 +17,9 @@ from trackgeo.plans import pipeline as pl
 from trackgeo.plans.inputs import HP, PR, height_points, profile_table
 from trackgeo.plans.q_grid import fields
 from trackgeo.plans.registry import query, r, rounded
-from trackgeo.session import durable
+from trackgeo.session import durable, new_path
+from trackgeo.sources.readers import read_model
+from trackgeo.sources.writers import write_model
 
 KEYS = ["track_id"]
 GRID = (0.65, 1.35, 36)
@@ -177,6 +179,46 @@ def pca_explained_variance(spark, sf):
     return rounded(loadings.agg(F.sum("explained_variance").alias("total_variance")), 9)
 
 
+# Three grid points: the eigenvalues of a 3 x 3 matrix have a closed form.
+SMALL = (0, 19, 39)
+EIGEN = f"""{PR}, pt AS (SELECT track_id, x_index, {', '.join(f'"full"[{g + 1}] AS p{i}' for i, g in enumerate(SMALL, 1))} FROM pr),
+cv AS (SELECT count(*) AS n, var_samp(p1) AS a, var_samp(p2) AS b, var_samp(p3) AS c, covar_samp(p1, p2) AS d, covar_samp(p1, p3) AS e, covar_samp(p2, p3) AS f FROM pt),
+c1 AS (SELECT *, (a + b + c) / 3 AS q FROM cv), c2 AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS h FROM c1),
+c3 AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / pow(h, 3) / 2))) / 3 AS w FROM c2),
+c4 AS (SELECT n, q, q + 2 * h * cos(w) AS e1, q + 2 * h * cos(w + 2 * pi() / 3) AS e3 FROM c3),
+eg AS (SELECT n, 3 * q AS total, unnest([1, 2, 3]) AS component, unnest([e1, 3 * q - e1 - e3, e3]) AS v FROM c4)"""
+
+
+def small_model(spark, sf):
+    """Profiles on three grid points and their frozen model, written and read back."""
+    p = profile_table(spark, sf).select("track_id", "x_index", F.array(*[F.get("full", F.lit(g)) for g in SMALL]).alias("ready"))
+    path = new_path(spark)
+    write_model(*pr.fit_pca(p), path)
+    return p, *read_model(spark, path)
+
+
+@query("pca_explained_ratios", f"WITH {EIGEN} SELECT component, round(v, 9) AS explained_variance, round(v / total, 9) AS explained_ratio FROM eg")
+def pca_explained_ratios(spark, sf):
+    _, loadings, _ = small_model(spark, sf)
+    return rounded(loadings.select("component", "explained_variance", "explained_ratio"), 9)
+
+
+@query("pca_residual_energy", f"""WITH {EIGEN}, k AS (SELECT unnest([0, 1, 2, 3]) AS k)
+SELECT k AS n_components, round(coalesce(sum(v) FILTER (component > k), 0) * any_value(n - 1), 6) AS residual_energy FROM eg, k GROUP BY 1""")
+def pca_residual_energy(spark, sf):
+    """Sum of squared residuals after k components, by a model that was written and read back."""
+    p, loadings, mean = small_model(spark, sf)
+    e = pr.reconstruction_errors(p, loadings, mean, ["track_id", "x_index"], [0, 1, 2, 3])
+    return rounded(e.groupBy("n_components").agg((F.sum(F.col("rmse") * F.col("rmse")) * len(SMALL)).alias("residual_energy")), 6)
+
+
+@query("model_contract", f"""WITH {PR} SELECT least(count(*) - 1, 64)::BIGINT AS n_components, 64 AS min_points, 64 AS max_points, 0::BIGINT AS bad_loadings, 64 AS n_points, 0::BIGINT AS bad_means,
+  count(*) > 5 AS passed FROM pr""")
+def model_contract(spark, sf):
+    loadings, mean = (durable(t) for t in pr.fit_pca(full_profiles(spark, sf)))
+    return dq.model_contract(loadings, mean, 5, [0.65 + 0.7 * i / 63 for i in range(64)])
+
+
 @query("pca_components")
 def pca_components(spark, sf):
     loadings, _ = pr.fit_pca(full_profiles(spark, sf))

@@ -60,11 +60,10 @@ ag AS (SELECT track, frame_index, root, count(*) AS n, avg(ox) AS cx, avg(oy) AS
 bg AS (SELECT *, row_number() OVER (PARTITION BY track, frame_index ORDER BY n DESC, root) AS k, sqrt(pow(uxx - uyy, 2) + 4 * uxy * uxy) AS d FROM ag),
 st AS (SELECT track, frame_index, max(temp) AS pk, avg(temp) FILTER (temp > 0) AS mn, quantile_cont(temp, 0.995) AS fs FROM fp GROUP BY 1, 2)
 SELECT track, frame_index, round(pk, 6) AS peak_temp, round(mn, 6) AS mean_temp, round(fs, 6) AS frame_score, round(coalesce(threshold, 1000.0), 6) AS threshold, coalesce(n, 0) AS mp_area_px, round(cx, 6) AS mp_centroid_x, round(cy, 6) AS mp_centroid_y,
-  round(coalesce(4 * sqrt(greatest((uxx + uyy + d) / 2, 0)), 0.0), 5) AS mp_length, round(coalesce(4 * sqrt(CASE WHEN (uxx + uyy - d) / 2 > 1e-9 THEN (uxx + uyy - d) / 2 ELSE 0 END), 0.0), 5) AS mp_width
+  round(coalesce(4 * sqrt(greatest((uxx + uyy + d) / 2, 0)), 0.0), 5) AS mp_length, round(coalesce(4 * sqrt(greatest((uxx + uyy - d) / 2, 0)), 0.0), 5) AS mp_width
 FROM st LEFT JOIN ot USING (track, frame_index) LEFT JOIN (SELECT * FROM bg WHERE k = 1) USING (track, frame_index)""")
 def melt_pool_features(spark, sf):
     t = pl.thermal_features(frame_pixels(spark, sf), FRAME)
-    t = t.withColumn("mp_width", F.when(F.col("mp_width") > 2e-4, F.col("mp_width")).otherwise(F.lit(0.0)))
     return rounded(rounded(t, 6, "peak_temp", "mean_temp", "frame_score", "threshold", "mp_centroid_x", "mp_centroid_y"), 5, "mp_length", "mp_width")
 
 

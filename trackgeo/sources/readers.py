@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,19 +69,32 @@ def latest_run(df: DataFrame, tag: str = "run_tag") -> DataFrame:
     return df.filter(F.col(tag) == F.lit(newest))
 
 
-def read_per_track(
-    spark: SparkSession, paths: dict[int, str], schema: str, fmt: str = "csv"
-) -> DataFrame:
-    """One file per expected track, each holding only its own track, as one table."""
-    out = None
-    for track, path in sorted(paths.items()):
-        part = read_table(spark, path, schema, fmt)
-        wrong = F.raise_error(F.lit(f"{path} holds rows of another track"))
-        part = part.withColumn("track_id", F.when(F.col("track_id") == track, F.col("track_id")).otherwise(wrong))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+def read_per_track(spark: SparkSession, paths: dict[int, str], schema: str, fmt: str = "parquet") -> DataFrame:
+    """One file or folder per expected track as one table.
+
+    A missing path, rows of another track inside one, and a track without rows raise. The first two travel with
+    the plan; the last compares expected with observed tracks before the table is returned.
+    """
+    if not paths:
         raise ContractError("no track expected")
-    return out
+
+    def one(track: int, path: str) -> DataFrame:
+        part = spark.read.schema(schema).format(fmt).option("header", True).load(path)
+        require_columns(part, ["track_id"], path)
+        wrong = F.raise_error(F.lit(f"{path} holds rows of another track")).cast(part.schema["track_id"].dataType)
+        return part.withColumn("track_id", F.when(F.col("track_id") == track, F.col("track_id")).otherwise(wrong))
+
+    whole = reduce(DataFrame.unionByName, [one(t, p) for t, p in sorted(paths.items())])
+    expected = spark.createDataFrame([(t,) for t in sorted(paths)], "track_id int")
+    lost = expected.join(whole.select("track_id").distinct(), "track_id", "left_anti").collect()
+    if lost:
+        raise ContractError(f"no rows of tracks {sorted(r.track_id for r in lost)}")
+    return whole
+
+
+def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Loadings and mean as `write_model` left them."""
+    return read_table(spark, f"{path}/loadings"), read_table(spark, f"{path}/mean")
 
 
 def read_height_text(spark: SparkSession, path: str, hot_rows: int = 1_000_000, chunk_rows: int | None = None) -> DataFrame:
