@@ -153,37 +153,39 @@ def _runs(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (any columns with `length`) with `sequence_id` and `offset`."""
     require_columns(pieces, "length")
-    written = durable(pieces.withColumn("_row", F.monotonically_increasing_id()))
-    chunk = F.shiftright("_row", 33)
-    tally = written.groupBy("length", chunk.alias("_chunk")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("_chunk")
-    offsets = tally.withColumn("_before", F.sum("n").over(before) - F.col("n")).drop("n")
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    fields = pieces.select(*[F.col(f"`{c}`") for c in names]).schema.fields
+    # Input columns travel in one struct, so no name of theirs meets one of this plan.
+    written = durable(pieces.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("piece"), F.col("length").cast("bigint").alias("length"),
+        F.monotonically_increasing_id().alias("row")))
+    chunk = F.shiftright("row", 33)
+    tally = written.groupBy("length", chunk.alias("chunk")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("chunk")
+    offsets = tally.withColumn("before", F.sum("n").over(before) - F.col("n")).drop("n")
     counts = {r[0]: r[1] for r in written.groupBy("length").count().collect()}  # at most `capacity` rows
     if any(not 0 < x <= capacity for x in counts):
         raise ValueError(f"lengths must lie in 1..{capacity}")
     runs = slots(plan(counts, capacity))
-    within = Window.partitionBy("length", "_chunk").orderBy("_row")
-    numbered = written.withColumn("_chunk", chunk).withColumn("_nth", F.row_number().over(within) - 1)
-    ranked = numbered.join(offsets, ["length", "_chunk"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    schema = ranked.select(*names, "_rank").schema
+    within = Window.partitionBy("length", "chunk").orderBy("row")
+    numbered = written.withColumn("chunk", chunk).withColumn("nth", F.row_number().over(within) - 1)
+    ranked = numbered.join(offsets, ["length", "chunk"]).select("piece", "length", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = runs["length"] << 48 | runs["first"]
         for batch in batches:
-            length = batch.column("length").to_numpy().astype(np.int64)
-            rank = batch.column("_rank").to_numpy().astype(np.int64)
+            length, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             i = np.searchsorted(key, length << 48 | rank, side="right") - 1
             past = rank - runs["first"][i]
             width = runs["width"][i]
-            columns = [batch.column(c) for c in names]
+            columns = batch.column(0).flatten()
             columns += [pa.array(runs["base"][i] + past // width), pa.array(runs["offset"][i] + past % width * length)]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     from pyspark.sql.types import LongType, StructType
 
-    out = StructType(schema.fields[:-1]).add("sequence_id", LongType()).add("offset", LongType())
-    return ranked.select(*names, "_rank").mapInArrow(place, out)
+    out = StructType(fields).add("sequence_id", LongType()).add("offset", LongType())
+    return ranked.mapInArrow(place, out)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -69,7 +69,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, prior:
     spark = docs.sparkSession
     named = trusted.select(F.col(trusted.columns[0]).alias("_id")).dropna().distinct().withColumn("_trusted", F.lit(1))
     source = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    flagged = source.join(named, "_id", "left").withColumn("_words", words_column(F.col("_text"))).withColumn("_n", F.size("_words"))
+    # The same join at every size: the ids grow with the documents and are never broadcast.
+    flagged = source.join(named.hint("merge"), "_id", "left").withColumn("_words", words_column(F.col("_text"))).withColumn("_n", F.size("_words"))
     counts = durable(flagged.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(grams()).alias("bucket")).groupBy(
         "bucket").agg(F.count("*").alias("r"), F.sum("t").alias("t")))
     raw, target = counts.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
@@ -90,7 +91,8 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     table = ratios.agg(F.transform(
         F.sort_array(F.collect_list(F.struct("bucket", "micro"))), lambda x: x["micro"]).alias("m"))  # BUCKETS numbers
     rest = [c for c in docs.columns if c.lower() not in RESULTS]
-    based = base_columns(docs.select(*[F.col(f"`{c}`") for c in rest]), text)
+    # Input columns travel in one struct, so no name of theirs meets one of this plan.
+    based = base_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_in"), F.col(f"`{text}`").alias("_text")), "_text")
     summed = based.withColumn("_ratios", table.scalar()).withColumn("_grams", grams()).withColumns({
         "_size": F.size("_grams"),
         "_sum": F.aggregate("_grams", F.lit(0).cast("bigint"), lambda s, b: s + F.get("_ratios", b.cast("int")))})
@@ -100,4 +102,4 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text
         "base_failed": failed,
         "score": F.when(F.col("_size") > 0, F.col("_sum") / F.col("_size") / MICRO),
         "kept": ~failed & (F.col("_sum") >= F.lit(cut).cast("bigint") * F.col("_size"))}).select(
-        *[F.col(f"`{c}`") for c in rest], *RESULTS)
+        "_in.*", *RESULTS)

@@ -81,11 +81,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     fits = expressions.join(table, ["short", "salt"]).filter("digest = full")
     best = fits.groupBy("host", "path").agg(F.max_by(
         F.struct("rule", "verdict"), F.struct(F.length("rule"), "host_length")).alias("best"))
+    of_host, of_path, won = (free_name(judged, name) for name in ("of_host", "of_path", "won"))
     joined = judged.join(
-        best.select(F.col("host").alias("_bh"), F.col("path").alias("_bp"), "best"),
-        (F.col(host) == F.col("_bh")) & (F.col(path) == F.col("_bp")), "left")
-    return _named(pages, joined, F.col(host), F.col(path), F.col("best.rule"),
-                  F.coalesce(F.col("best.verdict"), F.lit(default)))
+        best.toDF(of_host, of_path, won), (F.col(host) == F.col(of_host)) & (F.col(path) == F.col(of_path)), "left")
+    return _named(pages, joined, F.col(host), F.col(path), F.col(won)["rule"],
+                  F.coalesce(F.col(won)["verdict"], F.lit(default)))
 
 
 def _named(pages: DataFrame, df: DataFrame, *values: Column) -> DataFrame:
