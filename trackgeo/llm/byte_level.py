@@ -46,7 +46,7 @@ def _encoder(path: str) -> Callable[[str], bytes]:
     tokenize, shown = tokenizer.model.tokenize, {byte: chr(letter) for byte, letter in _byte_letters().items()}
     plain, parts = re.compile(PLAIN).fullmatch, re.compile(PARTS).findall
     crossing = re.compile(rf"[{BLANK}]{{3}}|[{BLANK}]{{2}}\Z").search
-    around = [pair for c in "\t\n\x0B\f\r" for pair in (f" {c}", f"{c} ")] + ["  "]
+    rare = ("  ", " \n", "\n ", "\t", "\x0B", "\f", "\r")  # no long run of blanks that holds a space is without one of these
 
     def one(part: str) -> bytes:
         if part.isascii() and part.isprintable():  # only the space has another letter
@@ -89,9 +89,10 @@ def _encoder(path: str) -> Callable[[str], bytes]:
         of_part.tidy()
         if not plain(text) or "<|" in text:
             return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if any(pair in text for pair in around) and crossing(text) or text[-2:].isspace():
+        if any(sign in text for sign in rare) and crossing(text) or text[-2:].isspace():
             return b"".join(map(of_part.__getitem__, parts(text)))
-        first, *rest = text.split(" ")
-        return b"".join((*map(of_part.__getitem__, parts(first)), *map(of_chunk.__getitem__, rest)))
+        first, _, rest = text.partition(" ")
+        opening = b"".join(map(of_part.__getitem__, parts(first)))
+        return opening + b"".join(map(of_chunk.__getitem__, rest.split(" "))) if _ else opening
 
     return encode
