@@ -19,7 +19,7 @@ from trackgeo.llm.tokenizing import DIGITS, LETTERS, PLAIN, _byte_letters
 BLANK = r"\x20\t\n\x0B\f\r"
 PARTS = (rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANK}{LETTERS}{DIGITS}]+"
          rf"|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-MOST_KEPT, LONGEST_KEPT = 450_000, 100
+MOST_KEPT, LONGEST_KEPT = 200_000, 100
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
