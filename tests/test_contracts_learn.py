@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from trackgeo.operators import contracts as dq
 from trackgeo.operators import joins as jn
 from trackgeo.operators import learn as ln
+from trackgeo.operators import metrics as mt
 from trackgeo.operators import profiles as pr
+from trackgeo.operators import segment as sg
 from trackgeo.sources import readers, writers
 
 
@@ -161,3 +163,23 @@ def test_files_per_track_and_model_files(spark, tmp_path):
 def test_json_object(spark):
     row = spark.range(1).select(dq.json_object(b=F.lit(1), a=F.lit(None).cast("string"), c=F.lit("x\"y")).alias("j")).first()
     assert row["j"] == '{"a":null,"b":1,"c":"x\\"y"}'
+
+
+def test_metrics_of_several_levels(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k) if k < 3 else None, t, float(a), float(p)) for k, t, a, p in zip(
+        rng.integers(0, 4, 400), rng.choice(["x", "y"], 400), rng.normal(size=400), rng.normal(size=400))]
+    long = spark.createDataFrame(rows, "k int, target string, actual double, predicted double").repartition(5)
+    got = {(r.level, r.k, r.target): r for r in mt.regression_metrics(long, ["k"], [["k"], []]).collect()}
+    assert len(got) == 10
+    for (level, k, target), r in got.items():
+        some = np.array([(a, p) for kk, t, a, p in rows if t == target and (level == 1 or kk == k)])
+        off = some[:, 1] - some[:, 0]
+        want = [np.abs(off).mean(), np.sqrt((off ** 2).mean()), np.median(np.abs(off)), 1 - (off ** 2).sum() / (some[:, 0].var() * len(some))]
+        assert r.n == len(some)
+        np.testing.assert_allclose([r.mae, r.rmse, r.median_absolute_error, r.r2], want, rtol=1e-9)
+
+
+def test_failure_counts(spark):
+    rows = spark.createDataFrame([("ok", None), ("edge_of_profile", "ok"), ("edge_of_profile", "edge_of_profile")], "left_status string, right_status string")
+    assert {tuple(r) for r in sg.failure_counts(rows).collect()} == {("(none)", 1, 2), ("edge_of_profile", 2, 1)}

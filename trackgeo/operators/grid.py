@@ -478,3 +478,19 @@ def side_baselines(
         "right_spread": F.when(F.col("n_right") > 0, F.col("right_spread")),
         "left_minus_right": F.col("left_baseline") - F.col("right_baseline"),
     })
+
+
+def side_disagreement(
+    profiles: DataFrame, keys: list[str], value: str = "z_um", min_samples: int = 200, spreads: float = 3.0,
+) -> DataFrame:
+    """Whole median, substrate baseline and side difference of each profile.
+
+    `sides_disagree` flags a difference of the side baselines beyond `spreads` substrate spreads; profiles without
+    both sides are not flagged.
+    """
+    base = profile_baseline(profiles, keys, value, min_samples)
+    sides = side_baselines(profiles, keys, value).select(*keys, "whole_median", "left_minus_right")
+    return base.join(sides, keys).select(
+        *keys, "whole_median", "baseline", (F.col("whole_median") - F.col("baseline")).alias("difference"), "spread", "left_minus_right",
+        (F.col("baseline_source") != "substrate_outside_exclusion").alias("fallback_used"),
+        F.coalesce(F.abs("left_minus_right") > spreads * F.col("spread"), F.lit(False)).alias("sides_disagree"))

@@ -325,3 +325,13 @@ def interval_sensitivity(chosen: DataFrame, keys: list[str], k: str = "threshold
         (F.max("y_min") - F.min("y_min")).alias("left_spread"),
         (F.max("y_max") - F.min("y_max")).alias("right_spread"),
         (F.max("width") - F.min("width")).alias("width_spread"))
+
+
+def failure_counts(boundaries: DataFrame, left: str = "left_status", right: str = "right_status") -> DataFrame:
+    """Profiles per failure category and side; sides that were found, or not looked for, count as `(none)`."""
+    category = lambda c: F.when(F.col(c).isNull() | (F.col(c) == "ok"), "(none)").otherwise(F.col(c))
+    long = boundaries.select(F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), category(c).alias("failure")) for side, c in (("left", left), ("right", right))
+    ])).alias("e")).select("e.*")
+    count = lambda side: F.sum((F.col("side") == side).cast("long")).alias(f"{side}_failure_count")
+    return long.groupBy("failure").agg(count("left"), count("right"))

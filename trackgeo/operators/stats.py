@@ -281,39 +281,38 @@ def window_effect(
     min_effect: float = 0.25,
     min_high_bins: int = 3,
     labelled: Column | None = None,
-    **how,
 ) -> DataFrame:
     """Shift of a window's median against the stretch before it, in units of the series MAD.
 
     Passes when enough values are finite, the label occurs, the effect is large and enough bins of
-    the window lie above the earlier median.
+    the window lie above the earlier median. All medians come from one pair of scans, the spread from another.
     """
     at, v = F.col(position), F.col(value)
     inside, earlier = at.between(*window), (at >= before[0]) & (at < before[1])
     label = F.coalesce(labelled, F.lit(False)) if labelled is not None else F.lit(True)
-    spread = mad(df, keys, {"series_mad": value}, **how)
-    cond = df.select(
-        *keys,
-        F.when(inside, v).alias("_in"),
-        F.when(earlier, v).alias("_pre"),
-    )
-    centres = medians(cond, keys, {"window_median": "_in", "before_median": "_pre"}, **how)
     counts = df.groupBy(*keys).agg(
         F.count(F.when(inside, v)).alias("n_window"),
         F.max((inside & label).cast("int")).alias("has_label"),
     )
-    bins = medians(
-        df.filter(inside).withColumn("_bin", F.floor((at - window[0]) / bin_width)),
-        [*keys, "_bin"],
-        {"bin_median": value},
-        **how,
-    )
+    # One row per series and part it belongs to: the whole (-3), before (-2), the window (-1) and its bins (0 ..).
+    part = lambda when, n: F.when(when, F.lit(n).cast("bigint"))
+    bin_of = F.when(inside, F.floor((at - window[0]) / bin_width))
+    parts = F.array_compact(F.array(F.lit(-3).cast("bigint"), part(earlier, -2), part(inside, -1), bin_of))
+    middles = durable(percentiles_in_place(
+        df.select(*keys, v.alias("_value"), F.explode(parts).alias("_part")), [*keys, "_part"], "_value", [0.5]
+    ).select(*keys, "_part", F.get("q", F.lit(0)).alias("_m")))
+    pick = lambda n: F.max(F.when(F.col("_part") == n, F.col("_m")))
+    centres = durable(middles.groupBy(*keys).agg(
+        pick(-3).alias("_whole"), pick(-1).alias("window_median"), pick(-2).alias("before_median")))
+    away = attach(df, centres.select(*keys, "_whole"), keys).select(*keys, F.abs(v - F.col("_whole")).alias("_away"))
+    spread = percentiles_in_place(away, keys, "_away", [0.5]).select(
+        *keys, (F.get("q", F.lit(0)) * MAD_SCALE).alias("series_mad"))
     high = (
-        attach(bins, centres, keys)
+        attach(middles.filter("_part >= 0"), centres, keys)
         .groupBy(*keys)
-        .agg(F.sum((F.col("bin_median") > F.col("before_median")).cast("int")).alias("high_bins"))
+        .agg(F.sum((F.col("_m") > F.col("before_median")).cast("int")).alias("high_bins"))
     )
-    table = counts.join(centres, keys).join(spread, keys, "left").join(high, keys, "left")
+    table = counts.join(centres.drop("_whole"), keys, "left").join(spread, keys, "left").join(high, keys, "left")
     effect = F.when(
         F.col("series_mad") > 0,
         (F.col("window_median") - F.col("before_median")) / F.col("series_mad"),

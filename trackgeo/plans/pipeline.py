@@ -11,6 +11,7 @@ from trackgeo.operators import grid as gr
 from trackgeo.operators import joins as jn
 from trackgeo.operators import profiles as pr
 from trackgeo.operators import segment as sg
+from trackgeo.operators import stats as st
 from trackgeo.operators import sequential as sq
 from trackgeo.operators import structures as sx
 from trackgeo.operators.layout import attach, fits_a_task
@@ -71,11 +72,29 @@ def param(configs: list[Extraction], name: str) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("config_name"))
 
 
-def scored_components(profiles: DataFrame, case: list[str], configs: list[Extraction]) -> tuple[DataFrame, DataFrame]:
+#: Width mode whose preferred width and scale come from pooled candidates of the first phase.
+DATA_DERIVED = "data_derived"
+
+
+def pooled_width_prior(profiles: DataFrame, case: list[str], base: Extraction, floor: float | None = None) -> DataFrame:
+    """First phase: one row (`preferred_width`, `width_scale`) from the widths of all candidates under `base`.
+
+    The scale is twice their spread, at least `floor` (the scale of `base` by default).
+    """
+    _, comps = scored_components(profiles, case, [base])
+    return st.width_prior(comps, "width", base.width_scale if floor is None else floor, base.preferred_width)
+
+
+def scored_components(
+    profiles: DataFrame, case: list[str], configs: list[Extraction], prior: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Profile rows with baselines, and the scored candidate components, per configuration.
 
-    `base_score` holds all terms but continuity.
+    `base_score` holds all terms but continuity. Configurations in the data-derived width mode take width and
+    scale from the one row of `prior`, the others from their own parameters.
     """
+    if prior is None and any(c.width_mode == DATA_DERIVED for c in configs):
+        raise ValueError("the data-derived width mode needs a prior")
     p = lambda n: param(configs, n)
     keys = ["config_name", *case]
     rows = profiles.withColumn("config_name", F.explode(F.array(*[F.lit(c.config_name) for c in configs])))
@@ -83,25 +102,34 @@ def scored_components(profiles: DataFrame, case: list[str], configs: list[Extrac
     rows = attach(rows, base, keys)
     o = sg.by_profile(rows, keys)
     comps = sg.over_threshold(o, p("threshold_k"), min_samples=p("min_samples"), min_width=p("min_width"), max_width=p("max_width"))
+    derived = p("width_mode") == DATA_DERIVED
+    if prior is None:
+        preferred, scale = p("preferred_width"), p("width_scale")
+    else:
+        comps = attach(comps, prior.select(F.col("preferred_width").alias("_pw"), F.col("width_scale").alias("_ps")), [])
+        preferred = F.when(derived, F.col("_pw")).otherwise(p("preferred_width"))
+        scale = F.when(derived, F.col("_ps")).otherwise(p("width_scale"))
     score = (
         p("height_weight") * sc.height_score(F.col("median_above"))
-        + p("width_weight") * sc.width_score(F.col("width"), p("width_mode"), p("preferred_width"), p("width_scale"), p("width_lo"), p("width_hi"), p("width_taper"))
+        + p("width_weight") * sc.width_score(F.col("width"), p("width_mode"), preferred, scale, p("width_lo"), p("width_hi"), p("width_taper"))
         + p("centre_weight") * sc.centre_score(F.col("centroid"), p("prior_lo"), p("prior_hi")))
-    return rows, comps.withColumn("base_score", score)
+    return rows, comps.withColumn("base_score", score).drop("_pw", "_ps")
 
 
 def extract_sections(
-    profiles: DataFrame, keys: list[str], position: str, configs: list[Extraction] | None = None, **sizes
+    profiles: DataFrame, keys: list[str], position: str, configs: list[Extraction] | None = None,
+    prior: DataFrame | None = None, **sizes
 ) -> DataFrame:
     """One extraction row per configuration, track and position.
 
-    `profiles`: keys, position, y_index, y_mm, z_um. All configurations run in one job.
+    `profiles`: keys, position, y_index, y_mm, z_um. All configurations run in one job; `prior` feeds those with
+    the data-derived width mode (`pooled_width_prior`).
     """
     configs = configs or [CONTROL]
     p = lambda n: param(configs, n)
     case = [*keys, position]
     by = ["config_name", *case]
-    rows, comps = scored_components(profiles, case, configs)
+    rows, comps = scored_components(profiles, case, configs, prior)
     comps = durable(comps)
     threshold = F.col("baseline") + p("threshold_k") * F.col("spread")
     summary = rows.groupBy(*by).agg(

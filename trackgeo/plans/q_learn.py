@@ -88,10 +88,8 @@ def loto_ridge_metrics(spark, sf):
     """Windows, held-out scaling, closed-form models, predictions, metrics per fold and pooled."""
     w, m = two_feature_models(spark, sf)
     long = ln.scored_long(ln.predict(w, m, "fold", ["next_value"]), ["model", "fold"], ["next_value"])
-    long = durable(long)
-    folds = mt.regression_metrics(long, ["model", "fold"])
-    pooled = mt.regression_metrics(long, ["model"]).withColumn("fold", F.lit(None).cast(dict(folds.dtypes)["fold"]))
-    return rounded(folds.unionByName(pooled).drop("target"), 6)
+    both = mt.regression_metrics(durable(long), ["model", "fold"], [["model", "fold"], ["model"]])
+    return rounded(both.drop("target", "level"), 6)
 
 
 @query("pooled_fold_ranking", f"""WITH {PRED2}, a AS (SELECT p.model, p.n, p.mae, p.rmse, p.med, p.r2, count(*) AS n_folds, avg(f.mae) AS am, stddev_pop(f.mae) AS sm, avg(f.rmse) AS ar, stddev_pop(f.rmse) AS sr, avg(f.r2) AS a2, stddev_pop(f.r2) AS s2

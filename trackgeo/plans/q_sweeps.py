@@ -29,6 +29,9 @@ ABLATION = variants(BASE, {
     "NO_HEIGHT": {"height_weight": 0.0}, "NO_WIDTH": {"width_weight": 0.0}, "NO_CENTRE": {"centre_weight": 0.0},
     "NO_CONTINUITY": {"continuity_weight": 0.0}, "BROAD_WIDTH": {"width_mode": "broad_range"}})
 
+DERIVED = variants(BASE, {"DATA_WIDTH": {"width_mode": pl.DATA_DERIVED}})
+PRIOR_FLOOR = 0.01
+
 BAND = HP + f""",
 sp AS (SELECT track_id, min(x_mm) AS lo, max(x_mm) AS hi FROM hp GROUP BY 1),
 ct AS (SELECT track_id, unnest(range(0, floor((hi - lo) / {STEP} + 1e-9)::BIGINT + 1)) AS position, lo FROM sp),
@@ -105,9 +108,12 @@ mk AS (SELECT config_name, rw.*, z - baseline AS up, y_index - row_number() OVER
   FROM cfg, rw WHERE z >= baseline + threshold_k * spread),
 cp0 AS (SELECT config_name, track_id, position, min(y_index) AS a, count(*) AS n, min(y_mm) AS y_min, max(y_mm) AS y_max, max(y_mm) - min(y_mm) AS width, avg(y_mm) AS centroid,
   median(up) AS med FROM mk GROUP BY config_name, track_id, position, g),
+pw0 AS (SELECT width FROM cp0 WHERE config_name = 'CONTROL' AND n >= {b.min_samples} AND width BETWEEN {b.min_width} AND {b.max_width}),
+pooled AS (SELECT m AS pw, greatest({PRIOR_FLOOR}, 2.0 * 1.4826 * median(abs(width - m))) AS ps FROM pw0, (SELECT median(width) AS m FROM pw0) GROUP BY m),
 cp AS (SELECT c.config_name, track_id, position, a, y_min, y_max, width, centroid,
    height_weight * tanh(greatest(med, 0.0) / 12.0) + width_weight * CASE WHEN width_mode = 'broad_range'
-     THEN greatest(0.0, 1.0 - greatest({b.width_lo} - width, width - {b.width_hi}, 0.0) / {b.width_taper}) ELSE exp(-pow((width - {b.preferred_width}) / {b.width_scale}, 2)) END
+     THEN greatest(0.0, 1.0 - greatest({b.width_lo} - width, width - {b.width_hi}, 0.0) / {b.width_taper})
+     WHEN width_mode = 'data_derived' THEN exp(-pow((width - (SELECT pw FROM pooled)) / (SELECT ps FROM pooled), 2)) ELSE exp(-pow((width - {b.preferred_width}) / {b.width_scale}, 2)) END
    + centre_weight * greatest(0.0, 1.0 - 0.5 * least(abs(centroid - 0.5 * ({b.prior_lo} + {b.prior_hi})) / (0.5 * ({b.prior_hi} - {b.prior_lo})), 2.0)) AS base
   FROM cp0 c JOIN cfg USING (config_name) WHERE n >= {b.min_samples} AND width BETWEEN {b.min_width} AND {b.max_width}),
 ls AS (SELECT config_name, track_id, position, list(struct_pack(y_min := y_min, y_max := y_max, width := width, centroid := centroid, base := base) ORDER BY a) AS cs FROM cp GROUP BY 1, 2, 3),
@@ -209,6 +215,40 @@ def sweep_stability(spark, sf):
     return rounded(t.withColumns({"stability_class": sc.stability_class(*args), "sensitivity_score": sc.sensitivity(*args)}), 6)
 
 
+@query("data_derived_width", f"""WITH RECURSIVE {extract_sql(DERIVED)} SELECT config_name, track_id, position, n_candidates AS n_candidate_components, status AS extraction_status,
+  round(best, 6) AS selected_component_score, round(width, 6) AS segmentation_width, round(centroid, 6) AS segmentation_centroid, round((SELECT pw FROM pooled), 9) AS preferred_width,
+  round((SELECT ps FROM pooled), 9) AS width_scale FROM ex""")
+def data_derived_width(spark, sf):
+    """Two phases in one plan: candidates of the control give the width prior of the second configuration."""
+    p = profiles(spark, sf)
+    prior = durable(pl.pooled_width_prior(p, CASE, BASE, PRIOR_FLOOR))
+    e = pl.extract_sections(p, KEYS, "position", DERIVED, prior).select(
+        "config_name", *CASE, "n_candidate_components", "extraction_status", "selected_component_score", "segmentation_width", "segmentation_centroid")
+    return rounded(rounded(attach(e, prior, []), 6, "selected_component_score", "segmentation_width", "segmentation_centroid"), 9, "preferred_width", "width_scale")
+
+
+# Both sides of a profile against its own substrate: a difference beyond three spreads is flagged.
+@query("side_disagreement", f"""WITH {BAND}, z AS (SELECT track_id, position, y_mm, z, min(y_mm) OVER (PARTITION BY track_id, position) + 0.55 AS yl, max(y_mm) OVER (PARTITION BY track_id, position) - 0.55 AS yr FROM bp),
+a AS (SELECT track_id, position, median(z) AS wm, median(z) FILTER (y_mm <= yl) - median(z) FILTER (y_mm >= yr) AS lr FROM z GROUP BY 1, 2),
+f AS (SELECT track_id, position, wm, baseline, spread, lr, ns < 30 AS fb, coalesce(abs(lr) > 3.0 * spread, false) AS flag, ff FROM a JOIN pb USING (track_id, position) JOIN p1 USING (track_id, position, ff))
+SELECT track_id, count(*) AS n_profiles, sum(flag::INT)::BIGINT AS n_flagged, sum(fb::INT)::BIGINT AS n_fallback, round(median(wm - baseline), 6) AS median_difference, round(max(abs(lr) / spread), 6) AS largest_ratio FROM f GROUP BY 1""")
+def side_disagreement(spark, sf):
+    p = profiles(spark, sf)
+    t = gr.side_disagreement(p, CASE, "z_um", 30)
+    mid = st.medians(t, KEYS, {"median_difference": "difference"}, bounded=True)
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    return rounded(t.groupBy(*KEYS).agg(
+        F.count("*").alias("n_profiles"), count("sides_disagree").alias("n_flagged"), count("fallback_used").alias("n_fallback"),
+        F.max(F.abs(F.col("left_minus_right")) / F.col("spread")).alias("largest_ratio")).join(mid, KEYS), 6)
+
+
+@query("return_failure_counts")
+def return_failure_counts(spark, sf):
+    """Failure categories of the return rule, counted for both sides."""
+    o, seeds = seeded(spark, sf)
+    return sg.failure_counts(sg.substrate_return(o, seeds, levels_of(o)))
+
+
 @query("ablation_changes", f"""WITH RECURSIVE {extract_sql(ABLATION)}, a AS (SELECT * FROM ex WHERE config_name = 'CONTROL'), j AS (
   SELECT b.config_name, a.status AS sa, b.status AS sb, round(a.y_lo, 6) IS DISTINCT FROM round(b.y_lo, 6) OR round(a.y_hi, 6) IS DISTINCT FROM round(b.y_hi, 6) AS moved
   FROM a JOIN ex b USING (track_id, position) WHERE b.config_name <> 'CONTROL')
