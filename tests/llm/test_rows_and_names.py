@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackgeo.llm import packing, quality, queries, similar_sets, url_filters
-from trackgeo.session import new_path
+from trackgeo.session import checkpoint_dir, fresh_name
 
 A = " ".join(f"alpha{i}" for i in range(60))
 B = " ".join(f"beta{i}" for i in range(60))
@@ -15,7 +15,7 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 @pytest.fixture(scope="module")
 def folder(spark):
-    path = new_path(spark)
+    path = f"{checkpoint_dir(spark)}/{fresh_name()}"  # not in the folder of a stage, which the next stage removes
     labels = [(i, i % 2, int(i % 5 == 0)) for i in range(1, 60)]
     texts = [(i, ("vile slur hate " * 6 if i % 5 == 0 else "calm kind words ") + f"text{i} " * 12) for i in range(1, 60)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
