@@ -289,9 +289,25 @@ def medoids(
     sizes = durable(chunked.groupBy(*keys).agg(
         F.count("*").alias("sample_size"), F.sum((~whole).cast("int")).alias("_gaps"), F.min(F.struct("_x", "_item")).alias("first")))
     dealt = attach(chunked, sizes.select(*keys, "sample_size"), keys)
-    chosen = F.pmod(F.xxhash64("_item", F.lit(7)), F.ceil(F.col("sample_size") / F.lit(anchors))) == 0
+    # A key within one chunk is one product anyway, so all its profiles are anchors and none is left to decide.
+    chosen = (F.col("sample_size") <= block) | (F.pmod(F.xxhash64("_item", F.lit(7)), F.ceil(F.col("sample_size") / F.lit(anchors))) == 0)
     heads = dealt.filter(chosen).drop("sample_size")
     counts, known = _medians(chunked, heads, keys, params, block)
+    if not sizes.filter(F.col("sample_size") > block).isEmpty():
+        known = known.unionByName(_medians(chunked, _undecided(chunked, sizes, heads, counts, known, keys, params, block), keys, params, block)[1])
+    score = F.struct("median_similarity", -F.col("_x"), -F.col("_item"))
+    top = known.join(chunked.select(*keys, "_item", "_x"), [*keys, "_item"]).groupBy(*keys).agg(
+        F.max_by(F.struct("_item", "_x", "median_similarity"), score).alias("b"))
+    kind = dict(profiles.dtypes)[item]
+    return sizes.join(top, keys, "left").select(
+        *keys, "sample_size", F.coalesce("b._item", "first._item").cast(kind).alias("medoid"),
+        F.coalesce("b._x", "first._x").alias("medoid_position"), "b.median_similarity")
+
+
+def _undecided(
+    chunked: DataFrame, sizes: DataFrame, heads: DataFrame, counts: DataFrame, known: DataFrame, keys: list[str], params: dict, block: int
+) -> DataFrame:
+    """Profiles whose bound from the anchors `heads` reaches the best anchor of their key; anchors are left out."""
 
     # The anchor's angle at the middle rank of complete profiles, less one rank for each profile with missing points
     # (flat ones are among the ranks that are not counted as whole, and are given away by half the difference below).
@@ -311,12 +327,4 @@ def medoids(
     best = known.groupBy(*keys).agg(F.max("median_similarity").alias("_best"))
     open_ = attach(chunked.join(bounds, [*keys, "_item"], "left"), durable(best), keys).filter(
         F.coalesce("bound", F.lit(1.0)) >= F.coalesce("_best", F.lit(-9.0)) - 1e-9).drop("bound", "_best")
-    undecided = durable(open_.join(known.select(*keys, "_item"), [*keys, "_item"], "left_anti"))
-    medians = known.unionByName(_medians(chunked, undecided, keys, params, block)[1])
-    score = F.struct("median_similarity", -F.col("_x"), -F.col("_item"))
-    top = medians.join(chunked.select(*keys, "_item", "_x"), [*keys, "_item"]).groupBy(*keys).agg(
-        F.max_by(F.struct("_item", "_x", "median_similarity"), score).alias("b"))
-    kind = dict(profiles.dtypes)[item]
-    return sizes.join(top, keys, "left").select(
-        *keys, "sample_size", F.coalesce("b._item", "first._item").cast(kind).alias("medoid"),
-        F.coalesce("b._x", "first._x").alias("medoid_position"), "b.median_similarity")
+    return durable(open_.join(known.select(*keys, "_item"), [*keys, "_item"], "left_anti"))
