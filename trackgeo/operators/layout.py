@@ -222,14 +222,17 @@ def order_rows(
     offsets = (
         ranged.groupBy(*keys, "_part")
         .count()
-        .select(*keys, "_part", F.sum("count").over(before).alias("_before"))
+        .select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), F.sum("count").over(before).alias("_before"))
         .filter(F.col("_before").isNotNull())
     )
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):  # rows without a key are a series too
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
     w = Window.partitionBy(*keys, "_part").orderBy(*cols)
     numbered = (
         ranged.withColumn("_local", F.row_number().over(w).cast("long") - 1)
-        .join(F.broadcast(offsets), [*keys, "_part"], "left")
+        .join(F.broadcast(offsets), same, "left")
         .withColumn(index, F.col("_local") + F.coalesce(F.col("_before"), F.lit(0)))
-        .drop("_local", "_before", "_part")
+        .drop("_local", "_before", "_part", "_at", *[f"_key{i}" for i in range(len(keys))])
     )
     return Ordered(numbered, tuple(keys), index, chunk)

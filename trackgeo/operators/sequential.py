@@ -1,14 +1,16 @@
 """Recurrences along a track: selection with continuity, families over thresholds, best path.
 
 The recurrences run in grouped functions over chunks of consecutive positions, never over a whole
-track: a chunk takes its incoming state from the chunk before it. For the selection the state is
-one number, guessed empty and corrected until nothing changes; for the best path it is the scores
-of the last few nodes, on which a chunk acts as a (max, +) matrix, so one small scan fixes all.
+track longer than `WALK_ROWS`: a chunk takes its incoming state from the chunk before it. For the selection
+the state is one number, guessed empty; chunks that were entered by another number are walked again, and only
+their rows are written, under the number of the round, until no entry changes. For the best path the state is
+the scores of the last few nodes, on which a chunk acts as a (max, +) matrix, so one small scan fixes all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackgeo.functions.scores import node_score
-from trackgeo.operators.layout import HOT_ROWS, order_rows
+from trackgeo.operators.layout import order_rows
 from trackgeo.session import durable
 
+#: Rows that one grouped walk in Python covers at most: about a second's work.
+WALK_ROWS = 10_000
+
 
 def _field_ddl(df: DataFrame, names: list[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -61,8 +66,37 @@ def _select_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _repaired(rows: DataFrame, group: list[str], walk: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every chunk of `rows` as it was walked last, each from what the chunk before it leaves.
+
+    A round walks the chunks whose entry changed and writes their rows alone. What is rewritten every round is one
+    border row per chunk: how it was entered, what it leaves, and the round that says so. The borders pick the valid
+    rows once, at the end.
+    """
+    none, number = F.lit(None).cast("double"), 0
+    rounds, changed = [], None
+    borders = None
+    while True:
+        entered = rows.withColumn("_prev", none) if changed is None else rows.join(changed, group)
+        rounds.append(durable(walk(entered).withColumn("_round", F.lit(number))))
+        left = rounds[-1].groupBy(*group).agg(F.max("_leaves").alias("_left"), F.max("_round").alias("_round"))
+        if borders is None:
+            borders = left.withColumn("_prev", none)
+        else:  # chunks of this round replace their border rows
+            borders = borders.join(changed.select(*group), group, "left_anti").unionByName(left.join(changed, group))
+        borders = durable(borders)
+        follows = borders.select(*group[:-1], (F.col("_chunk") + 1).alias("_chunk"), F.col("_left").alias("_now"))
+        changed = durable(borders.join(follows, group, "left").filter(~F.col("_now").eqNullSafe(F.col("_prev"))).select(
+            *group, F.col("_now").alias("_prev")))
+        if changed.isEmpty():
+            break
+        number += 1
+    done = reduce(DataFrame.unionByName, rounds)
+    return done.join(borders.select(*group, "_round"), [*group, "_round"]).drop("_round")
+
+
 def select_in_sequence(
-    cases: DataFrame, keys: list[str], position: str, hot_rows: int = HOT_ROWS, chunk_rows: int | None = None
+    cases: DataFrame, keys: list[str], position: str, hot_rows: int = WALK_ROWS, chunk_rows: int | None = WALK_ROWS
 ) -> DataFrame:
     """Best component per case where closeness to the previous selected case counts.
 
@@ -72,8 +106,10 @@ def select_in_sequence(
     """
     o = order_rows(cases, keys, [position], "_ix", hot_rows, chunk_rows)
     chunk = F.lit(0).cast("long") if o.chunk_rows is None else F.floor(F.col("_ix") / o.chunk_rows)
-    rows = o.df.withColumn("_chunk", chunk)
-    group = [*keys, "_chunk"]
+    # The series as one text, so that null keys meet in joins too.
+    series = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = o.df.withColumns({"_series": series, "_chunk": chunk})
+    group = ["_series", "_chunk"]
     rest = [c for c in rows.columns if c not in ("components", "centroids", "base_scores")]
     ddl = (
         _field_ddl(rows, rest)
@@ -88,25 +124,10 @@ def select_in_sequence(
     if o.chunk_rows is None:
         done = run(rows.withColumn("_prev", none))
     else:
-        rows = durable(rows)
-        done = durable(run(rows.withColumn("_prev", none)))
-        entered = rows.select(*group).distinct().withColumn("_prev", none)
-        while True:
-            left = done.groupBy(*group).agg(F.max("_leaves").alias("_prev"))
-            follows = left.withColumn("_chunk", F.col("_chunk") + 1)
-            entering = rows.select(*group).distinct().join(follows, group, "left")
-            changed = durable(
-                entering.join(entered.withColumnRenamed("_prev", "_old"), group)
-                .filter(~F.col("_prev").eqNullSafe(F.col("_old"))).drop("_old"))
-            if changed.limit(1).count() == 0:
-                break
-            again = run(rows.join(changed, group))
-            kept = done.join(changed.select(*group), group, "left_anti")
-            done = durable(kept.select(*done.columns).unionByName(again.select(*done.columns)))
-            entered = durable(entering)
+        done = _repaired(durable(rows), group, run)
     ratio = F.when(F.col("runner_up_score").isNotNull() & (F.col("score") > 0),
                    F.col("runner_up_score") / F.col("score")).otherwise(F.lit(0.0))
-    return done.withColumn("ambiguity", F.when(F.col("score").isNotNull(), ratio)).drop("_ix", "_chunk", "_leaves")
+    return done.withColumn("ambiguity", F.when(F.col("score").isNotNull(), ratio)).drop("_ix", "_series", "_chunk", "_leaves")
 
 
 # ------------------------------------------------------------------ families over thresholds
@@ -247,7 +268,7 @@ def _keys_of(pdf: pd.DataFrame, keys: list[str], n: int) -> dict:
 
 
 def best_path(
-    node_table: DataFrame, keys: list[str], hot_positions: int = HOT_ROWS, chunk_positions: int | None = None
+    node_table: DataFrame, keys: list[str], hot_positions: int = WALK_ROWS, chunk_positions: int | None = None
 ) -> DataFrame:
     """Nodes on the best path of each track, with the path's total score.
 
