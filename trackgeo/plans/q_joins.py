@@ -67,14 +67,15 @@ def interval_lookup(spark, sf):
     return out.select("c_custkey", "n_regionkey", "regime")
 
 
-@query("band_join", f"""WITH {EV}, c AS (SELECT event_type, range AS position, range * 24.0::DOUBLE AS x_at
-  FROM (SELECT DISTINCT event_type FROM ev) CROSS JOIN range(31))
+@query("band_join", f"""WITH {EV}, c0 AS (SELECT event_type, unnest(range(0, floor(max(t) / 24.0)::BIGINT + 2)) AS position FROM ev GROUP BY 1),
+c AS (SELECT event_type, position, position * 24.0::DOUBLE AS x_at FROM c0)
 SELECT event_type, position, count(*) AS n, round(median(value), 6) AS median_value, round(min(abs(t - x_at)), 6) AS closest
 FROM c JOIN ev USING (event_type) WHERE abs(t - x_at) <= 3.0 GROUP BY ALL""")
 def band_join(spark, sf):
     ev = event_series(spark, sf).select("event_type", "t", "value")
-    centres = ev.select("event_type").distinct().withColumn(
-        "position", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(30).cast("long")))).withColumn("x_at", F.col("position") * F.lit(24.0))
+    last = ev.groupBy("event_type").agg((F.floor(F.max("t") / 24.0) + 1).cast("long").alias("last"))  # one position past the end
+    centres = last.select("event_type", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("position")).withColumn(
+        "x_at", F.col("position") * F.lit(24.0))
     near = jn.band(centres, ev, ["event_type"], "x_at", "t", 3.0)
     from trackgeo.operators.stats import medians
 
