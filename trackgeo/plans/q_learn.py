@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackgeo.config import feature_groups
 from trackgeo.functions import scores as sc
+from trackgeo.operators import forests as fr
 from trackgeo.operators import learn as ln
 from trackgeo.operators import metrics as mt
 from trackgeo.operators.layout import order_rows
@@ -135,6 +136,75 @@ def feature_group_ablation(spark, sf):
     return rounded(folds, 4)
 
 
+# Each modality alone (one feature) and both (two features), windows of one row: every solve is a line of SQL.
+SELECTION = f"""{LR}, f AS (SELECT DISTINCT fold FROM lr), m AS (SELECT f.fold, count(*) AS n, avg(value) AS mx, avg(gap) AS mg, avg(next_value) AS my, var_pop(value) AS sx, var_pop(gap) AS sg,
+   covar_pop(value, gap) / sqrt(var_pop(value) * var_pop(gap)) AS c, covar_pop(value, next_value) / sqrt(var_pop(value)) AS bx, covar_pop(gap, next_value) / sqrt(var_pop(gap)) AS bg
+  FROM f JOIN lr ON lr.fold <> f.fold GROUP BY 1),
+w AS (SELECT *, 1.0 + a / n AS p FROM m, (VALUES ('linear', 0.0), ('ridge', 1.0)) v(model, a)),
+k AS (SELECT 'thermal' AS feature_group, fold, model, bx / p / sqrt(sx) AS wx, 0.0 AS wg, mx, mg, my FROM w UNION ALL SELECT 'sem', fold, model, 0.0, bg / p / sqrt(sg), mx, mg, my FROM w UNION ALL
+ SELECT 'thermal_sem', fold, model, (bx * p - bg * c) / (p * p - c * c) / sqrt(sx), (bg * p - bx * c) / (p * p - c * c) / sqrt(sg), mx, mg, my FROM w),
+pd AS (SELECT feature_group, model, fold, next_value AS y, my + wx * (value - mx) + wg * (gap - mg) AS yh FROM lr JOIN k USING (fold)),
+ms AS (SELECT feature_group, model, fold, count(*) AS n, avg(abs(yh - y)) AS mae, sqrt(avg(pow(yh - y, 2))) AS rmse, median(abs(yh - y)) AS med, 1 - sum(pow(yh - y, 2)) / (var_pop(y) * count(*)) AS r2
+  FROM pd GROUP BY GROUPING SETS ((feature_group, model, fold), (feature_group, model)))"""
+
+
+@query("model_selection_closed_form", f"""WITH {SELECTION} SELECT feature_group, model, fold, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(med, 6) AS median_absolute_error, round(r2, 6) AS r2
+FROM ms WHERE fold IS NOT NULL""")
+def model_selection_closed_form(spark, sf):
+    """The least-squares and ridge rows of the selection: 18 fold rows of one target."""
+    rows, w = windows(spark, sf, 1, ["next_value"], ["value", "gap"])
+    folds, _ = selection(rows, w, ["value", "gap"], 1, feature_groups(["value"], ["gap"]), ["next_value"], forests=False)
+    return rounded(folds, 6)
+
+
+@query("model_selection_closed_form_pooled", f"""WITH {SELECTION}, a AS (SELECT p.feature_group, p.model, p.n, p.mae, p.rmse, p.med, p.r2, count(*) AS n_folds, avg(f.mae) AS am, stddev_pop(f.mae) AS sm, avg(f.rmse) AS ar, stddev_pop(f.rmse) AS sr,
+  avg(f.r2) AS a2, stddev_pop(f.r2) AS s2 FROM ms p JOIN ms f ON f.model = p.model AND f.feature_group = p.feature_group AND f.fold IS NOT NULL WHERE p.fold IS NULL GROUP BY ALL)
+SELECT feature_group, model, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(med, 6) AS median_absolute_error, round(r2, 6) AS r2, n_folds, round(am, 6) AS mean_fold_mae, round(sm, 6) AS std_fold_mae,
+  round(ar, 6) AS mean_fold_rmse, round(sr, 6) AS std_fold_rmse, round(a2, 6) AS mean_fold_r2, round(s2, 6) AS std_fold_r2 FROM a""")
+def model_selection_closed_form_pooled(spark, sf):
+    rows, w = windows(spark, sf, 1, ["next_value"], ["value", "gap"])
+    _, pooled = selection(rows, w, ["value", "gap"], 1, feature_groups(["value"], ["gap"]), ["next_value"], forests=False)
+    return rounded(pooled, 6)
+
+
+def selection(rows, w, features, n, groups, targets, forests=True, **forest_sizes):
+    """Fold rows and pooled rows of every feature group and model; `event_id` names a window."""
+    keys = ["feature_group", "model", "fold"]
+    m = ln.fold_models(w, rows, "fold", features, n, groups, MODELS)
+    long = ln.scored_long(ln.predict(w, m, "fold", targets), keys, targets)
+    if forests:
+        grown, limits = fr.forest_models(w, rows, "fold", "event_id", features, n, groups, **forest_sizes)
+        guess = w.join(fr.forest_predictions(w, grown, limits, "fold", "event_id", targets), "event_id")
+        long = long.unionByName(ln.scored_long(guess, keys, targets))
+    return mt.pooled_and_fold(durable(long), keys[:2], "fold")
+
+
+@query("model_selection_folds")
+def model_selection_folds(spark, sf):
+    """Least squares, ridge and a forest of 300 trees on each feature group, held out by fold: 27 rows for three folds."""
+    rows, w = windows(spark, sf)
+    folds, _ = selection(rows, w, FEATURES, 5, GROUPS, TARGETS)
+    return rounded(folds, 4)
+
+
+@query("model_selection")
+def model_selection(spark, sf):
+    """The same run pooled over folds, with mean and deviation of the folds, ranked: 9 rows."""
+    rows, w = windows(spark, sf)
+    _, pooled = selection(rows, w, FEATURES, 5, GROUPS, TARGETS)
+    return rounded(mt.rank_models(pooled), 4)
+
+
+@query("forest_importances")
+def forest_importances(spark, sf):
+    """Ranked importance of every flattened feature in the forest of all features, per held-out fold."""
+    from trackgeo.operators.series import window_feature_names
+
+    rows, w = windows(spark, sf, 3)
+    grown, _ = fr.forest_models(w, rows, "fold", "event_id", FEATURES, 3, {"thermal_sem": FEATURES})
+    return rounded(fr.forest_importances(grown, "fold", window_feature_names(3, FEATURES)), 4)
+
+
 @query("bayesian_ridge")
 def bayesian_ridge(spark, sf):
     rows, w = windows(spark, sf, 3, ["next_value"])
