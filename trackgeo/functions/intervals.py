@@ -15,6 +15,12 @@ def iou(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     return F.when(covered > 0, shared / covered).otherwise(F.lit(0.0))
 
 
+def unshared(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+    """Length covered by exactly one of two intervals; null when either is missing."""
+    both = (hi_a - lo_a) + (hi_b - lo_b)
+    return F.when(both.isNotNull(), both - 2.0 * overlap(lo_a, hi_a, lo_b, hi_b))
+
+
 def contains(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
     """Whether a covers all of b."""
     return (lo_a <= lo_b) & (hi_a >= hi_b)

@@ -186,7 +186,10 @@ def pick_seed(intervals: DataFrame, profiles: DataFrame, keys: list[str], margin
 
 
 def peak_seed(o: Ordered, residual: str = "residual", top: float = 0.10) -> DataFrame:
-    """Sample nearest the median y of the largest residuals; the largest one in small profiles."""
+    """Sample nearest the median y of the largest residuals; the largest one in small profiles.
+
+    Two samples equally far (to nine digits) give the lower one, as a median often lies halfway between samples.
+    """
     keys = list(o.keys)
     r = F.abs(F.col(residual))
     stats = o.df.groupBy(*keys).agg(
@@ -198,7 +201,7 @@ def peak_seed(o: Ordered, residual: str = "residual", top: float = 0.10) -> Data
             F.median(F.when(r >= F.col("_q"), F.col("y_mm")))).alias("_y"))
     gap = F.abs(F.col("y_mm") - F.col("_y"))
     return attach(o.df, mid, keys).groupBy(*keys).agg(
-        F.min_by("y_mm", F.when(gap.isNotNull(), F.struct(gap, F.col("y_mm")))).alias("seed_y"))
+        F.min_by("y_mm", F.when(gap.isNotNull(), F.struct(F.round(gap, 9), F.col("y_mm")))).alias("seed_y"))
 
 
 # ------------------------------------------------------------------ gradient transitions, substrate return
@@ -327,6 +330,28 @@ def interval_sensitivity(chosen: DataFrame, keys: list[str], k: str = "threshold
         (F.max("width") - F.min("width")).alias("width_spread"))
 
 
+def method_intervals(
+    seeds: DataFrame, chosen: dict[str, DataFrame], found: dict[str, DataFrame], keys: list[str]
+) -> DataFrame:
+    """Intervals of all methods side by side, one row per case of `seeds`.
+
+    `chosen`: per method the interval associated with the seed at every threshold (`y_min, y_max`); its row holds the
+    medians over thresholds and their number. `found`: per method one row per case (`left_y, right_y`), with `status,
+    left_status, right_status` where the rule has one status of its own. Cases without an interval keep nulls; a width
+    is the difference of both boundaries, without a floor.
+    """
+    table = seeds.select(*keys, "seed_status")
+    for name, rows in chosen.items():
+        mid = rows.groupBy(*keys).agg(
+            F.count("y_min").alias(f"{name}_n_thresholds"), F.median("y_min").alias(f"{name}_left"), F.median("y_max").alias(f"{name}_right"))
+        table = table.join(mid, keys, "left").withColumn(f"{name}_n_thresholds", F.coalesce(f"{name}_n_thresholds", F.lit(0)))
+    for name, rows in found.items():
+        more = [F.col("status").alias(f"{name}_status"), F.col("left_status").alias(f"{name}_left_failure"),
+                F.col("right_status").alias(f"{name}_right_failure")] if "status" in rows.columns else []
+        table = table.join(rows.select(*keys, F.col("left_y").alias(f"{name}_left"), F.col("right_y").alias(f"{name}_right"), *more), keys, "left")
+    return table.withColumns({f"{m}_width": F.col(f"{m}_right") - F.col(f"{m}_left") for m in (*chosen, *found)})
+
+
 def failure_counts(boundaries: DataFrame, left: str = "left_status", right: str = "right_status") -> DataFrame:
     """Profiles per failure category and side; sides that were found, or not looked for, count as `(none)`."""
     category = lambda c: F.when(F.col(c).isNull() | (F.col(c) == "ok"), "(none)").otherwise(F.col(c))

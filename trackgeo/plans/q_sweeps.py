@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from trackgeo.config import CONTROL, variants
+from trackgeo.functions import intervals as iv
 from trackgeo.functions import scores as sc
 from trackgeo.operators import grid as gr
 from trackgeo.operators import joins as jn
@@ -242,13 +243,6 @@ def side_disagreement(spark, sf):
         F.max(F.abs(F.col("left_minus_right")) / F.col("spread")).alias("largest_ratio")).join(mid, KEYS), 6)
 
 
-@query("return_failure_counts")
-def return_failure_counts(spark, sf):
-    """Failure categories of the return rule, counted for both sides."""
-    o, seeds = seeded(spark, sf)
-    return sg.failure_counts(sg.substrate_return(o, seeds, levels_of(o)))
-
-
 @query("ablation_changes", f"""WITH RECURSIVE {extract_sql(ABLATION)}, a AS (SELECT * FROM ex WHERE config_name = 'CONTROL'), j AS (
   SELECT b.config_name, a.status AS sa, b.status AS sb, round(a.y_lo, 6) IS DISTINCT FROM round(b.y_lo, 6) OR round(a.y_hi, 6) IS DISTINCT FROM round(b.y_hi, 6) AS moved
   FROM a JOIN ex b USING (track_id, position) WHERE b.config_name <> 'CONTROL')
@@ -322,6 +316,75 @@ def corridor_against_control(spark, sf):
     return rounded(jn.agreement_with_control(control, c, CASE), 6)
 
 
+# Length covered by exactly one of two intervals.
+SYMMETRIC = "({1} - {0}) + ({3} - {2}) - 2 * greatest(0.0, least({1}, {3}) - greatest({0}, {2}))"
+LEVELS = (0.5, 0.75, 1.0, 1.25)
+P3 = "PARTITION BY track_id, position"
+# Smoothed height `s`, gradient `grad` and activity `act` of every sample, by runs of present heights (5 samples, 5 rows at least).
+ACTIVITY = f"""{BAND}, q0 AS (SELECT *, y_index - row_number() OVER ({P3} ORDER BY y_index) AS g FROM rw WHERE z IS NOT NULL),
+q1 AS (SELECT *, row_number() OVER ({P3}, g ORDER BY y_index) AS rn, count(*) OVER ({P3}, g) AS n FROM q0),
+q2 AS (SELECT *, CASE WHEN n < 5 THEN z ELSE (sum(z) OVER f + greatest(0, 3 - rn) * first_value(z) OVER f + greatest(0, rn + 2 - n) * last_value(z) OVER f) / 5.0 END AS s
+  FROM q1 WINDOW f AS ({P3}, g ORDER BY y_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+q3 AS (SELECT *, lag(s) OVER p AS s0, lead(s) OVER p AS s1, y_mm - lag(y_mm) OVER p AS h0, lead(y_mm) OVER p - y_mm AS h1 FROM q2 WINDOW p AS ({P3}, g ORDER BY y_index)),
+q4 AS (SELECT *, s - baseline AS res, CASE WHEN n < 5 THEN NULL WHEN rn = 1 THEN (s1 - s) / h1 WHEN rn = n THEN (s - s0) / h0 ELSE (h0 * h0 * s1 + (h1 * h1 - h0 * h0) * s - h1 * h1 * s0) / (h0 * h1 * (h0 + h1)) END AS grad FROM q3),
+q5 AS (SELECT track_id, position, median(res) AS mr, median(abs(grad)) AS ma, median(grad) AS mg FROM q4 GROUP BY 1, 2),
+q6 AS (SELECT track_id, position, 1.4826 * median(abs(res - mr)) AS dr, 1.4826 * median(abs(abs(grad) - ma)) AS da, 1.4826 * median(abs(grad - mg)) AS dg FROM q4 JOIN q5 USING (track_id, position) GROUP BY 1, 2),
+sc AS (SELECT track_id, position, CASE WHEN dr > 0 THEN dr ELSE 1e-6::DOUBLE END AS rs, CASE WHEN da > 0 THEN da ELSE 1e-6::DOUBLE END AS gs, CASE WHEN dg > 0 THEN dg ELSE 1e-9::DOUBLE END AS gg FROM q6),
+q7 AS (SELECT *, abs(res) / rs + 0.5 * abs(grad) / gs AS raw FROM q4 JOIN sc USING (track_id, position)),
+ac AS (SELECT *, CASE WHEN raw IS NOT NULL THEN (sum(raw) OVER f + greatest(0, 3 - rn) * first_value(raw) OVER f + greatest(0, rn + 2 - n) * last_value(raw) OVER f) / 5.0 END AS act
+  FROM q7 WINDOW f AS ({P3}, g ORDER BY y_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+
+SEEDS = f"""{ACTIVITY}, lv AS (SELECT track_id, position, greatest(CASE WHEN count(act) < 10 THEN max(act) ELSE quantile_cont(act, 0.9) END, 1.0::DOUBLE) AS lvl FROM ac GROUP BY 1, 2),
+hr AS (SELECT *, y_index - row_number() OVER ({P3} ORDER BY y_index) AS h FROM ac JOIN lv USING (track_id, position) WHERE act >= lvl),
+si AS (SELECT track_id, position, min(y_index) AS a, min(y_mm) AS y_min, max(y_mm) AS y_max, sum(act) AS ia FROM hr GROUP BY track_id, position, h HAVING max(y_mm) > min(y_mm)),
+rk AS (SELECT *, row_number() OVER ({P3} ORDER BY ia DESC, y_max - y_min DESC, a) AS k, lead(ia) OVER ({P3} ORDER BY ia DESC, y_max - y_min DESC, a) AS ib, count(*) OVER ({P3}) AS ni FROM si),
+sd AS (SELECT track_id, position, CASE WHEN ia IS NULL THEN 'no_seed' WHEN coalesce((ia - ib) / greatest(ia, 1e-9) < 0.15, false) THEN 'ambiguous_seed' ELSE 'ok' END AS seed_status,
+   y_min AS lo, y_max AS hi, 0.5 * (y_min + y_max) AS sy, ia, ia - ib AS margin, coalesce(ni, 0) AS ni
+  FROM (SELECT DISTINCT track_id, position FROM rw) LEFT JOIN (SELECT * FROM rk WHERE k = 1) USING (track_id, position)),
+ed AS (SELECT track_id, position, min(y_mm) AS y0, max(y_mm) AS y1 FROM rw GROUP BY 1, 2)"""
+
+TRANSITIONS = f"""{SEEDS}, pk AS (SELECT track_id, position, y_mm, abs(grad) AS ag, gg, abs(grad) >= lag(abs(grad)) OVER p AND abs(grad) >= lead(abs(grad)) OVER p AS peak
+  FROM ac WHERE grad IS NOT NULL WINDOW p AS ({P3}, g ORDER BY y_index)),
+sp2 AS (SELECT track_id, position, y_mm, ag, ag / gg AS sz, unnest([CASE WHEN y_mm <= lo THEN 'left' END, CASE WHEN y_mm >= hi THEN 'right' END]) AS side, lo, hi
+  FROM pk JOIN ed USING (track_id, position) JOIN sd USING (track_id, position) WHERE peak AND lo IS NOT NULL AND y_mm BETWEEN y0 + 0.1 AND y1 - 0.1),
+tr AS (SELECT *, sz - 0.5 * CASE WHEN side = 'left' THEN lo - y_mm ELSE y_mm - hi END AS score FROM sp2 WHERE side IS NOT NULL),
+tk AS (SELECT *, row_number() OVER o AS k, lead(score) OVER o AS second, count(*) OVER ({P3}, side) AS n FROM tr WINDOW o AS ({P3}, side ORDER BY score DESC, y_mm)),
+gt AS (SELECT track_id, position, sd.seed_status, l.y_mm AS ly, l.ag AS la, l.sz AS lz, l.n AS ln, l.score - l.second AS lm, t.y_mm AS ry, t.ag AS ra, t.sz AS rz, t.n AS rn, t.score - t.second AS rm
+  FROM sd LEFT JOIN (SELECT * FROM tk WHERE k = 1 AND side = 'left') l USING (track_id, position) LEFT JOIN (SELECT * FROM tk WHERE k = 1 AND side = 'right') t USING (track_id, position))"""
+
+
+def _frames() -> str:
+    """Windows of the return rule: centred, outward to the left, outward to the right."""
+    frame = lambda back, ahead: f"({P3} ORDER BY y_mm RANGE BETWEEN {back + 1e-9}::DOUBLE PRECEDING AND {ahead + 1e-9}::DOUBLE FOLLOWING)"
+    return f"c AS {frame(0.06, 0.06)}, l AS {frame(0.1, 0.0)}, r AS {frame(0.0, 0.1)}"
+
+
+def _quiet(w: str, level: str) -> str:
+    return f"count(s) OVER {w} = count(*) OVER {w} AND max(abs(s - {level})) OVER {w} <= 2.0 * spread AND avg(abs(grad)) OVER {w} <= 2.0 * gs"
+
+
+RETURNS = f"""{SEEDS}, zz AS (SELECT track_id, position, y_mm, z, y0 + 0.55 AS yl, y1 - 0.55 AS yr FROM bp JOIN ed USING (track_id, position)),
+sl AS (SELECT track_id, position, median(z) FILTER (y_mm <= yl) AS lb, median(z) FILTER (y_mm >= yr) AS rb FROM zz GROUP BY 1, 2),
+rr AS (SELECT rw.track_id, rw.position, rw.y_mm, rw.spread, ac.s, ac.grad, sc.gs, coalesce(lb, rw.baseline) AS ll, coalesce(rb, rw.baseline) AS rl, lo, hi FROM rw LEFT JOIN ac USING (track_id, position, y_index)
+  JOIN sc USING (track_id, position) JOIN sl USING (track_id, position) JOIN sd USING (track_id, position) WHERE seed_status = 'ok'),
+fl AS (SELECT *, coalesce(count(s) OVER c >= 5 AND {_quiet('c', 'll')} AND {_quiet('l', 'll')}, false) AS okl, coalesce(count(s) OVER c >= 5 AND {_quiet('c', 'rl')} AND {_quiet('r', 'rl')}, false) AS okr FROM rr WINDOW {_frames()}),
+rg AS (SELECT track_id, position, max(y_mm) FILTER (okl AND y_mm <= lo AND y_mm >= lo - 1.2) AS ly, min(y_mm) FILTER (okr AND y_mm >= hi AND y_mm <= hi + 1.2) AS ry,
+   sum((y_mm BETWEEN lo AND hi AND s IS NULL)::INT) > 0 AS gap FROM fl GROUP BY 1, 2),
+r1 AS (SELECT track_id, position, seed_status, coalesce(gap, false) AS gap, seed_status = 'ok' AND NOT coalesce(gap, false) AS usable, CASE WHEN NOT coalesce(gap, false) THEN ly END AS ly, CASE WHEN NOT coalesce(gap, false) THEN ry END AS ry, y0, y1, lo, hi
+  FROM sd LEFT JOIN rg USING (track_id, position) LEFT JOIN ed USING (track_id, position)),
+rt AS (SELECT track_id, position, CASE WHEN seed_status <> 'ok' THEN seed_status WHEN gap THEN 'missingness_or_nan_gap' WHEN ly IS NOT NULL AND ry IS NOT NULL THEN 'ok' ELSE 'partial' END AS status,
+   CASE WHEN NOT usable THEN NULL WHEN ly IS NOT NULL THEN 'ok' WHEN y0 < lo - 1.2 THEN 'no_substrate_like_return' ELSE 'edge_of_profile' END AS left_status,
+   CASE WHEN NOT usable THEN NULL WHEN ry IS NOT NULL THEN 'ok' WHEN y1 > hi + 1.2 THEN 'no_substrate_like_return' ELSE 'edge_of_profile' END AS right_status, ly, ry FROM r1)"""
+
+
+def associated_sql(levels) -> str:
+    """`ab`: the interval of each residual rule and threshold that belongs to the seed of a case; `ed` and `sd` come from `SEEDS`."""
+    return f"""kk AS (SELECT unnest({[float(k) for k in levels]}::DOUBLE[]) AS k), mt AS (SELECT unnest(['A', 'B']) AS method),
+mm AS (SELECT method, k, track_id, position, y_index, y_mm, y_index - row_number() OVER (PARTITION BY method, k, track_id, position ORDER BY y_index) AS g FROM rw, kk, mt WHERE CASE WHEN method = 'A' THEN z - baseline ELSE abs(z - baseline) END > k * spread),
+cc AS (SELECT method, k, track_id, position, min(y_index) AS a, min(y_mm) AS y_min, max(y_mm) AS y_max, max(y_mm) - min(y_mm) AS width, 0.5 * (min(y_mm) + max(y_mm)) AS centroid FROM mm GROUP BY method, k, track_id, position, g HAVING count(*) >= 2 AND max(y_mm) - min(y_mm) BETWEEN 0.015 AND 1.1),
+ab AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method, k, track_id, position ORDER BY NOT (y_min <= sy AND sy <= y_max), abs(centroid - sy), a) AS pick FROM cc JOIN sd USING (track_id, position) WHERE seed_status = 'ok') WHERE pick = 1)"""
+
+
 def seeded(spark, sf):
     """Rows with gradient and activity, and the seed of every profile."""
     p = profiles(spark, sf)
@@ -333,12 +396,17 @@ def seeded(spark, sf):
     return o, durable(seeds)
 
 
-@query("disturbance_seeds")
+@query("disturbance_seeds", f"""WITH {SEEDS} SELECT track_id, position, seed_status, round(lo, 6) AS seed_y_min, round(hi, 6) AS seed_y_max, round(sy, 6) AS seed_centroid, round(ia, 6) AS seed_activity,
+  round(margin, 6) AS seed_margin, ni AS n_intervals FROM sd""")
 def disturbance_seeds(spark, sf):
     return rounded(seeded(spark, sf)[1], 6)
 
 
-@query("gradient_transitions")
+@query("gradient_transitions", f"""WITH {TRANSITIONS} SELECT track_id, position, seed_status, round(ly, 6) AS left_y, round(la, 6) AS left_strength, round(lz, 6) AS left_strength_z, ln AS left_n, round(lm, 6) AS left_margin,
+  round(ry, 6) AS right_y, round(ra, 6) AS right_strength, round(rz, 6) AS right_strength_z, rn AS right_n, round(rm, 6) AS right_margin,
+  CASE WHEN ly IS NULL THEN 'no_candidate' WHEN la >= 50 THEN 'ok' ELSE 'weak' END AS left_status, coalesce(lm < 0.5, false) AS left_ambiguous,
+  CASE WHEN ry IS NULL THEN 'no_candidate' WHEN ra >= 50 THEN 'ok' ELSE 'weak' END AS right_status, coalesce(rm < 0.5, false) AS right_ambiguous,
+  round(CASE WHEN ly IS NOT NULL AND ry IS NOT NULL THEN greatest(0.0, ry - ly) END, 6) AS width FROM gt""")
 def gradient_transitions(spark, sf):
     o, seeds = seeded(spark, sf)
     return rounded(sg.gradient_transitions(o, seeds), 6)
@@ -350,19 +418,38 @@ def levels_of(o):
     return side.join(spread, CASE).select(*CASE, "spread", F.coalesce("left_baseline", "_b").alias("left_level"), F.coalesce("right_baseline", "_b").alias("right_level"))
 
 
-@query("substrate_return")
+@query("substrate_return", f"""WITH {RETURNS} SELECT track_id, position, status, left_status, right_status, round(ly, 6) AS left_y, round(ry, 6) AS right_y,
+  round(CASE WHEN ly IS NOT NULL AND ry IS NOT NULL THEN greatest(0.0, ry - ly) END, 6) AS width FROM rt""")
 def substrate_return(spark, sf):
     o, seeds = seeded(spark, sf)
     return rounded(sg.substrate_return(o, seeds, levels_of(o)), 6)
 
 
-@query("peak_seed")
+@query("return_failure_counts", f"""WITH {RETURNS}, e AS (SELECT unnest(['left', 'right']) AS side, unnest([left_status, right_status]) AS f FROM rt)
+SELECT CASE WHEN f IS NULL OR f = 'ok' THEN '(none)' ELSE f END AS failure, count(*) FILTER (side = 'left') AS left_failure_count, count(*) FILTER (side = 'right') AS right_failure_count FROM e GROUP BY 1""")
+def return_failure_counts(spark, sf):
+    """Failure categories of the return rule, counted for both sides."""
+    o, seeds = seeded(spark, sf)
+    return sg.failure_counts(sg.substrate_return(o, seeds, levels_of(o)))
+
+
+@query("peak_seed", f"""WITH {ACTIVITY}, ps AS (SELECT track_id, position, count(res) AS n, quantile_cont(abs(res), 0.9) AS q, arg_min(y_mm, (-abs(res), y_mm)) FILTER (res IS NOT NULL) AS arg FROM ac GROUP BY 1, 2),
+pm AS (SELECT track_id, position, CASE WHEN any_value(ps.n) < 10 THEN any_value(arg) ELSE median(y_mm) FILTER (abs(res) >= q) END AS y FROM ac JOIN ps USING (track_id, position) GROUP BY 1, 2),
+pn AS (SELECT track_id, position, y_mm, row_number() OVER ({P3} ORDER BY round(abs(y_mm - y), 9), y_mm) AS k FROM rw JOIN pm USING (track_id, position))
+SELECT track_id, position, round(y_mm, 6) AS seed_y FROM (SELECT DISTINCT track_id, position FROM rw) LEFT JOIN (SELECT * FROM pn WHERE k = 1) USING (track_id, position)""")
 def peak_seed(spark, sf):
     o, _ = seeded(spark, sf)
     return rounded(sg.peak_seed(o), 6)
 
 
-@query("method_comparison")
+@query("method_comparison", f"""WITH {TRANSITIONS}, {RETURNS.split(SEEDS + ', ')[1]}, {associated_sql([0.75])},
+al AS (SELECT track_id, position, method, y_min AS l, y_max AS r FROM ab UNION ALL SELECT track_id, position, 'C', ly, ry FROM gt UNION ALL SELECT track_id, position, 'D', ly, ry FROM rt),
+ok AS (SELECT * FROM al WHERE l IS NOT NULL AND r IS NOT NULL),
+pr AS (SELECT a.method AS method_a, b.method AS method_b FROM (SELECT unnest(['A', 'B', 'C', 'D']) AS method) a, (SELECT unnest(['A', 'B', 'C', 'D']) AS method) b WHERE a.method < b.method),
+df AS (SELECT a.method AS method_a, b.method AS method_b, abs(a.l - b.l) AS dl, abs(a.r - b.r) AS dr, abs((a.r - a.l) - (b.r - b.l)) AS dw, greatest(0.0, least(a.r, b.r) - greatest(a.l, b.l)) AS sh, (a.r - a.l) + (b.r - b.l) AS both_
+  FROM ok a JOIN ok b USING (track_id, position) WHERE a.method < b.method)
+SELECT method_a, method_b, count(dl) AS n_both, round(median(dl), 6) AS median_left, round(median(dr), 6) AS median_right, round(median(dw), 6) AS median_width,
+  round(median(CASE WHEN dl IS NULL THEN NULL WHEN both_ - sh > 0 THEN sh / (both_ - sh) ELSE 0.0 END), 6) AS median_iou, round(quantile_cont(dw, 0.95), 6) AS p95_width FROM pr LEFT JOIN df USING (method_a, method_b) GROUP BY 1, 2""")
 def method_comparison(spark, sf):
     """Pairwise agreement of signed, absolute, gradient and return boundaries."""
     o, seeds = seeded(spark, sf)
@@ -380,7 +467,8 @@ def method_comparison(spark, sf):
     return rounded(jn.method_agreement(table, CASE, "method", pairs), 6)
 
 
-@query("candidate_threshold_sensitivity")
+@query("candidate_threshold_sensitivity", f"""WITH {SEEDS}, {associated_sql(LEVELS)} SELECT track_id, position, method, count(DISTINCT k) AS n_thresholds, round(max(y_min) - min(y_min), 6) AS left_spread,
+  round(max(y_max) - min(y_max), 6) AS right_spread, round(max(width) - min(width), 6) AS width_spread FROM ab GROUP BY 1, 2, 3""")
 def candidate_threshold_sensitivity(spark, sf):
     """Spread of the associated boundaries of both residual rules over thresholds."""
     o, seeds = seeded(spark, sf)
@@ -396,3 +484,31 @@ def candidate_threshold_sensitivity(spark, sf):
         part = sg.interval_sensitivity(best, CASE).withColumn("method", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return rounded(out, 6)
+
+
+@query("dense_grid_intervals", f"""WITH {TRANSITIONS}, {RETURNS.split(SEEDS + ', ')[1]}, {associated_sql(LEVELS)},
+w AS (SELECT track_id, position, count(*) FILTER (method = 'A') AS na, count(*) FILTER (method = 'B') AS nb, median(y_min) FILTER (method = 'A') AS al, median(y_max) FILTER (method = 'A') AS ar,
+   median(y_min) FILTER (method = 'B') AS bl, median(y_max) FILTER (method = 'B') AS br FROM ab GROUP BY 1, 2),
+v AS (SELECT sd.track_id, sd.position, sd.seed_status, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb, al, ar, bl, br, gt.ly AS cl, gt.ry AS cr, rt.ly AS dl, rt.ry AS dr, rt.status, rt.left_status, rt.right_status,
+   coalesce(abs(lb - rb) > 3.0 * spread, false) AS flag
+  FROM sd LEFT JOIN w USING (track_id, position) LEFT JOIN gt USING (track_id, position) LEFT JOIN rt USING (track_id, position) JOIN sl USING (track_id, position) JOIN pb USING (track_id, position))
+SELECT track_id, position, seed_status, flag AS sides_disagree, na AS "A_n_thresholds", nb AS "B_n_thresholds", {', '.join(f'round({m}l, 6) AS "{m.upper()}_left", round({m}r, 6) AS "{m.upper()}_right", round({m}r - {m}l, 6) AS "{m.upper()}_width"' for m in 'abcd')},
+  status AS "D_status", left_status AS "D_left_failure", right_status AS "D_right_failure",
+  round({SYMMETRIC.format('al', 'ar', 'dl', 'dr')}, 6) AS "A_D_unshared" FROM v""")
+def dense_grid_intervals(spark, sf):
+    """One row per grid position: the interval of every method, medians over thresholds for the residual rules."""
+    o, seeds = seeded(spark, sf)
+    ok = seeds.filter("seed_status = 'ok'").select(*CASE, "seed_y_min", "seed_y_max", "seed_centroid")
+    k = F.explode(F.array(*[F.lit(v) for v in LEVELS]))
+    by = [*CASE, "threshold_k"]
+    leveled = sg.by_profile(o.df.withColumn("threshold_k", k).drop("_iy"), by)
+    asked = ok.withColumn("threshold_k", k)
+    chosen = {}
+    for name, absolute in (("A", False), ("B", True)):
+        cand = sg.residual_candidates(leveled, F.col("threshold_k"), absolute, **SIZE)
+        chosen[name] = jn.seed_association(cand, asked, by, "component").join(cand, [*by, "component"])
+    sides = gr.side_disagreement(o.df, CASE, "z_um", 30).select(*CASE, "sides_disagree")
+    found = {"C": sg.gradient_transitions(o, seeds), "D": sg.substrate_return(o, seeds, levels_of(o))}
+    t = sg.method_intervals(seeds, chosen, found, CASE).join(sides, CASE)
+    unshared = iv.unshared(*[F.col(c) for c in ("A_left", "A_right", "D_left", "D_right")])
+    return rounded(t.withColumn("A_D_unshared", unshared), 6)
