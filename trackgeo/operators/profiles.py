@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from trackgeo.operators.joins import nearest
 from trackgeo.operators.layout import HOT_ROWS, attach, order_rows
 from trackgeo.operators.series import longest_run, mark_runs, runs  # noqa: F401
-from trackgeo.operators.stats import MAD_SCALE, medians
+from trackgeo.operators.stats import MAD_SCALE, medians, percentiles
 
 GRID = (0.65, 1.35, 176)
 
@@ -182,6 +183,49 @@ def low_coherence(
         "min_similarity", F.lit(threshold).alias("threshold_used"))
 
 
+def coherence_summary(table: DataFrame, sims: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per track: eligibility and fallback shares, similarity to the medoid, similarity of all pairs.
+
+    `table` holds a row per profile with `eligible`, `fallback` and `nonflat`; a profile is included if it is eligible and
+    not flat. `sims` holds the similarity to the medoid of the included ones, `pairs` the summary of all pairs. Missing
+    flags count as false; a track without included profiles keeps its row.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    one = lambda c: c.cast("long")
+    share = lambda a, b: F.when(b > 0, a / b)
+    counts = table.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_total"), F.sum(one(flag("eligible"))).alias("n_eligible"),
+        F.sum(one(flag("eligible") & flag("nonflat"))).alias("n_included"), F.sum(one(flag("fallback"))).alias("_fb"),
+        F.sum(one(flag("fallback") & flag("eligible"))).alias("_fbe"))
+    n, e, i = (F.col(c) for c in ("n_total", "n_eligible", "n_included"))
+    names = ("p10", "p50", "p90")
+    spread = percentiles(sims, keys, {"_q": "similarity_to_medoid"}, [0.1, 0.5, 0.9]).join(
+        sims.groupBy(*keys).agg(F.avg("similarity_to_medoid").alias("medoid_mean")), keys)
+    within = pairs.select(*keys, F.col("n_pairs").alias("within_n_pairs"), *[
+        F.col(c).alias(f"within_{c}") for c in ("p10", "p25", "p50", "p75", "p90", "mean")])
+    return counts.join(spread, keys, "left").join(within, keys, "left").select(
+        *keys, "n_total", "n_eligible", "n_included", (e / n).alias("eligible_fraction"), (i / n).alias("included_fraction"),
+        (i / F.greatest(e, F.lit(1))).alias("included_of_eligible"), (F.col("_fb") / n).alias("fallback_fraction"),
+        share(F.col("_fbe"), e).alias("fallback_of_eligible"),
+        *[F.get("_q", F.lit(k)).alias(f"medoid_{name}") for k, name in enumerate(names)], "medoid_mean",
+        F.coalesce("within_n_pairs", F.lit(0)).alias("within_n_pairs"), *[f"within_{c}" for c in ("p10", "p25", "p50", "p75", "p90", "mean")])
+
+
+def representatives(
+    profiles: DataFrame, medoid_table: DataFrame, regimes: DataFrame, keys: list[str], position: str, item: str, **sizes
+) -> DataFrame:
+    """`(keys, label, item, position)`: the profile nearest to each medoid and to the middle of each regime.
+
+    `profiles` are those that may stand for others. Middles are matched by an ordered scan, so a track may have many
+    regimes. A track without profiles has no representatives.
+    """
+    name = F.concat(F.lit("track_"), F.col(keys[0]).cast("string"), F.lit("_medoid"))
+    heads = medoid_table.select(*keys, name.alias("label"), F.col("medoid_position").alias("target"))
+    middles = regimes.select(*keys, F.col("regime_id").alias("label"), (0.5 * (F.col("x_min") + F.col("x_max"))).alias("target"))
+    hit = nearest(heads.unionByName(middles), profiles.select(*keys, item, position), keys, "target", position, [item], ["target"], [item], prefix="_", **sizes)
+    return hit.filter(F.col(f"_{item}").isNotNull()).select(*keys, "label", F.col(f"_{item}").alias(item), F.col("_matched_x").alias(position))
+
+
 # ------------------------------------------------------------------ second moments and PCA
 
 

@@ -140,7 +140,75 @@ def low_coherence_regimes(spark, sf):
     return rounded(pr.low_coherence(to_medoid(spark, sf), KEYS, "x_mm", "x_index", 0.2, 1.0), 6)
 
 
-@query("coherence_verdict")
+REGIMES = f"""{TOM}, ro AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY x_mm, x_index) - 1 AS ix FROM ts),
+rl AS (SELECT *, ix - row_number() OVER (PARTITION BY track_id ORDER BY ix) AS g FROM ro WHERE sim < 0.2),
+rs AS (SELECT track_id, min(ix) AS a, min(x_mm) AS x_min, max(x_mm) AS x_max FROM rl GROUP BY track_id, g),
+rg AS (SELECT track_id, x_min, x_max, printf('track_%d_lowcoherence_%02d', track_id, row_number() OVER (ORDER BY track_id, a)) AS regime_id FROM rs WHERE x_max - x_min >= 1.0)"""
+
+
+def flagged(spark, sf):
+    """Shapes with eligibility (six tenths of the points) and fallback (less than 85 %) by support."""
+    return shaped(spark, sf).withColumns({"eligible": F.col("support_fraction") >= 0.6, "fallback": F.col("support_fraction") < 0.85})
+
+
+@query("coherence_summary", f"""WITH {TOM}, fl AS (SELECT track_id, n / d::DOUBLE >= 0.6 AS el, n / d::DOUBLE < 0.85 AS fb, n >= 5 AND coalesce(s, 0) >= 0.05 AND n / d::DOUBLE >= 0.7 AS nf FROM ns),
+c AS (SELECT track_id, count(*) AS n, sum(el::INT)::BIGINT AS e, sum((el AND nf)::INT)::BIGINT AS i, sum(fb::INT) AS f, sum((fb AND el)::INT) AS fe FROM fl GROUP BY 1),
+m AS (SELECT track_id, quantile_cont(sim, 0.1) AS m1, median(sim) AS m5, quantile_cont(sim, 0.9) AS m9, avg(sim) AS mm FROM ts GROUP BY 1),
+w AS (SELECT track_id, count(*) AS np, quantile_cont(sim, 0.1) AS w1, quantile_cont(sim, 0.25) AS w2, median(sim) AS w5, quantile_cont(sim, 0.75) AS w7, quantile_cont(sim, 0.9) AS w9, avg(sim) AS wm FROM ps GROUP BY 1)
+SELECT track_id, n AS n_total, e AS n_eligible, i AS n_included, round(e / n, 6) AS eligible_fraction, round(i / n, 6) AS included_fraction, round(i / greatest(e, 1), 6) AS included_of_eligible, round(f / n, 6) AS fallback_fraction,
+  round(CASE WHEN e > 0 THEN fe / e END, 6) AS fallback_of_eligible, round(m1, 6) AS medoid_p10, round(m5, 6) AS medoid_p50, round(m9, 6) AS medoid_p90, round(mm, 6) AS medoid_mean, coalesce(np, 0) AS within_n_pairs,
+  round(w1, 6) AS within_p10, round(w2, 6) AS within_p25, round(w5, 6) AS within_p50, round(w7, 6) AS within_p75, round(w9, 6) AS within_p90, round(wm, 6) AS within_mean FROM c LEFT JOIN m USING (track_id) LEFT JOIN w USING (track_id)""")
+def coherence_summary(spark, sf):
+    return rounded(pr.coherence_summary(flagged(spark, sf), to_medoid(spark, sf), within_tracks(spark, sf), KEYS), 6)
+
+
+def chosen_profiles(spark, sf):
+    """(profiles, medoids, representatives) with regimes of similarity below 0.2."""
+    med = durable(medoid_table(spark, sf))
+    sims = durable(pr.similarity_to_medoid(shaped(spark, sf).filter("nonflat"), med, KEYS, "x_index", "shape"))
+    p = full_profiles(spark, sf)
+    return p, med, durable(pr.representatives(p, med, pr.low_coherence(sims, KEYS, "x_mm", "x_index", 0.2, 1.0), KEYS, "x_mm", "x_index"))
+
+
+REPS = f"""{REGIMES}, tg AS (SELECT track_id, 'track_' || track_id || '_medoid' AS label, medoid * 0.2::DOUBLE AS x FROM md UNION ALL SELECT track_id, regime_id, 0.5 * (x_min + x_max) FROM rg),
+rp AS (SELECT * FROM (SELECT track_id, label, x_index, x_mm, "full", row_number() OVER (PARTITION BY track_id, label ORDER BY abs(x_mm - x), x_index) AS k FROM tg JOIN pr USING (track_id)) WHERE k = 1)"""
+
+
+@query("representative_profiles", f"""WITH {REPS} SELECT track_id, label, x_index, round(x_mm, 6) AS x_mm FROM rp""")
+def representative_profiles(spark, sf):
+    return rounded(chosen_profiles(spark, sf)[2], 6)
+
+
+@query("representative_errors", f"""WITH {REPS}, e AS (SELECT track_id, x_index, generate_subscripts("full", 1) AS g, unnest("full") AS v FROM pr), m AS (SELECT g, avg(v) AS m FROM e GROUP BY 1)
+SELECT track_id, label, 0 AS n_components, round(sqrt(avg(pow(v - m, 2))), 6) AS rmse FROM rp JOIN e USING (track_id, x_index) JOIN m USING (g) GROUP BY 1, 2 UNION ALL SELECT track_id, label, 64, 0.0::DOUBLE FROM rp""")
+def representative_errors(spark, sf):
+    """Error of every representative without components and with all of them."""
+    p, _, reps = chosen_profiles(spark, sf)
+    loadings, mean = (durable(t) for t in pr.fit_pca(p))
+    e = pr.reconstruction_errors(p.join(reps.select(*KEYS, "x_index", "label"), [*KEYS, "x_index"]), loadings, mean, ["track_id", "label"], [0, 64])
+    return rounded(e, 6)
+
+
+@query("regime_distinctness", f"""WITH {REPS}, z AS (SELECT a.track_id, a.label, a.x_index, md.medoid, generate_subscripts(a."full", 1) AS g, unnest(a."full") AS u, unnest(b."full") AS v
+  FROM rp a JOIN md USING (track_id) JOIN pr b ON b.track_id = a.track_id AND b.x_index = medoid WHERE a.label LIKE '%lowcoherence%')
+SELECT track_id, label, x_index, medoid, 64 AS n_components, round(corr(u, v), 6) AS correlation, corr(u, v) < 0.5 AS remains_distinct FROM z GROUP BY 1, 2, 3, 4""")
+def regime_distinctness(spark, sf):
+    """Every low-coherence regime against the medoid of its track, both rebuilt from all components."""
+    return rounded(preserved(spark, sf, [64]), 6)
+
+
+def preserved(spark, sf, ks):
+    p, med, reps = chosen_profiles(spark, sf)
+    loadings, mean = (durable(t) for t in pr.fit_pca(p))
+    refs = reps.filter("label like '%lowcoherence%'").drop("x_mm").join(med.select("track_id", "medoid"), KEYS)
+    return pr.regime_preservation(p, loadings, mean, KEYS, "x_index", refs, ks)
+
+
+@query("coherence_verdict", f"""WITH {REGIMES}, w AS (SELECT track_id, median(sim) AS wm, quantile_cont(sim, 0.1) AS w10 FROM ps GROUP BY 1), t AS (SELECT track_id, median(sim) AS mm FROM ts GROUP BY 1),
+f AS (SELECT track_id, avg((n >= 5 AND coalesce(s, 0) >= 0.05 AND n / d::DOUBLE >= 0.7)::INT) AS nf FROM ns GROUP BY 1),
+l AS (SELECT min(wm) AS wm, min(w10) AS w10, min(mm) AS mm, min(nf) AS nf, (SELECT count(*) FROM rg) AS n_regimes FROM w JOIN t USING (track_id) JOIN f USING (track_id))
+SELECT round(wm, 6) AS wm, round(w10, 6) AS w10, round(mm, 6) AS mm, round(nf, 6) AS nf, n_regimes, CASE WHEN wm >= {sc.PAIR_STRONG} AND mm >= {sc.MEDOID_STRONG} AND nf >= {sc.NONFLAT_STRONG} AND n_regimes = 0 THEN '{sc.COHERENCE_WORDS["strong"]}'
+  WHEN wm < {sc.PAIR_MIXED} AND mm < {sc.MEDOID_MIXED} THEN '{sc.COHERENCE_WORDS["mixed"]}' WHEN n_regimes > 0 OR w10 < 0.0 THEN '{sc.COHERENCE_WORDS["partial"]}' ELSE '{sc.COHERENCE_WORDS["open"]}' END AS verdict FROM l""")
 def coherence_verdict(spark, sf):
     s = durable(to_medoid(spark, sf))
     within = within_tracks(spark, sf).select("track_id", F.col("p50").alias("wm"), F.col("p10").alias("w10"))
@@ -245,12 +313,8 @@ def pca_scores(spark, sf):
 
 @query("regime_preservation")
 def regime_preservation(spark, sf):
-    p = full_profiles(spark, sf)
-    loadings, mean = (durable(t) for t in pr.fit_pca(p))
-    med = durable(medoid_table(spark, sf))
-    targets = med.select("track_id", F.lit("last_regime").alias("label"), (F.col("medoid_position") + 10.0).alias("target"))
-    refs = pr.nearest_item(p, targets, KEYS, "x_mm", "x_index").drop("x_mm").join(med.select("track_id", "medoid"), KEYS)
-    return rounded(pr.regime_preservation(p, loadings, mean, KEYS, "x_index", refs, [3, 5, 63]), 5)
+    """Every low-coherence regime against the medoid of its track, rebuilt from 3, 5 and all but one components."""
+    return rounded(preserved(spark, sf, [3, 5, 63]), 5)
 
 
 @query("profile_eligibility")
