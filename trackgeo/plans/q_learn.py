@@ -58,6 +58,14 @@ def fold_scaling(spark, sf):
     return rounded(ln.scale_stats(learning_rows(spark, sf), "fold", ["value", "gap"]), 6)
 
 
+@query("derived_features", f"""WITH {LR} SELECT user_id, event_id, round(sqrt(greatest(value - 50.0, 0.0)), 6) AS sqrt_excess, round((t - 60.0) / 40.0, 6) AS unit_t, round(ln(1 + greatest(gap, 0.0)), 6) AS log_gap FROM lr""")
+def derived_features(spark, sf):
+    """Square root of what exceeds a level, normalised position and logarithm of a gap; listed columns once each, in order."""
+    rows = learning_rows(spark, sf).withColumns({
+        "sqrt_excess": sc.sqrt_positive(F.col("value") - 50.0), "unit_t": sc.unit_position(F.col("t")), "log_gap": sc.log1p_positive(F.col("gap"))})
+    return rounded(rows.select(*dict.fromkeys(["user_id", "event_id", "sqrt_excess", "unit_t", "sqrt_excess", "log_gap"])), 6)
+
+
 # One lagged feature pair per window of one row: the ridge solve is a 2 × 2 system SQL can write.
 RIDGE2 = f"""{LR}, f AS (SELECT DISTINCT fold FROM lr), m AS (SELECT f.fold, count(*) AS n, avg(value) AS mx, avg(gap) AS mg, avg(next_value) AS my, var_pop(value) AS sx, var_pop(gap) AS sg,
    covar_pop(value, gap) / sqrt(var_pop(value) * var_pop(gap)) AS c, covar_pop(value, next_value) / sqrt(var_pop(value)) AS bx, covar_pop(gap, next_value) / sqrt(var_pop(gap)) AS bg
@@ -93,6 +101,20 @@ def loto_ridge_metrics(spark, sf):
     return rounded(both.drop("target", "level"), 6)
 
 
+@query("model_comparison_text", f"""WITH {PRED2}, a AS (SELECT r.mae - l.mae AS dm, r.rmse - l.rmse AS dr, r.r2 - l.r2 AS d2 FROM ms l, ms r WHERE l.fold IS NULL AND r.fold IS NULL AND l.model = 'linear' AND r.model = 'ridge')
+SELECT round(dm, 6) AS mae_delta, round(dr, 6) AS rmse_delta, round(d2, 6) AS r2_delta, CASE WHEN abs(dm) <= 1e-6 THEN 'similar' WHEN dm < 0 THEN 'improved' ELSE 'worsened' END AS mae_change,
+  CASE WHEN abs(dr) <= 1e-6 THEN 'similar' WHEN dr < 0 THEN 'improved' ELSE 'worsened' END AS rmse_change, CASE WHEN abs(d2) <= 1e-6 THEN 'similar' WHEN d2 > 0 THEN 'improved' ELSE 'worsened' END AS r2_change FROM a""")
+def model_comparison_text(spark, sf):
+    """Pooled errors of ridge against least squares, each change in words."""
+    w, m = two_feature_models(spark, sf)
+    long = ln.scored_long(ln.predict(w, m, "fold", ["next_value"]), ["model"], ["next_value"])
+    both = durable(mt.regression_metrics(long, ["model"]))
+    names = ["mae", "rmse", "r2"]
+    d = ln.delta_to_reference(both.filter("model = 'linear'").drop("model"), both.filter("model = 'ridge'").drop("model"), ["target"], names)
+    words = {f"{c}_change": sc.model_change(F.col(c), F.col(f"{c}_reference"), lower_is_better=c != "r2") for c in names}
+    return rounded(d.withColumns(words).select(*[f"{c}_delta" for c in names], *words), 6)
+
+
 @query("pooled_fold_ranking", f"""WITH {PRED2}, a AS (SELECT p.model, p.n, p.mae, p.rmse, p.med, p.r2, count(*) AS n_folds, avg(f.mae) AS am, stddev_pop(f.mae) AS sm, avg(f.rmse) AS ar, stddev_pop(f.rmse) AS sr, avg(f.r2) AS a2, stddev_pop(f.r2) AS s2
   FROM ms p JOIN ms f ON f.model = p.model AND f.fold IS NOT NULL WHERE p.fold IS NULL GROUP BY ALL)
 SELECT model, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(med, 6) AS median_absolute_error, round(r2, 6) AS r2, n_folds, round(am, 6) AS mean_fold_mae, round(sm, 6) AS std_fold_mae,

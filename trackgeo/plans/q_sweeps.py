@@ -154,7 +154,8 @@ def extraction_with_continuity(spark, sf):
                    "finite_fraction", "baseline_um", "selected_component_score", "ambiguity_score", "segmentation_left", "segmentation_right", "segmentation_width", "segmentation_centroid")
 
 
-@query("extraction_edges", f"""WITH RECURSIVE {extract_sql([BASE])},
+# Refined edges `o` of the selected sections of `ex`.
+EDGES = f"""{extract_sql([BASE])},
 vr AS (SELECT *, y_index - row_number() OVER (PARTITION BY track_id, position ORDER BY y_index) AS g FROM bp WHERE z IS NOT NULL),
 vn AS (SELECT *, row_number() OVER (PARTITION BY track_id, position, g ORDER BY y_index) AS rn, count(*) OVER (PARTITION BY track_id, position, g) AS n FROM vr),
 zs AS (SELECT *, CASE WHEN n < 3 THEN z ELSE (sum(z) OVER f + greatest(0, 2 - rn) * first_value(z) OVER f + greatest(0, rn + 1 - n) * last_value(z) OVER f) / 3.0 END AS s
@@ -164,7 +165,10 @@ gr AS (SELECT track_id, position, y_mm, CASE WHEN rn = 1 THEN (sn - s) / hn WHEN
 sel AS (SELECT track_id, position, y_lo, y_hi FROM ex WHERE status = 'selected'),
 l AS (SELECT track_id, position, max(grad) AS ls, min_by(y_mm, round(-grad, 6)) AS ly FROM sel JOIN gr USING (track_id, position) WHERE y_mm BETWEEN y_lo - 0.08 AND y_lo + 0.08 GROUP BY 1, 2),
 rr AS (SELECT track_id, position, abs(min(grad)) AS rs, min_by(y_mm, round(grad, 6)) AS ry FROM sel JOIN gr USING (track_id, position) WHERE y_mm BETWEEN y_hi - 0.08 AND y_hi + 0.08 GROUP BY 1, 2),
-o AS (SELECT track_id, position, ls, rs, CASE WHEN ls >= 50 THEN ly END AS rl, CASE WHEN rs >= 50 THEN ry END AS r_r FROM sel LEFT JOIN l USING (track_id, position) LEFT JOIN rr USING (track_id, position))
+o AS (SELECT track_id, position, ls, rs, CASE WHEN ls >= 50 THEN ly END AS rl, CASE WHEN rs >= 50 THEN ry END AS r_r FROM sel LEFT JOIN l USING (track_id, position) LEFT JOIN rr USING (track_id, position))"""
+
+
+@query("extraction_edges", f"""WITH RECURSIVE {EDGES}
 SELECT track_id, position, round(ls, 3) AS left_edge_strength, round(rs, 3) AS right_edge_strength, round(rl, 6) AS refined_left, round(r_r, 6) AS refined_right,
   round(CASE WHEN r_r > rl THEN r_r - rl END, 6) AS refined_width FROM o""")
 def extraction_edges(spark, sf):
@@ -173,6 +177,14 @@ def extraction_edges(spark, sf):
     return rounded(rounded(e, 3, "left_edge_strength", "right_edge_strength"), 6, "refined_left", "refined_right", "refined_width")
 
 
+@query("suspicion_scores", f"""WITH RECURSIVE {EDGES} SELECT track_id, position, ex.status AS extraction_status, round(1.0 - ff + coalesce(amb, 1.0) + 0.25 * (rl IS NULL OR r_r IS NULL)::INT + (ex.status <> 'selected')::INT, 6) AS suspicion_score
+FROM ex LEFT JOIN o USING (track_id, position)""")
+def suspicion_scores(spark, sf):
+    e = extraction(spark, sf, [BASE])
+    score = sc.suspicion(*[F.col(c) for c in ("finite_fraction", "ambiguity_score", "refined_left", "refined_right", "extraction_status")])
+    return rounded(e.select(*CASE, "extraction_status", score.alias("suspicion_score")), 6)
+
+
 @query("threshold_sweep", f"""WITH RECURSIVE {extract_sql(THR)} SELECT config_name, count(*) FILTER (status = 'selected') AS n_selected, count(*) FILTER (status = 'ambiguous') AS n_ambiguous,
   count(*) FILTER (status = 'low_score') AS n_low_score, count(*) FILTER (status = 'no_valid_component') AS n_no_valid_component, sum(n_candidates)::BIGINT AS total_candidates,
   round(median(width), 6) AS median_width, round(median(n_candidates), 6) AS median_candidates FROM ex GROUP BY 1""")
