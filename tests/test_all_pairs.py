@@ -85,3 +85,21 @@ def test_medoid_of_a_long_track(spark):
     mid = np.nanmedian(brute(x), axis=1)
     assert got.medoid == int(mid.argmax()) and abs(got.median_similarity - mid.max()) < 1e-9
     assert time.perf_counter() - start < 60
+
+
+def test_medoid_writes_few_rows_a_profile(spark, monkeypatch):
+    """What the search writes grows with the profiles, not with their pairs; the first of equal copies is the medoid."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24))
+    written = []
+
+    def counted(df, write=si.durable):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(si, "durable", counted)
+    got = si.medoids(table(spark, {0: np.vstack([x, x])}), *WHERE, block=200, anchors=8).collect()[0]
+    mid = np.nanmedian(brute(np.vstack([x, x])), axis=1)
+    assert got.medoid == int(np.round(mid, 12).argmax()) < 300 and abs(got.median_similarity - mid.max()) < 1e-12
+    assert sum(written) < 30 * 600

@@ -1,14 +1,15 @@
 """Similarities between all profiles of a track or of two tracks, and the medoid, without a row per pair.
 
-Profiles are dealt into chunks of about `BLOCK`, and two chunks meet as one matrix product in one task. What leaves the
-task is counts of similarities by bucket, a few thousand numbers. The counts of all tasks name the buckets that hold
-the wanted ranks, and a second product lets out only the values in these, so percentiles are exact.
-Products grow with the square of a track, as a percentile over pairs asks for; rows do not.
-
-The medoid needs the median of few profiles. Angles between profiles obey the triangle inequality, so a profile at
-angle t from an anchor has each rank of its angles within t of the anchor's. Anchors get exact medians, all others
-bounds, and only profiles whose bound reaches the best anchor are compared with all. Profiles with missing points
-have no such bound: they always count as undecided, and as many ranks are given away as there are of them.
+Profiles are dealt into chunks, and two chunks meet as matrix products of `BLOCK` rows a side in one task. A key has
+`CHUNKS` chunks once it is longer than that many blocks of `SIDE_ROWS`, so a profile is sent a few times whatever the length of
+its key, until chunks reach `MOST_ROWS`. What leaves the task is counts of similarities by bucket. The counts of all tasks name the
+buckets that hold the wanted ranks, and a second product lets out only the values in these, so percentiles are exact.
+Buckets get finer with the longest key, so these values grow with the rows. Products grow with the square of a track, as
+a percentile over pairs asks for; rows do not.
+
+The medoid needs the median of few profiles. A few heads get exact medians. Against the best of them each other profile counts two
+numbers, its similarities and those that reach the best; a profile for which fewer than half reach it cannot be the medoid. The
+rest is the next field of candidates, from which heads are drawn until none is left.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from trackgeo.operators.layout import attach
 from trackgeo.operators.stats import rank_buckets, values_at_ranks
 from trackgeo.session import durable
 
-BLOCK, ANCHORS = 1024, 64
-STEPS = 4096  # buckets per unit of similarity
-SPAN = 2 * STEPS + 1
+BLOCK, HEADS = 1024, 32
+CHUNKS, SIDE_ROWS, MOST_ROWS = 4, 8192, 65536
+STEPS, HEAD_STEPS = 4096, 128  # buckets per unit of similarity: of all pairs, of the few heads
+TIE = 1e-12  # medians this close are equal
 MIN_SHARE, MIN_POINTS = 0.60, 5
 SUMMARY = (0.10, 0.25, 0.50, 0.75, 0.90)
 
@@ -53,47 +55,60 @@ def block_similarity(a: np.ndarray, b: np.ndarray, min_share: float, min_points:
     return np.where(ok, r, np.nan)
 
 
-def complete_rows(x: np.ndarray) -> np.ndarray:
-    """Rows without a missing point that are not flat; their similarities are cosines."""
-    whole = np.isfinite(x).all(axis=1)
-    spread = np.where(whole, np.where(np.isfinite(x), x, 0.0).var(axis=1), 0.0)
-    return whole & (spread > 1e-9)
-
-
-def _product(table: pa.Table, params: dict):
-    """(a side, b side, local label and similarity of every defined pair, their places)."""
+def _sides(table: pa.Table, params: dict) -> tuple[pa.Table, pa.Table, bool]:
+    """Rows of both sides, and whether they are one chunk that meets itself."""
     side = table.column("_side").to_numpy()
     a = table.filter(pa.array(side == 0))
-    within = params["within"] and table.column("_a")[0] == table.column("_b")[0]
-    b = a if within else table.filter(pa.array(side == 1))
-    if not a.num_rows or not b.num_rows:
-        none = np.zeros(0, np.int64)
-        return a, b, none, np.zeros(0), none, none
-    r = block_similarity(_matrix(a.column("_shape")), _matrix(b.column("_shape")), params["min_share"], params["min_points"])
-    if within:
-        r = np.where(np.triu(np.ones(r.shape, bool), 1), r, np.nan)
-    if params["label"] == "item":
-        r = np.where(a.column("_item").to_numpy()[:, None] == b.column("_item").to_numpy()[None], np.nan, r)
-        label = np.broadcast_to(np.arange(a.num_rows)[:, None], r.shape)
-    elif params["label"] == "separation":
-        edges = np.array(params["edges"])
-        apart = np.round(np.abs(b.column("_x").to_numpy()[None] - a.column("_x").to_numpy()[:, None]), 9)
-        label = np.searchsorted(edges, apart, side="left") - 1
-        label = np.where(apart == edges[0], 0, label)
-        r = np.where((label >= 0) & (label < len(edges) - 1), r, np.nan)
-    else:
-        label = np.zeros(r.shape, np.int64)
-    i, j = np.nonzero(np.isfinite(r))
-    return a, b, label[i, j].astype(np.int64), r[i, j], i, j
+    within = params["within"] and bool(a.num_rows) and table.column("_a")[0] == table.column("_b")[0]
+    return a, a if within else table.filter(pa.array(side == 1)), within
 
 
-def _bucket(r: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor((r + 1) * STEPS), 0, SPAN - 1).astype(np.int64)
-
-
-COUNTED = {"label": pa.int64(), "_bucket": pa.int64(), "_c": pa.int64(), "total": pa.float64(), "whole": pa.int64()}
+def _products(a: pa.Table, b: pa.Table, params: dict):
+    """(first row of `a`, first row of `b`, similarities) of the blocks of two sides."""
+    if not a.num_rows or not b.num_rows:
+        return
+    xa, xb = _matrix(a.column("_shape")), _matrix(b.column("_shape"))
+    for i in range(0, len(xa), BLOCK):
+        for j in range(0, len(xb), BLOCK):
+            yield i, j, block_similarity(xa[i:i + BLOCK], xb[j:j + BLOCK], params["min_share"], params["min_points"])
+
+
+def _labelled(table: pa.Table, params: dict):
+    """(a side, how many labels it has, blocks of local label and similarity of every defined pair)."""
+    a, b, within = _sides(table, params)
+    labels = {"item": a.num_rows, "separation": len(params["edges"] or ()) - 1, "none": 1}[params["label"]]
+
+    def blocks():
+        for i, j, r in _products(a, b, params):
+            if within and j < i:
+                continue
+            if within and i == j:
+                r = np.where(np.triu(np.ones(r.shape, bool), 1), r, np.nan)
+            m, n = slice(i, i + r.shape[0]), slice(j, j + r.shape[1])
+            if params["label"] == "item":
+                r = np.where(a.column("_item").to_numpy()[m, None] == b.column("_item").to_numpy()[None, n], np.nan, r)
+                label = np.broadcast_to(np.arange(i, i + r.shape[0])[:, None], r.shape)
+            elif params["label"] == "separation":
+                edges = np.array(params["edges"])
+                apart = np.round(np.abs(b.column("_x").to_numpy()[None, n] - a.column("_x").to_numpy()[m, None]), 9)
+                label = np.searchsorted(edges, apart, side="left") - 1
+                label = np.where(apart == edges[0], 0, label)
+                r = np.where((label >= 0) & (label < len(edges) - 1), r, np.nan)
+            else:
+                label = np.zeros(r.shape, np.int64)
+            fit = np.isfinite(r)
+            yield label[fit].astype(np.int64), r[fit]
+
+    return a, labels, blocks()
+
+
+def _bucket(r: np.ndarray, steps: int) -> np.ndarray:
+    return np.clip(np.floor((r + 1) * steps), 0, 2 * steps).astype(np.int64)
+
+
+COUNTED = {"label": pa.int64(), "_bucket": pa.int64(), "_c": pa.int64(), "total": pa.float64()}
 VALUES = {"label": pa.int64(), "_bucket": pa.int64(), "_v": pa.float64()}
-BOUNDS = {"_item": pa.int64(), "bound": pa.float64()}
+REACHED = {"_item": pa.int64(), "_n": pa.int64(), "_reach": pa.int64(), "_above": pa.int64()}
 
 
 def _nothing(table: pa.Table, keys: list[str], kinds: dict[str, pa.DataType]) -> pa.Table:
@@ -103,54 +118,99 @@ def _nothing(table: pa.Table, keys: list[str], kinds: dict[str, pa.DataType]) ->
 def _rows(table: pa.Table, keys: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
     n = len(next(iter(columns.values())))
     head = {k: pa.repeat(table.column(k)[0], n) for k in keys}
-    return pa.table({**head, **{c: pa.array(v) for c, v in columns.items()}})
+    return pa.table({**head, **{c: pa.array(v) if isinstance(v, np.ndarray) else v for c, v in columns.items()}})
 
 
 def _counter(keys: list[str], params: dict):
+    steps, span = params["steps"], 2 * params["steps"] + 1
+
     def count(table: pa.Table) -> pa.Table:
-        a, b, label, r, i, j = _product(table, params)
-        code, place = np.unique(label * SPAN + _bucket(r), return_inverse=True)
+        a, labels, blocks = _labelled(table, params)
+        c, total = np.zeros(labels * span, np.int64), np.zeros(labels * span)
+        for label, r in blocks:
+            code = label * span + _bucket(r, steps)
+            c += np.bincount(code, minlength=len(c))
+            total += np.bincount(code, weights=r, minlength=len(c))
+        code = np.flatnonzero(c)
         if not len(code):
             return _nothing(table, keys, COUNTED)
-        whole = complete_rows(_matrix(a.column("_shape")))[i] & complete_rows(_matrix(b.column("_shape")))[j]
-        local = code // SPAN
+        local = code // span
         return _rows(table, keys, {
-            "label": a.column("_item").to_numpy()[local] if params["label"] == "item" else local, "_bucket": code % SPAN,
-            "_c": np.bincount(place, minlength=len(code)), "total": np.bincount(place, weights=r, minlength=len(code)),
-            "whole": np.bincount(place, weights=whole, minlength=len(code)).astype(np.int64)})
+            "label": a.column("_item").take(pa.array(local)) if params["label"] == "item" else local, "_bucket": code % span,
+            "_c": c[code], "total": total[code]})
 
     return count
 
 
 def _picker(keys: list[str], params: dict):
+    steps, span = params["steps"], 2 * params["steps"] + 1
+
     def pick(table: pa.Table) -> pa.Table:
-        a, _, label, r, _, _ = _product(table, params)
-        code = label * SPAN + _bucket(r)
-        if not len(code):
-            return _nothing(table, keys, VALUES)
+        a, labels, blocks = _labelled(table, params)
+        wanted = np.zeros(labels * span, bool)
         want = a.column("_want").to_pylist()
         if params["label"] == "item":
-            codes = np.array([n * SPAN + w for n, some in enumerate(want) for w in some or ()], np.int64)
-        else:
-            codes = np.array(want[0] or (), np.int64)
-        hit = np.isin(code, codes)
-        local = label[hit]
+            wanted[[n * span + w for n, some in enumerate(want) for w in some or ()]] = True
+        elif want:
+            wanted[list(want[0] or ())] = True
+        codes, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for label, r in blocks:
+            code = label * span + _bucket(r, steps)
+            hit = wanted[code]
+            codes.append(code[hit])
+            values.append(r[hit])
+        code = np.concatenate(codes)
+        if not len(code):
+            return _nothing(table, keys, VALUES)
+        local = code // span
         return _rows(table, keys, {
-            "label": a.column("_item").to_numpy()[local] if params["label"] == "item" else local,
-            "_bucket": code[hit] % SPAN, "_v": r[hit]})
+            "label": a.column("_item").take(pa.array(local)) if params["label"] == "item" else local,
+            "_bucket": code % span, "_v": np.concatenate(values)})
 
     return pick
 
 
+def _reacher(keys: list[str], params: dict):
+    """Similarities of each row, those that reach the best median (in `_x`), and those above it; of both sides if all meet all."""
+
+    def reach(table: pa.Table) -> pa.Table:
+        a, b, within = _sides(table, params)
+        both = params["within"] and not within
+        found = [np.zeros((3, t.num_rows), np.int64) for t in (a, b)]
+        best = a.column("_x")[0].as_py() if a.num_rows else None
+        if best is None or not b.num_rows:
+            return _nothing(table, keys, REACHED)
+        for i, j, r in _products(a, b, params):
+            m, n = slice(i, i + r.shape[0]), slice(j, j + r.shape[1])
+            r = np.where(a.column("_item").to_numpy()[m, None] == b.column("_item").to_numpy()[None, n], np.nan, r)
+            for k, hit in enumerate((np.isfinite(r), r >= best - TIE, r > best + TIE)):
+                found[0][k, m] += hit.sum(axis=1)
+                if both:
+                    found[1][k, n] += hit.sum(axis=0)
+        sides = [(a, found[0]), (b, found[1])] if both else [(a, found[0])]
+        return pa.concat_tables([_rows(table, keys, {
+            "_item": t.column("_item"), "_n": f[0], "_reach": f[1], "_above": f[2]}) for t, f in sides])
+
+    return reach
+
+
 # ------------------------------------------------------------------ chunks that meet
 
 
 def _chunked(profiles: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Rows with `_chunk` of `_chunks` by their item; about `block` rows each."""
-    sizes = durable(profiles.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(block)).alias("_chunks")))
+    """Rows with `_chunk` of `_chunks` by their item: `block` rows each, more where a key would have over `CHUNKS` chunks."""
+    n = F.count("*")
+    rows = F.least(F.greatest(F.ceil(n / F.lit(CHUNKS)), F.lit(block)), F.lit(max(block, MOST_ROWS)))
+    sizes = durable(profiles.groupBy(*keys).agg(F.ceil(n / rows).alias("_chunks"), n.alias("_size")))
     return attach(profiles, sizes, keys).withColumn("_chunk", F.pmod(F.xxhash64("_item"), F.col("_chunks")))
 
 
+def _steps(chunked: DataFrame) -> int:
+    """Buckets per unit of similarity, in proportion to the longest key."""
+    most = chunked.agg(F.max("_size")).first()[0] or 0
+    return STEPS * max(1, -(-most // SIDE_ROWS))
+
+
 def _named(profiles: DataFrame, keys: list[str], item: str, shape: str, position: str) -> DataFrame:
     return profiles.select(
         *keys, F.col(item).cast("bigint").alias("_item"), F.col(position).cast("double").alias("_x"), F.col(shape).cast("array<double>").alias("_shape"),
@@ -180,22 +240,24 @@ def _some_with_all(chunked: DataFrame, queries: DataFrame, keys: list[str]) -> D
 
 def _distribution(meet, keys: list[str], fields: list, params: dict, probs: list[float]) -> tuple[DataFrame, DataFrame]:
     """(counts by label and bucket, exact percentiles `q` by label). `meet` gives the rows that meet, with or without `_want`."""
-    key_fields = [f for f in fields if f.name in keys]
-    ddl = lambda rest: StructType([*key_fields, *StructType.fromDDL(rest).fields])
     group, by = [*keys, "_a", "_b"], [*keys, "label"]
     counts = durable(meet(None).groupBy(*group).applyInArrow(
-        _counter(keys, params), ddl("label bigint, _bucket bigint, _c bigint, total double, whole bigint")).groupBy(*by, "_bucket").agg(
-        F.sum("_c").alias("_c"), F.sum("total").alias("total"), F.sum("whole").alias("whole")))
+        _counter(keys, params), _typed(fields, keys, "label bigint, _bucket bigint, _c bigint, total double")).groupBy(*by, "_bucket").agg(
+        F.sum("_c").alias("_c"), F.sum("total").alias("total")))
     picks = rank_buckets(counts.select(*by, "_bucket", "_c"), by, probs)
-    values = meet(picks).groupBy(*group).applyInArrow(_picker(keys, params), ddl("label bigint, _bucket bigint, _v double"))
+    values = meet(picks).groupBy(*group).applyInArrow(_picker(keys, params), _typed(fields, keys, "label bigint, _bucket bigint, _v double"))
     return counts, values_at_ranks(values, picks, by, probs)
 
 
-def _with_wants(rows: DataFrame, picks: DataFrame | None, keys: list[str]) -> DataFrame:
+def _typed(fields: list, keys: list[str], rest: str) -> StructType:
+    return StructType([*[f for f in fields if f.name in keys], *StructType.fromDDL(rest).fields])
+
+
+def _with_wants(rows: DataFrame, picks: DataFrame | None, keys: list[str], span: int) -> DataFrame:
     """Rows with the codes (label, bucket) wanted of their key."""
     if picks is None:
         return rows
-    codes = durable(picks.groupBy(*keys).agg(F.collect_set(F.col("label") * SPAN + F.col("_bucket")).alias("_want")))
+    codes = durable(picks.groupBy(*keys).agg(F.collect_set(F.col("label") * span + F.col("_bucket")).alias("_want")))
     return attach(rows.drop("_want"), codes, keys)
 
 
@@ -204,13 +266,14 @@ def _with_wants(rows: DataFrame, picks: DataFrame | None, keys: list[str]) -> Da
 
 def similarity_summary(
     profiles: DataFrame, keys: list[str], item: str, shape: str, position: str, edges: list[float] | None = None,
-    min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block: int = BLOCK,
+    min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block: int = SIDE_ROWS,
 ) -> DataFrame:
     """Count, p10 .. p90 and mean of the similarities of all pairs of a key, with `edges` by right-closed separation `bin`."""
-    params = {"label": "separation" if edges else "none", "edges": edges, "within": True, "min_share": min_share, "min_points": min_points}
     chunked = durable(_chunked(_named(profiles, keys, item, shape, position), keys, block))
+    steps = _steps(chunked)
+    params = {"label": "separation" if edges else "none", "edges": edges, "within": True, "min_share": min_share, "min_points": min_points, "steps": steps}
     counts, q = _distribution(
-        lambda picks: _all_with_all(_with_wants(chunked, picks, keys), keys), keys, chunked.schema.fields, params, list(SUMMARY))
+        lambda picks: _all_with_all(_with_wants(chunked, picks, keys, 2 * steps + 1), keys), keys, chunked.schema.fields, params, list(SUMMARY))
     out = _summary(counts, q, keys)
     if not edges:
         return out.drop("label")
@@ -220,12 +283,13 @@ def similarity_summary(
 
 def between_groups(
     profiles: DataFrame, key: str, item: str, shape: str, position: str, pairs: list[tuple],
-    min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block: int = BLOCK,
+    min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block: int = SIDE_ROWS,
 ) -> DataFrame:
     """Count, p10 .. p90 and mean of similarities between all profiles of chosen pairs of groups."""
     spark = profiles.sparkSession
-    params = {"label": "none", "edges": None, "within": False, "min_share": min_share, "min_points": min_points}
     chunked = durable(_chunked(_named(profiles, [key], item, shape, position), [key], block))
+    steps = _steps(chunked)
+    params = {"label": "none", "edges": None, "within": False, "min_share": min_share, "min_points": min_points, "steps": steps}
     kind = dict(chunked.dtypes)[key]
     table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"pair int, group_a {kind}, group_b {kind}")
 
@@ -234,7 +298,7 @@ def between_groups(
         return chunked.join(F.broadcast(named), key).drop(key)  # a listed table
 
     def meet(picks: DataFrame | None) -> DataFrame:
-        return _some_with_all(side("group_b"), _with_wants(side("group_a"), picks, ["pair"]), ["pair"])
+        return _some_with_all(side("group_b"), _with_wants(side("group_a"), picks, ["pair"], 2 * steps + 1), ["pair"])
 
     counts, q = _distribution(meet, ["pair"], table.schema.fields, params, list(SUMMARY))
     return _summary(counts, q, ["pair"]).join(F.broadcast(table), "pair").drop("pair", "label")
@@ -246,9 +310,9 @@ def _summary(counts: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "label", "n_pairs", *[F.get("q", F.lit(i)).alias(f"p{round(100 * p)}") for i, p in enumerate(SUMMARY)], "mean")
 
 
-def _medians(chunked: DataFrame, queries: DataFrame, keys: list[str], params: dict, block: int) -> tuple[DataFrame, DataFrame]:
-    """(counts, `(keys, _item, median_similarity)`) of `queries` against all rows of their keys."""
-    asked = durable(_chunked(queries.drop("_chunk", "_chunks"), keys, block))
+def _medians(chunked: DataFrame, queries: DataFrame, keys: list[str], params: dict, block: int) -> DataFrame:
+    """`(keys, _item, median_similarity)` of the few `queries` against all rows of their keys."""
+    asked = durable(_chunked(queries, keys, block))
 
     def meet(picks: DataFrame | None) -> DataFrame:
         if picks is None:
@@ -256,75 +320,75 @@ def _medians(chunked: DataFrame, queries: DataFrame, keys: list[str], params: di
         wants = picks.groupBy(*keys, F.col("label").alias("_item")).agg(F.collect_set("_bucket").alias("_want"))
         return _some_with_all(chunked, asked.drop("_want").join(wants, [*keys, "_item"], "left").select(*asked.columns), keys)
 
-    counts, q = _distribution(meet, keys, chunked.schema.fields, params, [0.5])
-    return counts, durable(q.select(*keys, F.col("label").alias("_item"), F.get("q", F.lit(0)).alias("median_similarity")))
+    _, q = _distribution(meet, keys, chunked.schema.fields, params, [0.5])
+    return durable(q.select(*keys, F.col("label").alias("_item"), F.get("q", F.lit(0)).alias("median_similarity")))
 
 
-def _upper_bounds(keys: list[str], params: dict):
-    """Upper bound of each row's median from the anchors it meets; 1 where there is none."""
-
-    def bound(table: pa.Table) -> pa.Table:
-        side = table.column("_side").to_numpy()
-        a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        if not a.num_rows or not b.num_rows:
-            return _nothing(table, keys, BOUNDS)
-        xa, xb = _matrix(a.column("_shape")), _matrix(b.column("_shape"))
-        reach = a.column("_x").to_numpy()  # the anchors' own angle at the rank, NaN where unknown
-        angle = np.arccos(np.clip(block_similarity(xa, xb, params["min_share"], params["min_points"]), -1, 1))
-        away = np.where(complete_rows(xa)[:, None] & complete_rows(xb)[None], reach[:, None] - angle, np.nan)
-        low = np.fmax(np.fmax.reduce(away, axis=0, initial=0.0), 0.0)
-        return _rows(table, keys, {"_item": b.column("_item").to_numpy(), "bound": np.cos(low)})
-
-    return bound
+def _best(known: DataFrame, keys: list[str]) -> DataFrame:
+    """The first head of the highest median of each key, as `b`."""
+    score = F.struct(F.round("median_similarity", 12), -F.col("_x"), -F.col("_item"))
+    return known.groupBy(*keys).agg(F.max_by(F.struct("_item", "_x", "median_similarity"), score).alias("b"))
 
 
 def medoids(
     profiles: DataFrame, keys: list[str], item: str, shape: str, position: str,
-    min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block: int = BLOCK, anchors: int = ANCHORS,
+    min_share: float = MIN_SHARE, min_points: int = MIN_POINTS, block: int = SIDE_ROWS, anchors: int = HEADS,
 ) -> DataFrame:
-    """Profile with the highest median similarity to all others of its key; the first one on ties."""
-    params = {"label": "item", "edges": None, "within": False, "min_share": min_share, "min_points": min_points}
-    chunked = durable(_chunked(_named(profiles, keys, item, shape, position), keys, block))
-    whole = F.forall("_shape", lambda e: e.isNotNull())
-    sizes = durable(chunked.groupBy(*keys).agg(
-        F.count("*").alias("sample_size"), F.sum((~whole).cast("int")).alias("_gaps"), F.min(F.struct("_x", "_item")).alias("first")))
-    dealt = attach(chunked, sizes.select(*keys, "sample_size"), keys)
-    # A key within one chunk is one product anyway, so all its profiles are anchors and none is left to decide.
-    chosen = (F.col("sample_size") <= block) | (F.pmod(F.xxhash64("_item", F.lit(7)), F.ceil(F.col("sample_size") / F.lit(anchors))) == 0)
-    heads = dealt.filter(chosen).drop("sample_size")
-    counts, known = _medians(chunked, heads, keys, params, block)
-    if not sizes.filter(F.col("sample_size") > block).isEmpty():
-        known = known.unionByName(_medians(chunked, _undecided(chunked, sizes, heads, counts, known, keys, params, block), keys, params, block)[1])
-    score = F.struct("median_similarity", -F.col("_x"), -F.col("_item"))
-    top = known.join(chunked.select(*keys, "_item", "_x"), [*keys, "_item"]).groupBy(*keys).agg(
-        F.max_by(F.struct("_item", "_x", "median_similarity"), score).alias("b"))
+    """Profile with the highest median similarity to all others of its key; the first one on ties.
+
+    A round draws about `anchors` heads of each key at random with the first one by position, or all candidates left if they
+    are at most eight times as many; the next round draws twice as many, so rounds are few whatever the ties.
+    """
+    params = {"label": "item", "edges": None, "within": False, "min_share": min_share, "min_points": min_points, "steps": HEAD_STEPS}
+    named = _named(profiles, keys, item, shape, position)
+    chunked = durable(_chunked(named, keys, block))
+    sizes = durable(chunked.groupBy(*keys).agg(F.count("*").alias("sample_size"), F.min(F.struct("_x", "_item")).alias("first")))
+    places = chunked.select(*keys, "_item", "_x")
+    plain = chunked.drop("_chunk", "_chunks", "_size")
+    left, top, salt = durable(places.distinct()), None, 0
+    while True:
+        salt += 1
+        heads = durable(_drawn(left, keys, anchors, salt))
+        few = plain.join(heads.select(*keys, "_item"), [*keys, "_item"], "left_semi").select(*plain.columns)
+        known = _medians(chunked, few, keys, params, block).join(heads, [*keys, "_item"])
+        if top is not None:
+            known = known.unionByName(top.select(*keys, "b.*"))
+        top = durable(_best(known, keys))
+        rest = durable(left.join(heads.select(*keys, "_item"), [*keys, "_item"], "left_anti").select(*left.columns))
+        if rest.isEmpty():
+            break
+        left = durable(_candidates(chunked, rest if salt > 1 else None, top, keys, params, block).join(rest, [*keys, "_item"]).select(
+            *left.columns, "_n", "_reach", "_above").join(top, keys, "left").filter(
+            (F.col("_n") > 0) & ((2 * F.col("_above") >= F.col("_n")) | (2 * F.col("_reach") >= F.col("_n"))
+                                 & (F.struct("_x", "_item") < F.struct(F.col("b._x").alias("_x"), F.col("b._item").alias("_item"))))).select(*left.columns))
+        if left.isEmpty():
+            break
     kind = dict(profiles.dtypes)[item]
     return sizes.join(top, keys, "left").select(
         *keys, "sample_size", F.coalesce("b._item", "first._item").cast(kind).alias("medoid"),
         F.coalesce("b._x", "first._x").alias("medoid_position"), "b.median_similarity")
 
 
-def _undecided(
-    chunked: DataFrame, sizes: DataFrame, heads: DataFrame, counts: DataFrame, known: DataFrame, keys: list[str], params: dict, block: int
+def _drawn(left: DataFrame, keys: list[str], anchors: int, salt: int) -> DataFrame:
+    """Heads of the next round from the candidates `left`; each round draws twice as many as the one before."""
+    n = anchors << (salt - 1)
+    sizes = durable(left.groupBy(*keys).agg(F.count("*").alias("_left"), F.min(F.struct("_x", "_item")).alias("_first")))
+    return attach(left, sizes, keys).filter(
+        (F.col("_left") <= 8 * n) | (F.struct("_x", "_item") == F.col("_first")) | (F.pmod(F.xxhash64("_item", F.lit(salt)), F.col("_left")) < n)
+    ).select(*left.columns)
+
+
+def _candidates(
+    chunked: DataFrame, some: DataFrame | None, top: DataFrame, keys: list[str], params: dict, block: int
 ) -> DataFrame:
-    """Profiles whose bound from the anchors `heads` reaches the best anchor of their key; anchors are left out."""
-
-    # The anchor's angle at the middle rank of complete profiles, less one rank for each profile with missing points
-    # (flat ones are among the ranks that are not counted as whole, and are given away by half the difference below).
-    wholes = counts.groupBy(*keys, F.col("label").alias("_item")).agg(
-        F.sum("whole").alias("_w"), F.sum(F.col("_c") - F.col("whole")).alias("_others"),
-        F.array_sort(F.collect_list(F.struct(-F.col("_bucket"), "whole"))).alias("_by"))  # SPAN buckets at most
-    rank = F.floor((F.col("_w")) / 2) - F.greatest(F.col("_gaps"), F.col("_others")) - 1
-    at = F.aggregate("_by", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("b")), lambda s, e: F.struct(
-        (s["n"] + e["whole"]).alias("n"), F.when(s["b"].isNull() & (s["n"] + e["whole"] >= F.col("_rank")), -e["col1"]).otherwise(s["b"]).alias("b")))
-    edge = F.least((at["b"] + 1) / F.lit(float(STEPS)) - 1, F.lit(1.0))
-    reach = attach(wholes, sizes.select(*keys, "_gaps"), keys).withColumn("_rank", rank).select(
-        *keys, "_item", F.when(F.col("_rank") >= 1, F.acos(edge)).otherwise(F.lit(float("nan"))).alias("_x"))
-    asked = _chunked(heads.drop("_x", "_chunk", "_chunks").join(durable(reach), [*keys, "_item"]), keys, block)
-    types = StructType([f for f in chunked.schema.fields if f.name in keys] + StructType.fromDDL("_item bigint, bound double").fields)
-    bounds = _some_with_all(chunked, asked, keys).groupBy(*keys, "_a", "_b").applyInArrow(_upper_bounds(keys, params), types).groupBy(
-        *keys, "_item").agg(F.min("bound").alias("bound"))
-    best = known.groupBy(*keys).agg(F.max("median_similarity").alias("_best"))
-    open_ = attach(chunked.join(bounds, [*keys, "_item"], "left"), durable(best), keys).filter(
-        F.coalesce("bound", F.lit(1.0)) >= F.coalesce("_best", F.lit(-9.0)) - 1e-9).drop("bound", "_best")
-    return durable(open_.join(known.select(*keys, "_item"), [*keys, "_item"], "left_anti"))
+    """(keys, _item, _n, _reach, _above) against the best head of their key: of all rows, or of `some` items."""
+    best = top.select(*keys, F.col("b.median_similarity").alias("_x"))
+    rows = attach(chunked.drop("_x"), best, keys).withColumn("_x", F.coalesce("_x", F.lit(-9.0)))  # no head has a median: all are open
+    if some is None:
+        meet = _all_with_all(rows, keys)
+    else:
+        asked = rows.join(some.select(*keys, "_item"), [*keys, "_item"], "left_semi")
+        meet = _some_with_all(rows, durable(_chunked(asked.drop("_chunk", "_chunks", "_size"), keys, block)), keys)
+    return meet.groupBy(*keys, "_a", "_b").applyInArrow(
+        _reacher(keys, params | {"within": some is None}), _typed(chunked.schema.fields, keys, "_item bigint, _n bigint, _reach bigint, _above bigint")).groupBy(
+        *keys, "_item").agg(*[F.sum(c).alias(c) for c in ("_n", "_reach", "_above")])

@@ -47,7 +47,8 @@ sh AS (SELECT track_id, x_index, x_mm, g, (e - c) / s AS v FROM el JOIN ns USING
 
 
 def shaped(spark, sf):
-    return durable(pr.normalise(profile_table(spark, sf), min_scale=0.05))
+    """Shapes with their support and status; written once for all steps of a query."""
+    return durable(pr.normalise(profile_table(spark, sf), min_scale=0.05).drop("full", "profile"))
 
 
 @query("normalised_shapes", f"""WITH {NORM} SELECT track_id, x_index, round(n / d::DOUBLE, 6) AS support_fraction, round(c, 9) AS shape_center, round(s, 9) AS shape_scale,
@@ -71,15 +72,15 @@ ps AS (SELECT *, cv / sqrt(va * vb) AS sim FROM pc WHERE n >= greatest(0.6 * 64,
 PROFILE = ("x_index", "shape", "x_mm")
 
 
-def within_tracks(spark, sf, edges=None):
+def within_tracks(shapes, edges=None):
     """Similarities of all pairs of profiles of a track."""
-    return si.similarity_summary(shaped(spark, sf).filter("nonflat"), KEYS, *PROFILE, edges)
+    return si.similarity_summary(shapes.filter("nonflat"), KEYS, *PROFILE, edges)
 
 
 @query("similarity_summary", f"""WITH {SIM} SELECT track_id, count(*) AS n_pairs, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.5), 6) AS p50,
   round(quantile_cont(sim, 0.75), 6) AS p75, round(quantile_cont(sim, 0.9), 6) AS p90, round(avg(sim), 6) AS mean FROM ps GROUP BY 1""")
 def similarity_summary(spark, sf):
-    return rounded(within_tracks(spark, sf), 6)
+    return rounded(within_tracks(shaped(spark, sf)), 6)
 
 
 BINS = "CASE " + " ".join(f"WHEN sep {'>=' if i == 0 else '>'} {lo} AND sep <= {hi} THEN '{lo:g}-{hi:g}'" for i, (lo, hi) in enumerate(zip(SEPARATION_EDGES_MM, SEPARATION_EDGES_MM[1:]))) + " END"
@@ -89,7 +90,7 @@ BINS = "CASE " + " ".join(f"WHEN sep {'>=' if i == 0 else '>'} {lo} AND sep <= {
 SELECT track_id, bin, count(*) AS n_pairs, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.9), 6) AS p90, round(avg(sim), 6) AS mean
 FROM b WHERE bin IS NOT NULL GROUP BY 1, 2""")
 def similarity_by_separation(spark, sf):
-    return rounded(within_tracks(spark, sf, SEPARATION_EDGES_MM).drop("p25", "p75"), 6)
+    return rounded(within_tracks(shaped(spark, sf), SEPARATION_EDGES_MM).drop("p25", "p75"), 6)
 
 
 @query("between_track_similarity", f"""WITH {NORM}, pc AS (SELECT a.track_id AS group_a, b.track_id AS group_b, a.x_index AS i, b.x_index AS j, count(*) AS n, covar_pop(a.v, b.v) AS cv, var_pop(a.v) AS va, var_pop(b.v) AS vb
@@ -105,13 +106,13 @@ sz AS (SELECT track_id, count(*) AS sample_size FROM (SELECT DISTINCT track_id,
 md AS (SELECT track_id, x_index AS medoid, m FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY round(m, 12) DESC, x_index) AS k FROM em) WHERE k = 1)"""
 
 
-def medoid_table(spark, sf):
-    return si.medoids(shaped(spark, sf).filter("nonflat"), KEYS, *PROFILE)
+def medoid_table(shapes):
+    return si.medoids(shapes.filter("nonflat"), KEYS, *PROFILE)
 
 
 @query("medoids", f"""WITH {MED} SELECT track_id, sample_size, medoid, round(medoid * 0.2::DOUBLE, 6) AS medoid_position, round(m, 6) AS median_similarity FROM md JOIN sz USING (track_id)""")
 def medoids(spark, sf):
-    return rounded(medoid_table(spark, sf), 6)
+    return rounded(medoid_table(shaped(spark, sf)), 6)
 
 
 TOM = f"""{MED}, tm AS (SELECT a.track_id, a.x_index, any_value(a.x_mm) AS x_mm, medoid, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) AS n,
@@ -120,14 +121,15 @@ TOM = f"""{MED}, tm AS (SELECT a.track_id, a.x_index, any_value(a.x_mm) AS x_mm,
 ts AS (SELECT track_id, x_index, x_mm, medoid, n, CASE WHEN n / 64.0 >= 0.6 AND n >= 5 AND va * vb > 0 THEN cv / sqrt(va * vb) END AS sim FROM tm)"""
 
 
-def to_medoid(spark, sf):
-    s = shaped(spark, sf).filter("nonflat")
-    return durable(pr.similarity_to_medoid(s, durable(medoid_table(spark, sf)), KEYS, "x_index", "shape"))
+def to_medoid(shapes, med=None):
+    """Every shape against the medoid of its track; the shape itself is not carried on."""
+    med = durable(medoid_table(shapes)) if med is None else med
+    return durable(pr.similarity_to_medoid(shapes.filter("nonflat"), med, KEYS, "x_index", "shape").drop("shape"))
 
 
 @query("similarity_to_medoid", f"WITH {TOM} SELECT track_id, x_index, medoid, round(sim, 6) AS similarity_to_medoid, round(n / 64.0::DOUBLE, 6) AS shared_fraction, n AS n_shared FROM ts")
 def similarity_to_medoid(spark, sf):
-    return rounded(to_medoid(spark, sf).select("track_id", "x_index", "medoid", "similarity_to_medoid", "shared_fraction", "n_shared"), 6)
+    return rounded(to_medoid(shaped(spark, sf)).select("track_id", "x_index", "medoid", "similarity_to_medoid", "shared_fraction", "n_shared"), 6)
 
 
 @query("low_coherence_regimes", f"""WITH {TOM}, o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY x_mm, x_index) - 1 AS ix FROM ts),
@@ -137,7 +139,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY track_id, a) AS no FROM s WHERE x_ma
 SELECT track_id, printf('track_%d_lowcoherence_%02d', track_id, no) AS regime_id, round(x_min, 6) AS x_min, round(x_max, 6) AS x_max, round(x_max - x_min, 6) AS x_span, n_profiles,
   round(md, 6) AS median_similarity, round(lo, 6) AS min_similarity, 0.2::DOUBLE AS threshold_used FROM k""")
 def low_coherence_regimes(spark, sf):
-    return rounded(pr.low_coherence(to_medoid(spark, sf), KEYS, "x_mm", "x_index", 0.2, 1.0), 6)
+    return rounded(pr.low_coherence(to_medoid(shaped(spark, sf)), KEYS, "x_mm", "x_index", 0.2, 1.0), 6)
 
 
 REGIMES = f"""{TOM}, ro AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY x_mm, x_index) - 1 AS ix FROM ts),
@@ -146,9 +148,9 @@ rs AS (SELECT track_id, min(ix) AS a, min(x_mm) AS x_min, max(x_mm) AS x_max FRO
 rg AS (SELECT track_id, x_min, x_max, printf('track_%d_lowcoherence_%02d', track_id, row_number() OVER (ORDER BY track_id, a)) AS regime_id FROM rs WHERE x_max - x_min >= 1.0)"""
 
 
-def flagged(spark, sf):
+def flagged(shapes):
     """Shapes with eligibility (six tenths of the points) and fallback (less than 85 %) by support."""
-    return shaped(spark, sf).withColumns({"eligible": F.col("support_fraction") >= 0.6, "fallback": F.col("support_fraction") < 0.85})
+    return shapes.withColumns({"eligible": F.col("support_fraction") >= 0.6, "fallback": F.col("support_fraction") < 0.85})
 
 
 @query("coherence_summary", f"""WITH {TOM}, fl AS (SELECT track_id, n / d::DOUBLE >= 0.6 AS el, n / d::DOUBLE < 0.85 AS fb, n >= 5 AND coalesce(s, 0) >= 0.05 AND n / d::DOUBLE >= 0.7 AS nf FROM ns),
@@ -159,13 +161,15 @@ SELECT track_id, n AS n_total, e AS n_eligible, i AS n_included, round(e / n, 6)
   round(CASE WHEN e > 0 THEN fe / e END, 6) AS fallback_of_eligible, round(m1, 6) AS medoid_p10, round(m5, 6) AS medoid_p50, round(m9, 6) AS medoid_p90, round(mm, 6) AS medoid_mean, coalesce(np, 0) AS within_n_pairs,
   round(w1, 6) AS within_p10, round(w2, 6) AS within_p25, round(w5, 6) AS within_p50, round(w7, 6) AS within_p75, round(w9, 6) AS within_p90, round(wm, 6) AS within_mean FROM c LEFT JOIN m USING (track_id) LEFT JOIN w USING (track_id)""")
 def coherence_summary(spark, sf):
-    return rounded(pr.coherence_summary(flagged(spark, sf), to_medoid(spark, sf), within_tracks(spark, sf), KEYS), 6)
+    s = shaped(spark, sf)
+    return rounded(pr.coherence_summary(flagged(s), to_medoid(s), within_tracks(s), KEYS), 6)
 
 
 def chosen_profiles(spark, sf):
     """(profiles, medoids, representatives) with regimes of similarity below 0.2."""
-    med = durable(medoid_table(spark, sf))
-    sims = durable(pr.similarity_to_medoid(shaped(spark, sf).filter("nonflat"), med, KEYS, "x_index", "shape"))
+    s = shaped(spark, sf)
+    med = durable(medoid_table(s))
+    sims = to_medoid(s, med)
     p = full_profiles(spark, sf)
     return p, med, durable(pr.representatives(p, med, pr.low_coherence(sims, KEYS, "x_mm", "x_index", 0.2, 1.0), KEYS, "x_mm", "x_index"))
 
@@ -210,10 +214,11 @@ l AS (SELECT min(wm) AS wm, min(w10) AS w10, min(mm) AS mm, min(nf) AS nf, (SELE
 SELECT round(wm, 6) AS wm, round(w10, 6) AS w10, round(mm, 6) AS mm, round(nf, 6) AS nf, n_regimes, CASE WHEN wm >= {sc.PAIR_STRONG} AND mm >= {sc.MEDOID_STRONG} AND nf >= {sc.NONFLAT_STRONG} AND n_regimes = 0 THEN '{sc.COHERENCE_WORDS["strong"]}'
   WHEN wm < {sc.PAIR_MIXED} AND mm < {sc.MEDOID_MIXED} THEN '{sc.COHERENCE_WORDS["mixed"]}' WHEN n_regimes > 0 OR w10 < 0.0 THEN '{sc.COHERENCE_WORDS["partial"]}' ELSE '{sc.COHERENCE_WORDS["open"]}' END AS verdict FROM l""")
 def coherence_verdict(spark, sf):
-    s = durable(to_medoid(spark, sf))
-    within = within_tracks(spark, sf).select("track_id", F.col("p50").alias("wm"), F.col("p10").alias("w10"))
+    shapes = shaped(spark, sf)
+    s = to_medoid(shapes)
+    within = within_tracks(shapes).select("track_id", F.col("p50").alias("wm"), F.col("p10").alias("w10"))
     mid = st.medians(s, KEYS, {"mm": "similarity_to_medoid"})
-    share = shaped(spark, sf).groupBy("track_id").agg(F.avg(F.col("nonflat").cast("double")).alias("nf"))
+    share = shapes.groupBy("track_id").agg(F.avg(F.col("nonflat").cast("double")).alias("nf"))
     regimes = pr.low_coherence(s, KEYS, "x_mm", "x_index", 0.2, 1.0).agg(F.count(F.lit(1)).alias("n_regimes"))
     worst = within.join(mid, KEYS).join(share, KEYS).agg(*[F.min(c).alias(c) for c in ("wm", "w10", "mm", "nf")])
     t = attach(worst, regimes, [])
@@ -223,7 +228,7 @@ def coherence_verdict(spark, sf):
 @query("single_position_audit", f"""WITH {TOM}, n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY round(abs(x_mm - 43.244), 9), x_index) AS k FROM ts)
 SELECT track_id, x_index, round(x_mm, 6) AS x_mm, round(sim, 6) AS similarity_to_medoid FROM n WHERE k = 1""")
 def single_position_audit(spark, sf):
-    s = durable(to_medoid(spark, sf))
+    s = to_medoid(shaped(spark, sf))
     targets = s.select("track_id").distinct().select("track_id", F.lit("audit").alias("label"), F.lit(43.244).alias("target"))
     hit = pr.nearest_item(s, targets, KEYS, "x_mm", "x_index")
     return rounded(hit.join(s.select("track_id", "x_index", "similarity_to_medoid"), [*KEYS, "x_index"]).drop("label"), 6)
