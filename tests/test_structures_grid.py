@@ -159,3 +159,14 @@ def test_runs_and_tiles(spark, tmp_path):
     assert [r["path"] for r in tiles.orderBy("tile_index").collect()] == ["/p/tile1.png", "/p/tile2.png", "/p/tile10.png"]
     x = readers.tile_extents(tiles, ["k"]).orderBy("tile_index").first()
     assert x["x_end_mm"] == 100.0 and x["x_start_mm"] == pytest.approx(100 - 100 / 3)
+
+
+def test_hot_percentiles_keep_null_keys_and_ends(spark):
+    """Groups over `hot_rows` equal the built-in aggregate, with a null key, infinities, NaN and a group without values."""
+    rows = [(k, float(v)) for k in (None, 1) for v in [*range(-40, 60), 0.5, "inf", "-inf", "nan"]] + [(2, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    probs = [0.0, 0.01, 0.333, 0.5, 1.0]
+    want = {r.k: r.q for r in st.percentiles(df, ["k"], {"q": "v"}, probs).collect()}
+    got = {r.k: r.q for r in st.percentiles(df, ["k"], {"q": "v"}, probs, hot_rows=50).collect()}
+    ranked = {r.k: r.q for r in st.percentiles(df.filter("k = 1"), ["k"], {"q": "v"}, probs, hot_rows=1).collect()}
+    assert str(got) == str(want) and str(ranked[1]) == str(want[1])
