@@ -56,6 +56,27 @@ def test_labels_inventory_and_region(spark):
     assert abs(region["major_axis"] - 4 * np.sqrt(eig[1])) < 1e-6
 
 
+def test_structures_over_strip_borders(spark, monkeypatch):
+    """Parts of narrow strips make the structures of the whole grid, from few edges; runs without a key stay alone."""
+    rng = np.random.default_rng(1)
+    mask = rng.random((12, 40)) < 0.45
+    mask[3, :] = True  # one structure through all strips
+    rows = [(k, int(x), int(y)) for k in (1, None) for y, x in np.argwhere(mask)]
+    monkeypatch.setattr(sx, "STRIP", 5)
+    edges = []
+    whole = sx.connected
+    monkeypatch.setattr(sx, "connected", lambda e, keys: edges.append(e.count()) or whole(e, keys))
+    lab = sx.label(spark.createDataFrame(rows, "k int, x_index int, y_index int"), ["k"]).collect()
+    have = {}
+    for r in lab:
+        if r["k"] == 1:
+            have.setdefault(r["root"], set()).update((y, r["x_index"]) for y in range(r["y_lo"], r["y_hi"] + 1))
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, flood(mask)))
+    assert all(root == min(x * sx.ROWS_PER_COLUMN + y for y, x in cells) for root, cells in have.items())
+    assert all(r["root"] == r["run"] for r in lab if r["k"] is None)
+    assert edges[0] < sum(r["k"] == 1 for r in lab) / 2  # rounds see the seven borders, not every column
+
+
 def brute_plane(x, y, z, rule):
     """All rounds over plain arrays, with the minimum-norm slope of centred positions."""
     keep, plane = np.ones(len(z), bool), None

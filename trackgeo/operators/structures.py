@@ -1,13 +1,17 @@
 """Two-dimensional connected structures on grids, without materialising an image anywhere.
 
 Mask cells become vertical runs inside one grid column; runs of neighbouring columns that touch
-(diagonals count) are edges; structures are the connected components of that graph.
+(diagonals count) are edges; structures are the connected components of that graph. Runs meet inside strips of
+`STRIP` columns first, one task each; only the strips' parts that touch across a border are contracted in rounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trackgeo.functions import intervals as iv
 from trackgeo.functions.scores import contact_label, morphology
@@ -16,6 +20,7 @@ from trackgeo.operators.series import runs
 from trackgeo.session import durable
 
 ROWS_PER_COLUMN = 1 << 20  # run ids are x · 2^20 + first y; other rows raise
+STRIP = 128  # columns of a strip; a column is bounded by the sensor
 
 
 def vertical_runs(cells: DataFrame, keys: list[str], x: str = "x_index", y: str = "y_index") -> DataFrame:
@@ -30,14 +35,52 @@ def vertical_runs(cells: DataFrame, keys: list[str], x: str = "x_index", y: str
     return table.withColumn("run", F.col(x).cast("long") * ROWS_PER_COLUMN + checked)
 
 
-def touching(run_table: DataFrame, keys: list[str], x: str = "x_index") -> DataFrame:
-    """Edges between runs of adjacent columns, at most one cell apart in y."""
+def touching(run_table: DataFrame, keys: list[str], x: str = "x_index", node: str = "run") -> DataFrame:
+    """Edges between runs of adjacent columns, at most one cell apart in y, between the nodes the runs belong to."""
     right = run_table.select(
-        *keys, (F.col(x) - 1).alias(x), F.col("run").alias("v"),
+        *keys, (F.col(x) - 1).alias(x), F.col(node).alias("v"),
         F.col("y_lo").alias("_lo"), F.col("y_hi").alias("_hi"))
     return run_table.join(right, [*keys, x]).filter(
         (F.col("y_lo") <= F.col("_hi") + 1) & (F.col("_lo") <= F.col("y_hi") + 1)
-    ).select(*keys, F.col("run").alias("u"), "v")
+    ).select(*keys, F.col(node).alias("u"), "v")
+
+
+def strip_parts(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Smallest run id of the connected part each run belongs to, among the runs of one strip."""
+    by = np.lexsort((lo, x))
+    span = int(hi.max()) + 3
+    first, last = (x[by] - x.min()) * span + lo[by] + 1, (x[by] - x.min()) * span + hi[by] + 1
+    # Runs of a column are disjoint, so those that touch a run one column to the left are consecutive.
+    start, stop = np.searchsorted(last, first + span - 1), np.searchsorted(first, last + span + 1, "right")
+    count = stop - start
+    u = np.repeat(np.arange(len(by)), count)
+    v = np.repeat(start - np.cumsum(count) + count, count) + np.arange(len(u))
+    least = np.arange(len(by))
+    while len(u):
+        a, b = least[u], least[v]
+        apart = a != b
+        u, v = u[apart], v[apart]
+        np.minimum.at(least, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (least[least] != least).any():
+            least = least[least]
+    parts = np.empty(len(by), np.int64)
+    parts[by] = run[by][least]
+    return parts
+
+
+def _with_parts(run_table: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Runs with the `_part` of their strip; runs without a key or column touch nothing."""
+    names = [*keys, x, "y_lo", "y_hi", "run"]
+    known = F.forall(F.array(*[F.col(c).isNotNull() for c in (*keys, x)]), lambda e: e)
+
+    def meet(table: pa.Table) -> pa.Table:
+        numbers = [table.column(c).to_numpy().astype(np.int64) for c in (x, "y_lo", "y_hi", "run")]
+        return table.select(names).append_column("_part", pa.array(strip_parts(*numbers)))
+
+    schema = StructType([*run_table.select(*names).schema.fields, StructField("_part", LongType())])
+    strips = run_table.filter(known).select(*names, F.floor(F.col(x) / STRIP).alias("_strip"))
+    return strips.groupBy(*keys, "_strip").applyInArrow(meet, schema).unionByName(
+        run_table.filter(~known).select(*names, F.col("run").alias("_part")))
 
 
 def connected(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,9 +116,12 @@ def connected(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def label(cells: DataFrame, keys: list[str], x: str = "x_index", y: str = "y_index") -> DataFrame:
     """Runs with the `root` of their 8-connected structure."""
-    table = durable(vertical_runs(cells, keys, x, y))
-    roots = connected(touching(table, keys, x), keys)
-    return table.join(roots, [*keys, "run"], "left").withColumn("root", F.coalesce("root", "run"))
+    table = durable(_with_parts(vertical_runs(cells, keys, x, y), keys, x))
+    at = F.pmod(F.col(x), F.lit(STRIP))
+    border = table.filter((at == 0) | (at == STRIP - 1))
+    roots = connected(touching(border, keys, x, "_part"), keys).withColumnRenamed("run", "_part")
+    return table.join(roots, [*keys, "_part"], "left").select(
+        *keys, x, "y_lo", "y_hi", "run", F.coalesce("root", "_part").alias("root"))
 
 
 def largest_region(
