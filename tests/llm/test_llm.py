@@ -371,6 +371,25 @@ def test_similar_sets_link_all_pairs_at_the_limit_and_no_other(spark, monkeypatc
     assert similar_sets.near_duplicates(empty(df)).count() == 0
 
 
+def test_a_family_that_leaders_do_not_join_gives_few_pairs(spark, monkeypatch):
+    """Two hundred texts, a third of all pairs at the limit: pairs to confirm grow with the texts, not with their square."""
+    monkeypatch.setattr(similar_sets, "CELL", 8)
+    rng, asked = np.random.default_rng(5), []
+    texts = []
+    for _ in range(200):
+        words = [f"w{i}" for i in range(150)]
+        for k in rng.choice(150, rng.integers(1, 6), replace=False):
+            words[k] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    whole = similar_sets.confirmed
+    monkeypatch.setattr(similar_sets, "confirmed", lambda pairs, *rest: asked.append(pairs.count()) or whole(pairs, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in similar_sets.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == alike_components(texts)
+    assert max(asked[1:]) < 16 * len(texts)
+
+
+
 def test_pipeline_near_copies_are_decided_by_the_shingles(spark):
     """80 of 90 shingles shared are 0.8 and a copy, 79 are not, whatever the fingerprints say."""
     import corpus_pipeline as p
