@@ -9,9 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackgeo.session import durable
+
 #: Words are maximal runs of characters other than space, tab, LF, VT, FF and CR.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+MARKS, PAGE = 1 << 24, 1 << 15  # bits of `may_match` in all (2 MB), and of one of Spark's bitmaps
 
 
 def words_column(text: Column) -> Column:
@@ -48,6 +51,23 @@ def no_cycles() -> Iterator[None]:
         gc.enable()
 
 
+def may_match(df: DataFrame, key: Column, keys: DataFrame, known: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of `df` that may have their `key` among the numbers `known` of `keys`, and those that cannot, found without moving rows.
+
+    A table of `MARKS` bits, of fixed size at any number of keys, goes to all tasks; a key that is no known one passes as one
+    with odds of known keys / `MARKS`. Null keys cannot match.
+    """
+    page = free_name(df, "page")
+    bits = free_name(df, "bits")
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(MARKS))
+    marks = durable(keys.filter(known.isNotNull()).select(place(known).alias("at")).groupBy(F.floor(F.col("at") / PAGE).alias(page)).agg(
+        F.bitmap_construct_agg(F.col("at") % PAGE).alias(bits)))
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(place(key) % PAGE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    paged = df.withColumn(page, F.floor(place(key) / PAGE)).join(F.broadcast(marks), page, "left")
+    hit = key.isNotNull() & F.coalesce(F.getbit(byte, (place(key) % 8).cast("int")) == 1, F.lit(False))
+    return paged.filter(hit).select(*df.columns), paged.filter(~hit).select(*df.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
